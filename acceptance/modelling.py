@@ -8,7 +8,7 @@ from acceptance.registry import check
 from patchlight import constants as C
 from patchlight.functions.labels import top_category, top_confidence
 from patchlight.operators import classifier as M
-from patchlight.operators import folds, metrics
+from patchlight.operators import metrics
 from patchlight.plans.review import by_model, review
 from patchlight.session import work_dir
 from patchlight.sources.models import load_model, save_model
@@ -58,9 +58,8 @@ def saved_model_scores(spark, sf):
 
 @check("A16")
 def training_loss(spark, sf):
-    rows = T.code_rows(spark, sf)
-    weighted = folds.attach_weights(rows, folds.class_weights(rows))
-    return M.training_loss(M.fit(M.token_counts(weighted, "code", SIZE), max_iter=STEPS))
+    prepared = M.prepare(T.code_rows(spark, sf), "code", "label", SIZE)
+    return M.training_loss(M.fit(prepared, max_iter=STEPS))
 
 
 @check(
@@ -85,9 +84,14 @@ def low_confidence_fallback(spark, sf):
     )
 
 
+def _embedded(spark, sf):
+    chunks = T.chunks(spark, sf)
+    return M.embed(chunks, "chunk", M.fit_idf(chunks, "chunk"))
+
+
 @check("M5")
 def chunk_embeddings(spark, sf):
-    return M.embed(T.chunks(spark, sf), "chunk").select("filename", "chunk_index", "embedding")
+    return _embedded(spark, sf).select("filename", "chunk_index", "embedding")
 
 
 @check(
@@ -98,7 +102,7 @@ def chunk_embeddings(spark, sf):
 )
 def embedding_norms(spark, sf):
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return M.embed(T.chunks(spark, sf), "chunk").select(
+    return _embedded(spark, sf).select(
         "filename", "chunk_index", F.size("embedding").alias("dimensions"),
         F.round(F.sqrt(square), 3).alias("norm"),
     )

@@ -263,10 +263,10 @@ def sql_pattern(pattern: str) -> str:
 
 
 def sql_weak_label(text: str, verdict: str, patterns: dict) -> str:
-    cases = " ".join(
-        f"WHEN regexp_matches(lower({text}), {sql_text('|'.join(sql_pattern(p) for p in patterns[c]))}) THEN '{c}'"
-        for c in C.WEAK_LABEL_PRIORITY
-    )
+    def any_of(ps: list[str]) -> str:
+        return " OR ".join(f"regexp_matches(lower({text}), {sql_text(sql_pattern(p))})" for p in ps)
+
+    cases = " ".join(f"WHEN {any_of(patterns[c])} THEN '{c}'" for c in C.WEAK_LABEL_PRIORITY)
     return f"CASE WHEN {verdict} = 'APPROVE' THEN 'ok' {cases} ELSE 'bug' END"
 
 

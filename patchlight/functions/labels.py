@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from patchlight import constants as C
-from patchlight.functions.text import SPACE, WORD, any_pattern, hit_count, let
+from patchlight.functions.text import SPACE, WORD, hit_count, let, matches_any
 
 
 def category_array() -> Column:
@@ -33,7 +33,7 @@ def weak_label(
     def scan(text: Column) -> Column:
         label = F.lit(C.DEFAULT_WEAK_LABEL)
         for category in reversed(priority):
-            label = F.when(text.rlike(any_pattern(patterns[category])), category).otherwise(label)
+            label = F.when(matches_any(text, patterns[category]), category).otherwise(label)
         return label
 
     text = F.lower(F.coalesce(explanation, F.lit("")))

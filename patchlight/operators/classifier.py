@@ -9,6 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
+    IDFModel,
     HashingTF,
     Normalizer,
     RegexTokenizer,
@@ -76,13 +77,22 @@ def scoring_model(fitted: PipelineModel, text: str, size: int) -> PipelineModel:
     return PipelineModel(stages=token_stages(text, size) + fitted.stages[1:])
 
 
+def prepare(rows: DataFrame, text: str, label: str, size: int, *keys: str) -> DataFrame:
+    """Weighted term counts of the labelled texts as a written table.
+
+    Fitting reads its input many times; the text work is done once, and a lost executor
+    reads the files again instead of repeating it.
+    """
+    named = rows.select(*keys, text, F.col(label).alias("label"))
+    weighted = attach_weights(named, class_weights(named))
+    return materialise(token_counts(weighted, text, size).drop(text), "features")
+
+
 def train(
     rows: DataFrame, text: str = "code", label: str = "label", size: int = 4096, **fit_options
 ) -> PipelineModel:
     """Class-weighted classifier on all rows of ``text, label``."""
-    named = rows.select(F.col(text), F.col(label).alias("label"))
-    weighted = attach_weights(named, class_weights(named))
-    return scoring_model(fit(token_counts(weighted, text, size), **fit_options), text, size)
+    return scoring_model(fit(prepare(rows, text, label, size), **fit_options), text, size)
 
 
 def classify(rows: DataFrame, model: PipelineModel) -> DataFrame:
@@ -125,10 +135,14 @@ def apply_fallback(scored: DataFrame, threshold: float, text: str = "chunk") ->
     return scored.select(*columns, category.alias("category"), confidence.alias("confidence"))
 
 
-def embed(rows: DataFrame, text: str, size: int = C.EMBEDDING_SIZE) -> DataFrame:
+def fit_idf(rows: DataFrame, text: str, size: int = C.EMBEDDING_SIZE) -> IDFModel:
+    """Document frequencies of the hashed terms."""
+    return IDF(inputCol="counts", outputCol="weighted").fit(token_counts(rows, text, size))
+
+
+def embed(rows: DataFrame, text: str, idf: IDFModel) -> DataFrame:
     """Add ``embedding``: the unit-length TF-IDF vector of the text as an array."""
-    counts = token_counts(rows, text, size)
-    weighted = IDF(inputCol="counts", outputCol="weighted").fit(counts).transform(counts)
+    weighted = idf.transform(token_counts(rows, text, len(idf.idf)))
     unit = Normalizer(inputCol="weighted", outputCol="unit", p=2.0).transform(weighted)
     return unit.select(*rows.columns, vector_to_array("unit", "float32").alias("embedding"))
 
@@ -154,18 +168,13 @@ def cross_validate(
 ) -> tuple[DataFrame, PipelineModel]:
     """Train and predict each fold; returns all predictions and the last fold's model.
 
-    The term counts need no fitting and are computed once, into a written table that all
-    folds read. IDF and classifier see the training part of their fold only.
+    The class weights are those of all rows. The term counts need no fitting and are
+    shared by the folds; IDF and classifier see the training part of their fold only.
     ``parallelism`` is the number of folds fitted at the same time.
     """
-    named = rows.select(
-        F.col(key).cast("string").alias("key"), F.col(text).alias(text), F.col(label).alias("label")
-    )
-    weighted = attach_weights(named, class_weights(named))
-    folded = assign_folds(weighted, "key", "label", k, seed)
-    prepared = materialise(
-        token_counts(folded, text, size).select("key", "label", "weight", "fold", "counts"), "folds"
-    )
+    named = rows.select(F.col(key).cast("string").alias("key"), text, F.col(label).alias("label"))
+    folded = assign_folds(named, "key", "label", k, seed)
+    prepared = prepare(folded, text, "label", size, "key", "fold")
 
     def run(fold: int) -> tuple[DataFrame, PipelineModel]:
         training, validation = split_fold(prepared, fold)

@@ -71,7 +71,7 @@ def test_patterns_match_like_python(spark):
     texts = ["".join(rng.choice(words) + rng.choice(glue) for _ in range(rng.randrange(1, 4))) for _ in range(600)] + words
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = rows.select(
-        "id", *[F.col("t").rlike(X.any_pattern(p)).alias(c) for c, p in C.WEAK_LABEL_PATTERNS.items()]
+        "id", *[X.matches_any(F.col("t"), p).alias(c) for c, p in C.WEAK_LABEL_PATTERNS.items()]
     ).collect()
     for row in got:
         for category, patterns in C.WEAK_LABEL_PATTERNS.items():
@@ -79,7 +79,9 @@ def test_patterns_match_like_python(spark):
 
 
 def test_each_pattern_alone_matches_like_python(spark):
-    patterns = [p for ps in C.WEAK_LABEL_PATTERNS.values() for p in ps] + [r"\w+\s\w+", r"a\b.\bb", r"\b\d", r"x*\b"]
+    patterns = [p for ps in C.WEAK_LABEL_PATTERNS.values() for p in ps] + [
+        r"\w+\s\w+", r"a\b.\bb", r"\b\d", r"x*\b", r"\bx?b", r"\btoken|bug", r"\ba\w*\b", r"\b-?a", r"x?a\b", r"\bbu+g\b",
+    ]
     texts = ["a token", "tokens", "vulnerability!", "bug", "debug", "a.b", "a b", "ab", "1x", "é1", "x", "", "o(n)", "xo(n", "cleanup"]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = rows.select("id", *[F.col("t").rlike("(?U)" + X.java_pattern(p)).alias(str(i)) for i, p in enumerate(patterns)]).collect()
@@ -114,3 +116,24 @@ def test_stable_bucket_is_even_and_repeatable(spark):
     got = spark.range(4000).select(X.stable_bucket(F.col("id").cast("string"), 8).alias("b")).groupBy("b").count().collect()
     assert {r.b for r in got} == set(range(8))
     assert all(400 < r["count"] < 600 for r in got)
+
+
+def test_lists_of_patterns_match_like_python(spark):
+    lists = [
+        [r"\bx?b", r"\btoken\b"], [r"\btoken|bug", r"\bnull\b"], [r"\bfixe?s\b", r"\bo\(n"], [r"au\w*\b", r"\bab{0}c"],
+        [r"\b(?:ab|cd)", r"\bz"], [r"\bclean\s?up\b", r"\boff[- ]by\b"],
+    ]
+    rng = random.Random(9)
+    parts = ["x", "b", "token", "bug", "null", "fixes", "fixs", "o(n", "auth", "ac", "abc", "cd", "z", "clean", "up", "off", "by", " ", "-", "_", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(800)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = rows.select("id", *[X.matches_any(F.col("t"), p).alias(str(i)) for i, p in enumerate(lists)]).collect()
+    for row in got:
+        for i, patterns in enumerate(lists):
+            assert row[str(i)] == any(re.search(p, texts[row.id]) for p in patterns), (patterns, texts[row.id])
+
+
+def test_literal_start():
+    cases = {r"\bfix(?:es|ed)?\b": "fix", r"\bo\(n": "o(n", r"\bclean\s?up\b": "clean", r"fixe?s": "fix", r"a|b": "",
+             r"\bx?b": "", r"\bedge case\b": "edge case", r"\w+a": "", r"\boff[- ]by": "off", r"au\w*\b": "au"}
+    assert {p: X.literal_start(p) for p in cases} == cases
