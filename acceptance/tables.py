@@ -15,7 +15,7 @@ from patchlight.functions.text import content_key, first_chars
 from patchlight.operators.chunks import explode_chunks
 from patchlight.operators.folds import assign_folds
 from patchlight.operators.findings import label_by_keywords, with_chunk_key
-from patchlight.operators.relabel import read_replies, with_key
+from patchlight.operators.relabel import latest_replies, read_replies, with_key
 from patchlight.plans.training_set import build_training_set
 from patchlight.session import spread
 
@@ -189,7 +189,8 @@ REPLY_TEXTS = [
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Training rows with the labels read from the replies; the rest is pending."""
-    return read_replies(with_key(training(spark, sf)), replies(spark, sf))
+    answers = latest_replies(replies(spark, sf))
+    return read_replies(with_key(training(spark, sf)), answers)
 
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,10 +9,6 @@ from patchlight import constants as C
 from patchlight.functions.labels import is_category
 
 
-def missing(column: str) -> Column:
-    return F.col(column).isNull() | (F.col(column) == "")
-
-
 def with_code(rows: DataFrame, code: str = "code") -> DataFrame:
     """Rows that have code; an empty cell is a missing one."""
     return rows.where(F.col(code) != "")
@@ -50,7 +46,7 @@ def actionable(findings: DataFrame) -> DataFrame:
 def clean_files(files: DataFrame, findings: DataFrame) -> DataFrame:
     """Files without an actionable finding, those without any chunk included."""
     keys = ["review_key", "filename"]
-    return files.join(actionable(findings).select(*keys), keys, "left_anti")
+    return files.join(actionable(findings).select(*keys).distinct(), keys, "left_anti")
 
 
 def finding_problem() -> Column:

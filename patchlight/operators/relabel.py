@@ -14,6 +14,7 @@ from patchlight.functions.labels import judge_confidence, judge_label
 from patchlight.functions.prompts import judge_prompt
 from patchlight.functions.text import content_key, first_chars
 from patchlight.operators.filters import with_code
+from patchlight.sources.tables import materialise
 
 KEY_COLUMNS = ["repo", "pr_number", "original_label", "code"]
 
@@ -24,7 +25,7 @@ def with_key(training: DataFrame) -> DataFrame:
 
 def not_done(rows: DataFrame, done: DataFrame) -> DataFrame:
     """Rows whose key has no label yet; an unreadable reply counts as a label."""
-    labelled = done.where(F.col("judge_label").isNotNull()).select("key")
+    labelled = done.where(F.col("judge_label").isNotNull()).select("key").distinct()
     return rows.join(labelled, "key", "left_anti")
 
 
@@ -54,12 +55,13 @@ def latest_replies(replies: DataFrame) -> DataFrame:
 
 
 def attach_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
-    """Add the reply columns to each row by key.
+    """Add the reply columns to each row by key; ``replies`` has one row per key.
 
-    A key with many rows is hot on the left side only; adaptive execution splits such
-    a partition of the join.
+    A key with many rows is hot on the left side only. Adaptive execution splits its
+    partition as long as both sides are shuffled for this join, so pass a table here,
+    not the result of another step on the same key.
     """
-    return rows.join(latest_replies(replies), "key", "left")
+    return rows.join(replies, "key", "left")
 
 
 def label_or_failed(reply: Column) -> Column:
@@ -93,9 +95,17 @@ def read_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def label_run(training: DataFrame, done: DataFrame, replies: DataFrame) -> DataFrame:
-    """The rows one run adds to the labelled table; none if nothing is pending."""
-    open_rows = not_done(with_key(with_code(training)), done)
-    return read_replies(open_rows, replies).where(F.col("judge_label").isNotNull())
+    """The rows one run adds to the labelled table; none if nothing is pending.
+
+    The labels are decided per distinct key, on short rows, and written; the join that
+    brings them to the texts then starts from two tables (see ``attach_replies``).
+    """
+    rows = with_key(with_code(training))
+    open_keys = not_done(rows.select("key").distinct(), done)
+    decided = read_replies(open_keys, latest_replies(replies)).where(
+        F.col("judge_label").isNotNull()
+    )
+    return rows.join(materialise(decided, "labels"), "key")
 
 
 def audit(rows: DataFrame) -> DataFrame:

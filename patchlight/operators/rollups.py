@@ -12,6 +12,7 @@ from patchlight.functions.labels import heuristic_label
 from patchlight.functions.text import line_chunks, stable_bucket
 from patchlight.operators.distributions import counts_map, in_summary_order
 from patchlight.operators.filters import actionable
+from patchlight.sources.tables import materialise
 
 FILE_KEYS = ["review_key", "filename"]
 FINDING_FIELDS = ["category", "confidence", "feedback", "chunk", "chunk_index", "filename", "language"]
@@ -129,18 +130,22 @@ def review_results(file_results: DataFrame, files_per_part: int = FILES_PER_PART
 
     A review of any size is written whole, in parts of about ``files_per_part`` files that
     all carry the review's totals; a normal review is one part. ``file_results`` is read
-    twice, so pass a written table. The totals are one short row per review: the join is
-    broadcast only if adaptive execution measures them as small, and is otherwise a sort
-    merge whose hot reviews are split.
+    twice, so pass a written table.
+
+    A review may hold a large share of all files. Its totals, one short row, are written
+    first: the join then has a plain table on either side, so adaptive execution either
+    broadcasts the totals because it measured them as small, or splits the hot reviews of
+    the sort merge. The explicit repartition after it keeps Spark from gathering the parts
+    of a review where the join had put the review.
     """
-    totals = review_totals(file_results).withColumn(
+    totals = materialise(review_totals(file_results), "totals").withColumn(
         "n_parts", F.ceil(F.col("n_files") / files_per_part).cast("int")
     )
     file = F.struct("filename", "language", "additions", "deletions", "findings")
     parts = file_results.join(totals, "review_key").withColumn(
         "part", stable_bucket(F.col("filename"), F.col("n_parts")).cast("int")
     )
-    return parts.groupBy("review_key", "part").agg(
+    return parts.repartition("review_key", "part").groupBy("review_key", "part").agg(
         F.array_sort(F.collect_list(file)).alias("files"),
         *[F.any_value(c).alias(c) for c in ("total_chunks", "total_issues", "category_counts", "n_parts")],
     )

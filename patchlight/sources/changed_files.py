@@ -95,7 +95,7 @@ def without_reviewable_file(requested: DataFrame, files: DataFrame) -> DataFrame
     return (
         requested.select("review_key")
         .distinct()
-        .join(with_patch(files).select("review_key"), "review_key", "left_anti")
+        .join(with_patch(files).select("review_key").distinct(), "review_key", "left_anti")
         .withColumn("reason", F.lit("no reviewable code changes"))
     )
 
