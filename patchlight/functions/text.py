@@ -101,20 +101,29 @@ def line_count(text: Column) -> Column:
     return F.regexp_count(F.concat(F.lit("\n"), unify_line_ends(text)), F.lit(r"\n(?!\z)"))
 
 
-def line_chunks(text: Column, max_lines: int) -> Column:
+def line_pieces(text: Column, max_lines: int) -> Column:
     """Array of the consecutive pieces of at most ``max_lines`` lines; empty for no lines.
 
     Each line is read together with the line end before it, so one pass of a single
-    pattern finds the pieces and no array of lines is built.
+    pattern finds the pieces and no array of lines is built. ``chunk_of`` takes off the
+    line end a piece begins with.
     """
     if max_lines < 1:
         raise ValueError("max_lines must be at least 1")
-    pieces = F.regexp_extract_all(
+    return F.regexp_extract_all(
         F.concat(F.lit("\n"), unify_line_ends(text)),
         F.lit(rf"(?:\n(?!\z)[^\n]*+){{1,{max_lines}}}+"),
         F.lit(0),
     )
-    return F.transform(pieces, lambda piece: F.substr(piece, F.lit(2)))
+
+
+def chunk_of(piece: Column) -> Column:
+    return F.substr(piece, F.lit(2))
+
+
+def line_chunks(text: Column, max_lines: int) -> Column:
+    """Array of the chunks of a text, for work that stays within the row."""
+    return F.transform(line_pieces(text, max_lines), chunk_of)
 
 
 def first_chars(text: Column, n: int) -> Column:

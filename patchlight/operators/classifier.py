@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from patchlight import constants as C
 from patchlight.functions.labels import category_of, top_category, top_confidence, with_fallback
+from patchlight.operators.columns import with_columns_once
 from patchlight.operators.folds import assign_folds, attach_weights, class_weights, split_fold
 from patchlight.operators.metrics import pool
 from patchlight.sources.tables import materialise
@@ -97,14 +98,16 @@ def train(
 
 def classify(rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Add ``category`` and ``confidence``; the text column is the one the model was made for."""
-    probabilities = vector_to_array("probability")
-    scored = model.transform(rows)
-    return (
-        scored.withColumn("_p", probabilities)
-        .withColumn("category", top_category(F.col("_p")))
-        .withColumn("confidence", top_confidence(F.col("_p")))
-        .select(*rows.columns, "category", "confidence")
-    )
+    scored = model.transform(rows).withColumn("_p", vector_to_array("probability"))
+    return _with_top(scored).select(*rows.columns, "category", "confidence")
+
+
+def _with_top(scored: DataFrame) -> DataFrame:
+    """Category and confidence of the probabilities in ``_p``; scoring runs once per row."""
+    p = F.col("_p")
+    return with_columns_once(
+        scored, {"category": top_category(p), "confidence": top_confidence(p)}
+    ).drop("_p")
 
 
 def classify_external(
@@ -118,12 +121,7 @@ def classify_external(
     predict = predict_batch_udf(
         make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
     )
-    return (
-        rows.withColumn("_p", predict(F.col(text)))
-        .withColumn("category", top_category(F.col("_p")))
-        .withColumn("confidence", top_confidence(F.col("_p")))
-        .drop("_p")
-    )
+    return _with_top(rows.withColumn("_p", predict(F.col(text))))
 
 
 def apply_fallback(scored: DataFrame, threshold: float, text: str = "chunk") -> DataFrame:
@@ -131,8 +129,7 @@ def apply_fallback(scored: DataFrame, threshold: float, text: str = "chunk") ->
     category, confidence = with_fallback(
         F.col("category"), F.col("confidence"), F.col(text), threshold
     )
-    columns = [c for c in scored.columns if c not in ("category", "confidence")]
-    return scored.select(*columns, category.alias("category"), confidence.alias("confidence"))
+    return with_columns_once(scored, {"category": category, "confidence": confidence})
 
 
 def fit_idf(rows: DataFrame, text: str, size: int = C.EMBEDDING_SIZE) -> IDFModel:

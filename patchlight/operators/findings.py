@@ -18,6 +18,7 @@ from patchlight.functions.display import (
 from patchlight.functions.labels import heuristic_label
 from patchlight.functions.prompts import feedback_prompt
 from patchlight.functions.text import content_key
+from patchlight.operators.columns import with_columns_once
 from patchlight.operators.filters import actionable
 from patchlight.operators.relabel import latest_replies
 
@@ -26,9 +27,8 @@ def label_by_keywords(
     chunks: DataFrame, keywords: dict[str, list[str]] = C.HEURISTIC_KEYWORDS
 ) -> DataFrame:
     """Category by keyword hits; the confidence of a heuristic result is 0."""
-    return chunks.withColumn("category", heuristic_label(F.col("chunk"), keywords)).withColumn(
-        "confidence", F.lit(0.0)
-    )
+    label = heuristic_label(F.col("chunk"), keywords)
+    return with_columns_once(chunks, {"category": label}).withColumn("confidence", F.lit(0.0))
 
 
 def with_chunk_key(findings: DataFrame) -> DataFrame:

@@ -42,14 +42,16 @@ def summary(findings: DataFrame, *keys: str, width: int = C.FILE_LIST_CHARS) ->
     counts = per_file.groupBy(*group).agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_files")
     )
-    by_name = Window.partitionBy(*group).orderBy("filename")
+    # The count stays in the struct so that both branches read one and the same exchange.
+    file = F.struct("filename", "n")
+    names = F.transform(F.array_sort(F.collect_list(file)), lambda f: f["filename"])
     shown = (
-        per_file.select(*group, "filename")
-        .withColumn("place", F.row_number().over(by_name))
+        per_file.withColumn(
+            "place", F.row_number().over(Window.partitionBy(*group).orderBy("filename"))
+        )
         .where(F.col("place") <= enough)
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_list("filename")).alias("names"))
-        .select(*group, F.substring(F.array_join("names", ", "), 1, width).alias("files"))
+        .agg(F.substring(F.array_join(names, ", "), 1, width).alias("files"))
     )
     return in_summary_order(counts.join(shown, group))
 

@@ -246,3 +246,17 @@ def test_results_are_written_as_json(spark, tmp_path):
     results = rollups.review_results(materialise(rollups.label_files(many_files(spark)), "test"))
     rollups.write_results(results, path)
     assert spark.read.json(path).count() == 21
+
+
+def test_a_filter_does_not_label_twice(spark):
+    found = filters.actionable(find(many_files(spark)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_max") == 1
+    assert rollups.summary(find(many_files(spark)))._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+
+
+def test_the_summary_labels_each_chunk_once(spark):
+    summary = rollups.summary(find(many_files(spark)))
+    summary.collect()
+    plan = summary._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("array_max") == 1
