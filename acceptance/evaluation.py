@@ -6,7 +6,7 @@ from acceptance import tables as T
 from acceptance.registry import check
 from patchlight.operators import distributions as D
 from patchlight.operators import folds, metrics
-from patchlight.sources.tables import materialise
+from patchlight.sources.tables import materialise, with_row_id
 
 CLASS_TABLE = f"""
     sizes AS (SELECT label AS category, CAST({T.SQL_CLASS_INDEX} - 1 AS INTEGER) AS idx, count(*) AS n
@@ -41,7 +41,8 @@ def weighted_rows(spark, sf):
     f"WITH {T.with_training()} SELECT pr_number, label, {T.sql_fold('pr_number')} AS fold FROM training",
 )
 def stratified_folds(spark, sf):
-    return folds.assign_folds(T.training(spark, sf).select("pr_number", "label"), "pr_number")
+    rows = materialise(T.training(spark, sf).select("pr_number", "label"), "labels")
+    return folds.assign_folds(rows, "pr_number")
 
 
 @check(
@@ -60,6 +61,21 @@ def fold_split(spark, sf):
     ).drop("fold")
 
 
+@check(
+    "O5",
+    f"""WITH {T.with_training()}, {CLASS_TABLE},
+        placed AS (SELECT *, coalesce(sum(n) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                   FROM sizes)
+        SELECT category AS label, CAST(f AS INTEGER) AS fold,
+               CAST((before + n + 5 - f) // 5 - (before + 5 - f) // 5 AS BIGINT) AS n
+        FROM placed, (SELECT unnest([1, 2, 3, 4, 5]) AS f)""",
+)
+def fold_sizes_of_equal_rows(spark, sf):
+    """Rows cut down to their label, so that they differ by their place in the table only."""
+    rows = with_row_id(materialise(T.training(spark, sf).select("label"), "labels"))
+    return folds.assign_folds(rows, "row_id").groupBy("label", "fold").agg(F.count("*").alias("n"))
+
+
 @check("A15", f"WITH {T.with_predictions()} SELECT label, prediction, n FROM confusion")
 def confusion_counts(spark, sf):
     return metrics.confusion(T.predictions(spark, sf))

@@ -56,6 +56,41 @@ def saved_model_scores(spark, sf):
     return M.classify(T.code_rows(spark, sf), load_model(spark, path)).drop("code")
 
 
+@check("S9", "SELECT doc_id AS key, TRUE AS same FROM documents")
+def saved_model_agrees(spark, sf):
+    """A model read back gives each text the category and confidence it had before."""
+    path = work_dir(spark, "model")
+    model = _model(spark, sf)
+    save_model(model, path)
+    rows = T.code_rows(spark, sf)
+    before = M.classify(rows, model).select("key", F.struct("category", "confidence").alias("before"))
+    after = M.classify(rows, load_model(spark, path)).select(
+        "key", F.struct("category", "confidence").alias("after")
+    )
+    return before.join(after, "key").select("key", (F.col("before") == F.col("after")).alias("same"))
+
+
+@check(
+    "M3",
+    """SELECT doc_id, ['bug','style','performance','security','ok'][length(text) % 5 + 1] AS category,
+              CAST(0.6 AS DOUBLE) AS confidence FROM documents""",
+)
+def external_model_scores(spark, sf):
+    """A stand-in for a model of another library: the class is the length of the text modulo 5."""
+
+    def load():
+        import numpy as np
+
+        def predict(texts):
+            lengths = np.array([len(t) for t in texts])
+            return np.where(np.arange(5) == (lengths % 5)[:, None], 0.6, 0.1)
+
+        return predict
+
+    rows = T.documents(spark, sf).select("doc_id", "text")
+    return M.classify_external(rows, "text", load).select("doc_id", "category", "confidence")
+
+
 @check("A16")
 def training_loss(spark, sf):
     prepared = M.prepare(T.code_rows(spark, sf), "code", "label", SIZE)

@@ -18,6 +18,7 @@ from patchlight.operators.findings import label_by_keywords, with_chunk_key
 from patchlight.operators.relabel import latest_replies, read_replies, with_key
 from patchlight.plans.training_set import build_training_set
 from patchlight.session import spread
+from patchlight.sources.tables import materialise
 
 # Word lists that the invented prose of the test tables does contain.
 TEST_KEYWORDS = {
@@ -195,7 +196,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def comments(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded comments: turn n of a conversation answers chunk n of the document of its number."""
-    keyed = with_chunk_key(findings(spark, sf, 5))
+    keyed = with_chunk_key(chunks(spark, sf, 5))
     turns = conversations(spark, sf).select(
         F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), "role", "text"
     )
@@ -229,12 +230,13 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         weak_label(F.col("explanation"), F.col("label"), TEST_PATTERNS).alias("label"),
         heuristic_label(F.col("patch"), TEST_KEYWORDS).alias("prediction"),
     )
-    return assign_folds(rows, "key")
+    return assign_folds(materialise(rows, "pairs"), "key")
 
 
 def code_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Texts with their weak label, as input of the classifier."""
-    return training(spark, sf).select(F.col("pr_number").alias("key"), "code", "label")
+    rows = training(spark, sf).select(F.col("pr_number").alias("key"), "code", "label")
+    return materialise(rows, "training")
 
 
 # --- SQL ---------------------------------------------------------------------

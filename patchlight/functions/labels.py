@@ -30,14 +30,16 @@ def weak_label(
     explanation counts as empty.
     """
 
-    def scan(text: Column) -> Column:
+    def scan(text: Column, content: Column) -> Column:
         label = F.lit(C.DEFAULT_WEAK_LABEL)
         for category in reversed(priority):
-            label = F.when(matches_any(text, patterns[category]), category).otherwise(label)
+            found = matches_any(text, content, patterns[category])
+            label = F.when(found, category).otherwise(label)
         return label
 
-    text = F.lower(F.coalesce(explanation, F.lit("")))
-    return F.when(verdict.eqNullSafe(C.APPROVED), "ok").otherwise(let(text, scan))
+    lowered = F.lower(F.coalesce(explanation, F.lit("")))
+    label = let(lowered, lambda text: let(text.cast("binary"), lambda content: scan(text, content)))
+    return F.when(verdict.eqNullSafe(C.APPROVED), "ok").otherwise(label)
 
 
 def heuristic_label(
@@ -45,20 +47,20 @@ def heuristic_label(
 ) -> Column:
     """Category with the most keyword hits; on a tie the earlier category; none gives ``ok``."""
 
-    def best(lowered: Column) -> Column:
+    def best(content: Column) -> Column:
         scores = [F.struct(F.lit(0).alias("hits"), F.lit(1).alias("rank"), F.lit("ok").alias("category"))]
         for index, category in enumerate(C.CATEGORIES):
             if keywords.get(category):
                 scores.append(
                     F.struct(
-                        hit_count(lowered, keywords[category]).alias("hits"),
+                        hit_count(content, keywords[category]).alias("hits"),
                         F.lit(-index).alias("rank"),
                         F.lit(category).alias("category"),
                     )
                 )
         return F.array_max(F.array(*scores))["category"]
 
-    return let(F.lower(chunk), best)
+    return let(F.lower(chunk).cast("binary"), best)
 
 
 def judge_label(reply: Column) -> Column:

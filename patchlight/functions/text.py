@@ -13,7 +13,7 @@ WORD = r"[\p{L}\p{N}_]"
 # With (?U) Java's \s lacks only the four separators 1C to 1F.
 SPACE = r"[\s\x1c-\x1f]"
 # Line ends other than "\n".
-_OTHER_LINE_END = r"[\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
+_OTHER_LINE_ENDS = ["\r", "\x0b", "\f", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 
 _WORD_START = f"(?<!{WORD})"
 _ANY_BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
@@ -65,18 +65,22 @@ def literal_start(pattern: str) -> str:
     return start.group(1).replace("\\", "") if start else ""
 
 
-def matches_any(text: Column, patterns: list[str]) -> Column:
-    """True where a Python pattern of the list matches.
+def word_array(words: list[str]) -> Column:
+    return F.array(*[F.lit(w.encode()) for w in words])
 
-    Where every pattern starts with plain text, the text is first searched for these
+
+def matches_any(text: Column, content: Column, patterns: list[str]) -> Column:
+    """True where a Python pattern of the list matches; ``content`` is the text as bytes.
+
+    Where every pattern starts with plain text, the bytes are first searched for these
     words, which is many times faster than a pattern; only texts that hold one go on.
     """
     found = text.rlike(any_pattern(patterns))
     starts = sorted({literal_start(p) for p in patterns})
     if "" in starts:
         return found
-    words = F.array(*[F.lit(s) for s in starts])
-    return F.when(F.exists(words, lambda w: F.contains(text, w)), found).otherwise(False)
+    has_start = F.exists(word_array(starts), lambda w: F.contains(content, w))
+    return F.when(has_start, found).otherwise(False)
 
 
 def strip(text: Column) -> Column:
@@ -90,9 +94,15 @@ def has_content(text: Column) -> Column:
 
 
 def unify_line_ends(text: Column) -> Column:
-    """Write every line end as ``\\n``; texts that already do are passed through."""
+    """Write every line end as ``\\n``; texts that already do are passed through.
+
+    Searching the bytes for the rare line ends is several times faster than a pattern.
+    """
+    rare = word_array(_OTHER_LINE_ENDS)
+    content = text.cast("binary")
     return F.when(
-        text.rlike(_OTHER_LINE_END), F.regexp_replace(text, "\r\n|" + _OTHER_LINE_END, "\n")
+        F.exists(rare, lambda end: F.contains(content, end)),
+        F.regexp_replace(text, f"\r\n|[{''.join(_OTHER_LINE_ENDS)}]", "\n"),
     ).otherwise(text)
 
 
@@ -131,10 +141,14 @@ def first_chars(text: Column, n: int) -> Column:
     return F.substring(text, 1, n)
 
 
-def hit_count(lowered: Column, keywords: list[str]) -> Column:
-    """How many of the keywords occur in the text; each counts once."""
-    words = F.array(*[F.lit(k) for k in keywords])
-    return F.aggregate(words, F.lit(0), lambda n, k: n + F.contains(lowered, k).cast("int"))
+def hit_count(content: Column, keywords: list[str]) -> Column:
+    """How many of the keywords occur in the bytes of a text; each counts once.
+
+    Searching bytes gives the same hits as searching UTF-8 strings, in half the time.
+    """
+    return F.aggregate(
+        word_array(keywords), F.lit(0), lambda n, k: n + F.contains(content, k).cast("int")
+    )
 
 
 def decode_utf8_ignore(content: Column) -> Column:
@@ -167,5 +181,9 @@ def stable_bucket(key: Column, n: Column | int) -> Column:
 
 
 def content_key(*columns: str) -> Column:
-    """Identity of a row by its content."""
-    return F.sha2(F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns]), 256)
+    """Identity of a row by its content.
+
+    Declared as never NULL, so a join on it does not first hash every row in a NULL check.
+    """
+    joined = F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns])
+    return F.coalesce(F.sha2(joined, 256), F.lit(""))

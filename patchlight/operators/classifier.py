@@ -167,7 +167,8 @@ def cross_validate(
 
     The class weights are those of all rows. The term counts need no fitting and are
     shared by the folds; IDF and classifier see the training part of their fold only.
-    ``parallelism`` is the number of folds fitted at the same time.
+    ``parallelism`` is the number of folds fitted at the same time. ``rows`` is read three
+    times (weights, folds, texts), so pass a written table.
     """
     named = rows.select(F.col(key).cast("string").alias("key"), text, F.col(label).alias("label"))
     folded = assign_folds(named, "key", "label", k, seed)

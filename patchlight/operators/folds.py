@@ -44,11 +44,13 @@ def assign_folds(
 ) -> DataFrame:
     """Add ``fold`` (1 .. k): shuffled, each class and the whole split evenly to within one row.
 
-    ``key`` must identify a row. The rows are ranked by class and then by the hash of
+    ``key`` must identify a row; ``sources.tables.with_row_id`` makes one for a table whose
+    rows may be equal. The rows are ranked by class and then by the hash of
     key and seed, and dealt out in turn. A class is not sorted in one task: a bucket of
     the hash is ranked on its own and shifted by the number of rows before it. The table
     of these shifts has at most classes * 16^bucket_digits rows, whatever the input, so
-    it is broadcast and summed up in one small window.
+    it is broadcast and summed up in one small window. ``rows`` is read twice, so pass a
+    written table where a column is dear to compute.
     """
     hashed = rows.withColumn(
         "_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))

@@ -50,6 +50,18 @@ def materialise(rows: DataFrame, purpose: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def with_row_id(table: DataFrame) -> DataFrame:
+    """Add ``row_id``, the place of a row in the files of a Parquet table.
+
+    Rows of a training table need not differ. Their place does, it is the same in every
+    run and after every retry, and it costs no shuffle.
+    """
+    place = F.concat_ws(
+        ":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")
+    )
+    return table.select("*", place.alias("row_id"))
+
+
 def write_labelled_run(labelled: DataFrame, path: str, run_id: str) -> None:
     """Add the rows of one run; writing the same run again replaces it."""
     labelled.write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.operators import distributions as D
 from patchlight.operators import folds, metrics
+from patchlight.sources.tables import with_row_id
 
 
 def labelled(spark, sizes):
@@ -131,3 +132,15 @@ def test_counts_over_the_domain(spark):
     assert [r.category for r in D.in_index_order(D.category_counts(rows)).collect()] == C.CATEGORIES
     empty = rows.where("1 = 0")
     assert [r.n for r in D.category_counts(empty).collect()] == [0] * 5
+
+
+def test_equal_rows_are_dealt_out_evenly(spark, tmp_path):
+    path = str(tmp_path / "copies")
+    copies = spark.range(7000).select(F.when(F.col("id") < 5000, "ok").otherwise("bug").alias("label"))
+    copies.repartition(3).write.parquet(path)
+    rows = with_row_id(spark.read.parquet(path))
+    assert rows.select("row_id").distinct().count() == 7000
+    sizes = folds.assign_folds(rows, "row_id").groupBy("label", "fold").count().collect()
+    assert sorted(r["count"] for r in sizes) == [400] * 5 + [1000] * 5
+    buckets = rows.select(F.substring(F.md5(F.concat("row_id", F.lit(":42"))), 1, 1).alias("b")).groupBy("b").count().collect()
+    assert len(buckets) == 16 and max(r["count"] for r in buckets) < 600

@@ -71,7 +71,7 @@ def test_patterns_match_like_python(spark):
     texts = ["".join(rng.choice(words) + rng.choice(glue) for _ in range(rng.randrange(1, 4))) for _ in range(600)] + words
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = rows.select(
-        "id", *[X.matches_any(F.col("t"), p).alias(c) for c, p in C.WEAK_LABEL_PATTERNS.items()]
+        "id", *[X.matches_any(F.col("t"), F.col("t").cast("binary"), p).alias(c) for c, p in C.WEAK_LABEL_PATTERNS.items()]
     ).collect()
     for row in got:
         for category, patterns in C.WEAK_LABEL_PATTERNS.items():
@@ -127,7 +127,7 @@ def test_lists_of_patterns_match_like_python(spark):
     parts = ["x", "b", "token", "bug", "null", "fixes", "fixs", "o(n", "auth", "ac", "abc", "cd", "z", "clean", "up", "off", "by", " ", "-", "_", "é"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6))) for _ in range(800)]
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    got = rows.select("id", *[X.matches_any(F.col("t"), p).alias(str(i)) for i, p in enumerate(lists)]).collect()
+    got = rows.select("id", *[X.matches_any(F.col("t"), F.col("t").cast("binary"), p).alias(str(i)) for i, p in enumerate(lists)]).collect()
     for row in got:
         for i, patterns in enumerate(lists):
             assert row[str(i)] == any(re.search(p, texts[row.id]) for p in patterns), (patterns, texts[row.id])
