@@ -29,7 +29,10 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def attach_weights(rows: DataFrame, weights: DataFrame, label: str = "label") -> DataFrame:
-    """Add the weight of its class to each row; the weights are five rows by construction."""
+    """Add the weight of its class to each row; the weights are five rows by construction.
+
+    A label outside the five classes has no weight and its row drops out, as in ``trainable``.
+    """
     table = weights.select(F.col("category").alias(label), "weight")
     return rows.join(F.broadcast(table), label)
 
@@ -48,27 +51,29 @@ def assign_folds(
     rows may be equal. The rows are ranked by class and then by the hash of
     key and seed, and dealt out in turn. A class is not sorted in one task: a bucket of
     the hash is ranked on its own and shifted by the number of rows before it. The table
-    of these shifts has at most classes * 16^bucket_digits rows, whatever the input, so
+    of these shifts has at most 6 * 16^bucket_digits rows, whatever the input, so
     it is broadcast and summed up in one small window. ``rows`` is read twice, so pass a
     written table where a column is dear to compute.
     """
-    hashed = rows.withColumn(
-        "_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    ).withColumn("_bucket", F.substring("_hash", 1, bucket_digits))
-    before = Window.orderBy(category_index(F.col(label)), "_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
+    # Labels outside the domain count as one more class, so there are six at most.
+    hashed = (
+        rows.withColumn("_class", F.coalesce(category_index(F.col(label)), F.lit(-1)))
+        .withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+        .withColumn("_bucket", F.substring("_hash", 1, bucket_digits))
     )
+    before = Window.orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        hashed.groupBy(label, "_bucket")
+        hashed.groupBy("_class", "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(label, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        .select("_class", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     )
-    within = Window.partitionBy(label, "_bucket").orderBy("_hash", key)
+    within = Window.partitionBy("_class", "_bucket").orderBy("_hash", key)
+    place = F.col("_before") + F.col("_rank") - 1
     return (
         hashed.withColumn("_rank", F.row_number().over(within))
-        .join(F.broadcast(shifts), [label, "_bucket"])
-        .withColumn("fold", (F.pmod(F.col("_before") + F.col("_rank") - 1, F.lit(k)) + 1).cast("int"))
-        .drop("_hash", "_bucket", "_rank", "_before")
+        .join(F.broadcast(shifts), ["_class", "_bucket"])
+        .withColumn("fold", (F.pmod(place, F.lit(k)) + 1).cast("int"))
+        .drop("_class", "_hash", "_bucket", "_rank", "_before")
     )
 
 

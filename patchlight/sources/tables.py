@@ -70,3 +70,13 @@ def write_labelled_run(labelled: DataFrame, path: str, run_id: str) -> None:
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """The labelled rows of all runs."""
     return spark.read.schema(schemas.LABELLED_DATA).parquet(path)
+
+
+def read_findings(spark: SparkSession, path: str) -> DataFrame:
+    """A written findings table, the input of the roll-ups."""
+    return spark.read.schema(schemas.FINDINGS).parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Written predictions, the input of the metrics."""
+    return spark.read.schema(schemas.PREDICTIONS).parquet(path)

@@ -58,7 +58,7 @@ def test_one_hot_class_is_ranked_in_many_tasks(spark):
     folded = folds.assign_folds(spark.range(20000).select(F.col("id").alias("key"), label.alias("label")), "key")
     plan = folded._jdf.queryExecution().executedPlan().toString()
     window = next(line for line in plan.splitlines() if "row_number()" in line)
-    assert re.search(r"label#\d+, _bucket#\d+, _hash#\d+ ASC", window)
+    assert re.search(r"_class#\d+, _bucket#\d+, _hash#\d+ ASC", window)
     sizes = [r["count"] for r in folded.groupBy("label", "fold").count().collect()]
     assert sorted(sizes) == [1000] * 5 + [3000] * 5
 
@@ -144,3 +144,9 @@ def test_equal_rows_are_dealt_out_evenly(spark, tmp_path):
     assert sorted(r["count"] for r in sizes) == [400] * 5 + [1000] * 5
     buckets = rows.select(F.substring(F.md5(F.concat("row_id", F.lit(":42"))), 1, 1).alias("b")).groupBy("b").count().collect()
     assert len(buckets) == 16 and max(r["count"] for r in buckets) < 600
+
+
+def test_labels_outside_the_domain_make_one_class(spark):
+    rows = spark.range(100).select(F.col("id").alias("key"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("label"))
+    got = folds.assign_folds(rows, "key")
+    assert [r["count"] for r in got.groupBy("fold").count().collect()] == [20] * 5

@@ -11,7 +11,8 @@ from patchlight.operators import findings as FI
 from patchlight.plans.review import by_keywords, find, review
 from patchlight.sources import changed_files as S
 from patchlight.sources.code_files import read_code_files
-from patchlight.sources.tables import materialise, read_csv, write_table
+from patchlight.session import spread, work_dir
+from patchlight.sources.tables import materialise, read_csv, read_findings, write_table
 from patchlight.streaming import continuous_review as stream
 
 URL = "https://github.com/o/r/pull/"
@@ -260,3 +261,35 @@ def test_the_summary_labels_each_chunk_once(spark):
     summary.collect()
     plan = summary._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "ReusedExchange" in plan and plan.count("array_max") == 1
+
+
+def test_roll_ups_of_a_written_findings_table_read_only_their_columns(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    found = find(many_files(spark)).withColumn("feedback", F.lit(""))
+    write_table(found, path)
+    summary = rollups.summary(read_findings(spark, path))
+    assert summary.collect() == rollups.summary(found).collect()
+    plan = summary._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<filename:string,category:string>" in plan and "Not(EqualTo(category,ok))" in plan
+
+
+def test_spread_leaves_a_scan_with_enough_splits_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(1).write.parquet(path)
+    small = spark.read.parquet(path)
+    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    large = spark.range(0, 100, 1, 40)
+    assert spread(large, "id") is large
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Cluster:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(Cluster(), "x")
