@@ -143,19 +143,21 @@ def reviews_without_code(spark, sf):
     return S.without_reviewable_file(files, files)
 
 
-def _second_lines(spark, sf):
-    """The second line of each document as pasted code; blank for a text of one line."""
-    line = F.coalesce(F.get(F.split("text", "\n"), F.lit(1)), F.lit(" \t"))
-    return T.documents(spark, sf).select("doc_id", line.alias("code"))
+def _partly_blank(spark, sf):
+    """Documents as pasted code; of those without a label only the white space is left."""
+    known = T.labels(spark, sf).select("doc_id", F.lit(True).alias("known"))
+    code = F.when(F.col("known"), F.col("text")).otherwise(F.regexp_replace("text", r"\S", ""))
+    return T.documents(spark, sf).join(known, "doc_id", "left").select("doc_id", code.alias("code"))
 
 
 @check(
     "P3",
-    """SELECT doc_id, CASE WHEN trim(coalesce(string_split(text, chr(10))[2], ''), ' ' || chr(9)) = ''
-                            THEN 'code is empty' ELSE 'usable' END AS outcome FROM documents""",
+    r"""WITH raw AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN regexp_replace(text, '\S', '', 'g') ELSE text END AS code
+                     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+        SELECT doc_id, CASE WHEN regexp_matches(code, '\S') THEN 'usable' ELSE 'code is empty' END AS outcome FROM raw""",
 )
 def blank_code(spark, sf):
-    usable, blank = S.split_blank_code(_second_lines(spark, sf))
+    usable, blank = S.split_blank_code(_partly_blank(spark, sf))
     return usable.select("doc_id", F.lit("usable").alias("outcome")).unionByName(
         blank.select("doc_id", F.col("reason").alias("outcome"))
     )

@@ -56,9 +56,10 @@ def assign_folds(
     written table where a column is dear to compute.
     """
     # Labels outside the domain count as one more class, so there are six at most.
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
     hashed = (
         rows.withColumn("_class", F.coalesce(category_index(F.col(label)), F.lit(-1)))
-        .withColumn("_hash", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))))
+        .withColumn("_hash", F.coalesce(digest, F.lit("")))
         .withColumn("_bucket", F.substring("_hash", 1, bucket_digits))
     )
     before = Window.orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
