@@ -11,6 +11,7 @@ from patchlight.operators import filters, rollups
 from patchlight.operators import findings as FI
 from patchlight.plans.review import by_keywords, find, review
 from patchlight.session import work_dir
+from patchlight.sources import changed_files as S1
 from patchlight.sources.tables import materialise
 from patchlight.streaming import continuous_review as S
 
@@ -30,6 +31,24 @@ def review_findings_default_words(spark, sf):
     return find(T.files(spark, sf)).select(*FINDING.split(", "))
 
 
+BOTH_SOURCES = T.with_records() + f""",
+    files AS (SELECT review_key, filename, {T.SQL_LANGUAGE} AS language, patch FROM records
+              UNION ALL SELECT 'page ' || page_id, 'pasted_code', 'Unknown', html FROM pages)"""
+
+
+@check("E5 U1", f"WITH {T.with_findings(30, T.TEST_KEYWORDS, BOTH_SOURCES)} SELECT {FINDING} FROM findings")
+def review_of_all_inputs(spark, sf):
+    """Landed review records and the sources of the pages as pasted code, in one review run."""
+    raw = T.pages(spark, sf).select(
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("review_key"),
+        F.col("html").alias("code"),
+        F.lit(None).cast("string").alias("filename"),
+    )
+    usable, _ = S1.split_blank_code(raw)
+    files = S1.all_inputs(S1.from_pr_files(T.pr_records(spark, sf)), S1.from_raw_code(usable))
+    return find(files, LABEL).select(*FINDING.split(", "))
+
+
 @check(
     "A1",
     f"""WITH {T.with_findings()}

@@ -306,8 +306,9 @@ def with_files() -> str:
               FROM named)"""
 
 
-def with_chunks(k: int = C.MAX_CHUNK_LINES) -> str:
-    return with_files() + f""",
+def with_chunks(k: int = C.MAX_CHUNK_LINES, files: str | None = None) -> str:
+    """Chunks of the table files, or of another definition of it."""
+    return (files or with_files()) + f""",
     lines AS (SELECT * EXCLUDE (patch), string_split(
                  CASE WHEN ends_with(patch, chr(10)) THEN left(patch, length(patch) - 1) ELSE patch END, chr(10)) AS ls
               FROM files WHERE patch <> ''),
@@ -316,8 +317,10 @@ def with_chunks(k: int = C.MAX_CHUNK_LINES) -> str:
                       array_to_string(ls[i * {k} + 1 : i * {k} + {k}], chr(10)) AS chunk FROM cuts)"""
 
 
-def with_findings(k: int = C.MAX_CHUNK_LINES, keywords: dict | None = None) -> str:
-    return with_chunks(k) + f""",
+def with_findings(
+    k: int = C.MAX_CHUNK_LINES, keywords: dict | None = None, files: str | None = None
+) -> str:
+    return with_chunks(k, files) + f""",
     findings AS (SELECT *, {sql_heuristic('chunk', keywords or TEST_KEYWORDS)} AS category,
                         CAST(0 AS DOUBLE) AS confidence FROM chunks)"""
 
