@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.llm import bpe, chat, fingerprints, packing, quality, token_counts, toxicity
+from patchlight.llm import bpe, brown, chat, fingerprints, packing, quality, token_counts, toxicity
 from patchlight.llm.common import documents, labels
 
 
@@ -50,3 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     judged = quality.judge(docs.select("doc_id", "text"), quality.fit(docs, labels(spark, sf)))
     return judged.select("row.doc_id", *quality.COUNTS, "base_failed", "score", "kept")
+
+
+def op2_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return brown.score_documents(documents(spark, sf))
