@@ -14,6 +14,8 @@ and ties in cost keep the order of the rows. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,7 +23,6 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,18 @@ PIECES = (
 )
 
 # Texts of these characters alone are their own NFC form, and lower-casing them knows no context.
-OTHER = regex.compile(r"[^\t\n\r -~¡-ɏ]")
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+OTHER = re.compile(r"[^\t\n\r -~¡-ɏ]")
+
+
+def _signs(kind: str) -> str:
+    """The characters of a class among those and their lower-case forms, for a set of a pattern."""
+    signs = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x250)]]
+    signs = dict.fromkeys([*signs, *"".join(signs).lower()])
+    return "".join(re.escape(c) for c in signs if unicodedata.category(c)[0] == kind)
+
+
+# The words of the tokenizer's own pattern; letters come first, which no other branch starts with.
+WORDS = re.compile(rf"[{_signs('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_signs('N')}]|[^\s{_signs('L')}{_signs('N')}]+")
 
 
 class WordIds:
@@ -53,7 +64,7 @@ class WordIds:
         self.tokenizer = load_tokenizer(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, added)) or "(?!)")
+        self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.by_word = path == public_tokenizers.path("word_bpe_49k.json")
         closing = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.closes = np.zeros(1 << 16, bool)
@@ -79,12 +90,15 @@ class WordIds:
             return self._library([text])[0]
         words = WORDS.findall(text.lower())
         known = self.known
-        if new := [word for word in dict.fromkeys(words) if word not in known]:
+        ids = list(map(known.get, words))
+        if None in ids:
+            new = list(dict.fromkeys(word for word, held in zip(words, ids, strict=True) if held is None))
             if len(known) + len(new) > KEPT_WORDS:
                 known.clear()
                 new = list(dict.fromkeys(words))
             known.update(zip(new, self._words(new), strict=True))
-        return b"".join([known[word] for word in words])
+            ids = [known[word] for word in words]
+        return b"".join(ids)
 
 
 @cache
