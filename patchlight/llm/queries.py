@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlight.llm import bpe, brown, chat, fingerprints, jaccard, packing, quality, token_counts, toxicity
+from patchlight.llm import bpe, brown, chat, fingerprints, jaccard, packing, quality, substrings, token_counts, toxicity
 from patchlight.llm.common import documents, labels
 
 
@@ -58,3 +58,7 @@ def op2_brown_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf)).select("doc_id", "class_id", "n_links", "copy_class")
+
+
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.removal_digests(documents(spark, sf))
