@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from patchlight.llm import queries as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name: query for name, query in vars(Q).items() if name.startswith("op") and callable(query)
+    name: query for name, query in vars(Q).items() if (name.startswith("op") or name == "pipeline") and callable(query)
 }
+# No query of this package has a SQL form: see README.
 SQL: dict[str, str] = {}

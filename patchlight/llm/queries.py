@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from patchlight.llm import bpe, brown, chat, fingerprints, jaccard, packing, quality, substrings, token_counts, toxicity
 from patchlight.llm.common import documents, labels
 
@@ -62,3 +63,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.removal_digests(documents(spark, sf))
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)

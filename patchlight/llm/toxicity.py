@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from patchlight.llm.common import text_of, written
 
@@ -44,7 +45,8 @@ LONGEST_TERM = 40
 THRESHOLD = 0.7
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
-SCORES = "doc_id bigint, score double, evidence array<struct<example bigint, cosine double, label int>>"
+_NEAR = StructType().add("example", "long").add("cosine", "double").add("label", "integer")
+EVIDENCE = StructType().add("score", "double").add("evidence", ArrayType(_NEAR))
 
 
 def terms_of(text: str) -> Counter:
@@ -218,22 +220,28 @@ def _keep(counted: DataFrame, kept: set[str]) -> DataFrame:
     return counted.mapInArrow(run, counted.schema)
 
 
-def score(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, score and evidence (the nearest examples) of every row of ``docs`` (doc_id, text)."""
+def score_rows(docs: DataFrame, index: Index) -> DataFrame:
+    """All rows of ``docs`` as ``row``, with score and evidence (the nearest examples)."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = pickle.loads(shared.value)
         kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            found = [model.score(text) for text in batch.column("text").to_pylist()]
+            found = [model.score(text or "") for text in batch.column("row").field("text").to_pylist()]
             evidence = [
                 [{"example": int(model.ids[i]), "cosine": c, "label": int(model.labels[i])} for c, i in near]
                 for _, near in found
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)],
-                names=["doc_id", "score", "evidence"],
+                [batch.column("row"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)],
+                names=["row", "score", "evidence"],
             )
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, SCORES)
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *EVIDENCE.fields]))
+
+
+def score(docs: DataFrame, index: Index) -> DataFrame:
+    """doc_id, score and evidence of every row of ``docs`` (doc_id, text)."""
+    return score_rows(docs.select("doc_id", "text"), index).select("row.doc_id", "score", "evidence")
