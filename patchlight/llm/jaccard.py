@@ -226,8 +226,11 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     met = classes.select("id", F.explode("nodes").alias("node"))
     hubs = written(met.groupBy("node").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
-    stars = met.join(hubs, "node").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    near = components(stars)
+    # A class is linked to its smallest hub, and that one to its other hubs (at most one per tree).
+    seen = met.join(hubs, "node").groupBy("id").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("a"))
+    seen = written(seen, "seen")
+    hubs_of = seen.select("a", F.explode("hubs").alias("b")).where("a <> b").distinct()
+    near = components(hubs_of.unionByName(seen.where("a <> id").select("a", F.col("id").alias("b"))))
 
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = near.join(classes.select("id", "one", "copies"), "id").join(written(sizes, "sizes"), "component")
