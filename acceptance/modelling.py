@@ -8,13 +8,13 @@ from acceptance.registry import check
 from patchlight import constants as C
 from patchlight.functions.labels import top_category, top_confidence
 from patchlight.operators import classifier as M
+from patchlight.operators.folds import attach_weights, class_weights
 from patchlight.operators import metrics
 from patchlight.plans.review import by_model, review
 from patchlight.session import work_dir
 from patchlight.sources.models import load_model, save_model
+from patchlight.sources.tables import materialise
 
-SIZE = 1024
-STEPS = 20
 TOKENS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -26,43 +26,43 @@ TOKENS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 )
 def bounded_tokens(spark, sf):
     """The hashed counts of a text add up to its tokens, 512 at most."""
-    counted = M.token_counts(T.code_rows(spark, sf), "code", SIZE)
+    counted = M.token_counts(T.code_rows(spark, sf), "code", M.SIZE)
     total = F.aggregate(vector_to_array("counts"), F.lit(0.0), lambda a, x: a + x)
     return counted.select("key", total.cast("bigint").alias("n_tokens"))
 
 
 @check("M1")
 def token_features(spark, sf):
-    return M.token_counts(T.code_rows(spark, sf), "code", SIZE).select(
+    return M.token_counts(T.code_rows(spark, sf), "code", M.SIZE).select(
         "key", vector_to_array("counts").alias("counts")
     )
 
 
-def _model(spark, sf, text="code"):
-    rows = T.code_rows(spark, sf).withColumnRenamed("code", text)
-    return M.train(rows, text, "label", SIZE, max_iter=STEPS)
+def _model(rows, text="code"):
+    return M.train(rows.withColumnRenamed("code", text), text)
 
 
 @check("M2 M3")
 def classified_texts(spark, sf):
     rows = T.code_rows(spark, sf)
-    return M.classify(rows, _model(spark, sf)).drop("code")
+    return M.classify(rows, _model(rows)).drop("code")
 
 
 @check("S9")
 def saved_model_scores(spark, sf):
     path = work_dir(spark, "model")
-    save_model(_model(spark, sf), path)
-    return M.classify(T.code_rows(spark, sf), load_model(spark, path)).drop("code")
+    rows = T.code_rows(spark, sf)
+    save_model(_model(rows), path)
+    return M.classify(rows, load_model(spark, path)).drop("code")
 
 
 @check("S9", "SELECT doc_id AS key, TRUE AS same FROM documents")
 def saved_model_agrees(spark, sf):
     """A model read back gives each text the category and confidence it had before."""
     path = work_dir(spark, "model")
-    model = _model(spark, sf)
-    save_model(model, path)
     rows = T.code_rows(spark, sf)
+    model = _model(rows)
+    save_model(model, path)
     before = M.classify(rows, model).select("key", F.struct("category", "confidence").alias("before"))
     after = M.classify(rows, load_model(spark, path)).select(
         "key", F.struct("category", "confidence").alias("after")
@@ -91,10 +91,35 @@ def external_model_scores(spark, sf):
     return M.classify_external(rows, "text", load).select("doc_id", "category", "confidence")
 
 
+def _objective(spark, sf):
+    return M.training_objective(M.fit(M.prepare(T.code_rows(spark, sf), "code", "label", M.SIZE)))
+
+
 @check("A16")
 def training_loss(spark, sf):
-    prepared = M.prepare(T.code_rows(spark, sf), "code", "label", SIZE)
-    return M.training_loss(M.fit(prepared, max_iter=STEPS))
+    return _objective(spark, sf)
+
+
+@check("A16", "SELECT round(ln(5), 6) AS first, TRUE AS never_rises")
+def training_objective_falls(spark, sf):
+    """With balanced weights the first objective is ln 5, and no step raises it."""
+    steps = _objective(spark, sf).agg(F.sort_array(F.collect_list(F.struct("step", "objective"))).alias("s"))
+    rises = F.exists(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.get("s.objective", i) > F.get("s.objective", i - 1))
+    return steps.select(F.round(F.get("s.objective", F.lit(0)), 6).alias("first"), (~rises).alias("never_rises"))
+
+
+@check(
+    "M2",
+    "SELECT c AS category, CAST(0.2 AS DOUBLE) AS mean_probability FROM (SELECT unnest(['bug','style','performance','security','ok']) AS c)",
+)
+def class_mean_probability(spark, sf):
+    """Where the fit has converged, the weighted mean probability of each class is its weighted share."""
+    rows = T.code_rows(spark, sf)
+    scored = _model(rows).transform(attach_weights(rows, class_weights(rows)))
+    p = vector_to_array("probability")
+    means = [(F.sum(F.col("weight") * F.get(p, F.lit(i))) / F.sum("weight")).alias(c) for i, c in enumerate(C.CATEGORIES)]
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.round(c, 1).alias("mean_probability")) for c in C.CATEGORIES])
+    return scored.agg(*means).select(F.inline(pairs))
 
 
 @check(
@@ -103,9 +128,9 @@ def training_loss(spark, sf):
         scored AS (SELECT vec_id, list_max([p1, p2, p3, p4, p5]) AS p,
                           ['bug','style','performance','security','ok'][list_position([p1, p2, p3, p4, p5], list_max([p1, p2, p3, p4, p5]))] AS c
                    FROM probabilities)
-        SELECT doc_id, CASE WHEN p < 0.235 THEN {T.sql_heuristic('text', C.HEURISTIC_KEYWORDS)} ELSE c END AS category,
-               CASE WHEN p < 0.235 THEN 0 ELSE round(p, 6) END AS confidence
-        FROM documents JOIN scored ON doc_id = vec_id""",
+        SELECT doc_id, CASE WHEN coalesce(p, 0) < 0.235 THEN {T.sql_heuristic('text', C.HEURISTIC_KEYWORDS)} ELSE c END AS category,
+               CASE WHEN coalesce(p, 0) < 0.235 THEN 0 ELSE round(p, 6) END AS confidence
+        FROM documents LEFT JOIN scored ON doc_id = vec_id""",
 )
 def low_confidence_fallback(spark, sf):
     scores = T.probabilities(spark, sf).select(
@@ -113,7 +138,8 @@ def low_confidence_fallback(spark, sf):
         top_category(F.col("p")).alias("category"),
         top_confidence(F.col("p")).alias("confidence"),
     )
-    scored = T.documents(spark, sf).select("doc_id", F.col("text").alias("chunk")).join(scores, "doc_id")
+    scored = T.documents(spark, sf).select("doc_id", F.col("text").alias("chunk")).join(scores, "doc_id", "left")
+    scored = scored.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     return M.apply_fallback(scored, 0.235).select(
         "doc_id", "category", F.round("confidence", 6).alias("confidence")
     )
@@ -144,9 +170,7 @@ def embedding_norms(spark, sf):
 
 
 def _cross_validated(spark, sf):
-    return M.cross_validate(
-        T.code_rows(spark, sf), "key", size=SIZE, parallelism=4, max_iter=STEPS
-    )
+    return M.cross_validate(T.code_rows(spark, sf), "key", parallelism=4)
 
 
 @check("M6 A13")
@@ -169,15 +193,67 @@ def cross_validated_rows(spark, sf):
     return _cross_validated(spark, sf)[0].select("key", "label", "fold")
 
 
+@check(
+    "M6 A13",
+    f"WITH {T.with_training()} SELECT label, count(*) AS support FROM training GROUP BY label",
+)
+def cross_validation_supports(spark, sf):
+    """The supports of the report are the sizes of the classes."""
+    report = metrics.classification_report(_cross_validated(spark, sf)[0])
+    known = report.where(F.col("name").isin(*C.CATEGORIES) & (F.col("support") > 0))
+    return known.select(F.col("name").alias("label"), F.col("support").cast("bigint").alias("support"))
+
+
+@check("M6 A11", f"SELECT CAST(i AS INTEGER) AS fold, TRUE AS same FROM (SELECT unnest(range(1, {C.N_FOLDS + 1})) AS i)")
+def cross_validation_accuracies(spark, sf):
+    """The accuracy of each fold is the share of its written predictions that are right."""
+    predicted = materialise(_cross_validated(spark, sf)[0], "predictions")
+    plain = predicted.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("int")).alias("plain"))
+    reported = metrics.fold_metrics(predicted).select("fold", "accuracy")
+    return reported.join(plain, "fold").select("fold", (F.abs(F.col("accuracy") - F.col("plain")) < 1e-9).alias("same"))
+
+
 @check("M7")
 def final_model_scores(spark, sf):
-    _, model = _cross_validated(spark, sf)
-    return M.classify(T.code_rows(spark, sf), model).drop("code")
+    rows = T.code_rows(spark, sf)
+    _, model = M.cross_validate(rows, "key", parallelism=4)
+    return M.classify(rows, model).drop("code")
+
+
+@check(
+    "M7",
+    f"""WITH {T.with_training()}, coded AS (SELECT CAST(pr_number AS VARCHAR) AS key, label FROM training),
+        folded AS (SELECT key, {T.sql_fold('key')} AS fold FROM coded)
+        SELECT key, TRUE AS same FROM folded WHERE fold = {C.N_FOLDS}""",
+)
+def final_model_agrees(spark, sf):
+    """The model that comes back gives the rows of the last fold the labels pooled for them."""
+    rows = T.code_rows(spark, sf)
+    predicted, model = M.cross_validate(rows, "key", parallelism=4)
+    pooled = predicted.where(F.col("fold") == C.N_FOLDS).select("key", "prediction")
+    scored = M.classify(rows, model).select(F.col("key").cast("string").alias("key"), "category")
+    return pooled.join(scored, "key").select("key", (F.col("prediction") == F.col("category")).alias("same"))
 
 
 @check("M3 M8")
 def model_review(spark, sf):
-    model = _model(spark, sf, "chunk")
-    return review(T.files(spark, sf), T.comments(spark, sf), by_model(model), 5).select(
-        "filename", "chunk_index", "category", "confidence", "feedback"
+    return _reviewed(spark, sf).select("filename", "chunk_index", "category", "confidence", "feedback")
+
+
+def _reviewed(spark, sf):
+    model = _model(T.code_rows(spark, sf), "chunk")
+    return review(T.files(spark, sf), T.comments(spark, sf), by_model(model), 5)
+
+
+@check(
+    "M8",
+    f"""WITH {T.with_commented()} SELECT review_key, filename, language, chunk_index, chunk, feedback,
+               TRUE AS known_category, TRUE AS fair_confidence FROM commented""",
+)
+def model_review_columns(spark, sf):
+    """A model changes category and confidence alone, to one of five and to 0.2 or more."""
+    return _reviewed(spark, sf).select(
+        "review_key", "filename", "language", "chunk_index", "chunk", "feedback",
+        F.col("category").isin(*C.CATEGORIES).alias("known_category"),
+        F.col("confidence").between(0.2, 1.0).alias("fair_confidence"),
     )

@@ -9,10 +9,10 @@ from patchlight.functions import display
 from patchlight.operators import distributions as D
 from patchlight.operators import filters, rollups
 from patchlight.operators import findings as FI
-from patchlight.plans.review import by_keywords, find, review
+from patchlight.plans.review import by_keywords, find, respond, review
 from patchlight.session import work_dir
 from patchlight.sources import changed_files as S1
-from patchlight.sources.tables import materialise
+from patchlight.sources.tables import materialise, with_row_id
 from patchlight.streaming import continuous_review as S
 
 LABEL = by_keywords(T.TEST_KEYWORDS)
@@ -151,55 +151,97 @@ def commented_file_results(spark, sf):
     )
 
 
-# Files in a part; small, so that the reviews of the test tables need several.
-FILES_PER_PART = 16
-
-PART = "CAST(('0x' || left(md5(filename), 12))::BIGINT % n_parts AS INTEGER)"
-RESULTS = f"""
-    counts AS (SELECT review_key, count(*) AS total_chunks, count(*) FILTER (category <> 'ok') AS total_issues,
+def _counts_sql(findings: str = "findings", files: str = "files") -> str:
+    """Totals of the reviews that have a file with a patch."""
+    return f"""
+    sizes AS (SELECT review_key, count(*) AS n_files FROM {files} WHERE patch <> '' GROUP BY review_key),
+    counts AS (SELECT s.review_key, n_files, count(category) AS total_chunks,
+                      count(*) FILTER (category <> 'ok') AS total_issues,
                       {', '.join(f"count(*) FILTER (category = '{c}') AS n_{c}" for c in C.CATEGORIES)}
-               FROM findings GROUP BY review_key),
-    sizes AS (SELECT review_key, CAST(ceil(count(*) / {FILES_PER_PART}) AS INTEGER) AS n_parts FROM files GROUP BY review_key),
-    nested AS (SELECT f.review_key, f.filename, f.language, f.additions, f.deletions,
+               FROM sizes s LEFT JOIN {findings} f ON s.review_key = f.review_key GROUP BY s.review_key, n_files)"""
+
+
+COUNTS = ["n_files", "total_chunks", "total_issues", *[f"n_{c}" for c in C.CATEGORIES]]
+NESTED = f"""
+    nested AS (SELECT f.doc_id, f.review_key, f.filename, f.language, f.additions, f.deletions,
                       list({SQL_FINDING} ORDER BY chunk_index) AS findings
-               FROM (SELECT *, '' AS feedback FROM findings) f GROUP BY ALL),
-    parts AS (SELECT n.review_key, {PART} AS part, n_parts,
-                     list({{'filename': filename, 'language': language, 'additions': additions,
-                            'deletions': deletions, 'findings': findings}} ORDER BY filename) AS files
-              FROM nested n JOIN sizes s ON n.review_key = s.review_key GROUP BY ALL)"""
+               FROM (SELECT *, '' AS feedback FROM findings) f GROUP BY ALL)"""
+FILE_JSON = """{'filename': filename, 'language': language, 'additions': additions, 'deletions': deletions, 'findings': findings}"""
+TOTALS_JSON = f"""{{'n_files': n_files, 'total_chunks': total_chunks, 'total_issues': total_issues,
+               'category_counts': {{{', '.join(f"'{c}': n_{c}" for c in C.CATEGORIES)}}}}}"""
+ROWS_SQL = f"""SELECT review_key, 'file' AS kind, filename, len(findings) AS n_findings,
+               {', '.join(f'CAST(NULL AS BIGINT) AS {c}' for c in COUNTS)} FROM nested
+        UNION ALL SELECT review_key, 'totals', NULL, NULL, {', '.join(COUNTS)} FROM counts"""
+DOCUMENTS_SQL = f"""SELECT review_key, 'file' AS kind, filename, CAST(to_json({FILE_JSON}) AS VARCHAR) AS json FROM nested
+        UNION ALL SELECT review_key, 'totals', NULL, CAST(to_json({TOTALS_JSON}) AS VARCHAR) FROM counts"""
 
 
 def _results(spark, sf):
     files = materialise(
         rollups.label_files(T.files(spark, sf), keywords=T.TEST_KEYWORDS), "file-results"
     )
-    return rollups.review_results(files, FILES_PER_PART)
+    return rollups.review_results(files)
+
+
+def _flat(results):
+    totals = F.col("totals")
+    sums = ["n_files", "total_chunks", "total_issues"]
+    return results.select(
+        "review_key", "kind", F.col("file.filename").alias("filename"),
+        F.when(F.col("kind") == "file", F.size("file.findings").cast("bigint")).alias("n_findings"),
+        *[totals[c].cast("bigint").alias(c) for c in sums],
+        *[totals["category_counts"][c].cast("bigint").alias(f"n_{c}") for c in C.CATEGORIES],
+    )
+
+
+@check("A5", f"WITH {T.with_findings()}, {_counts_sql()}, {NESTED} {ROWS_SQL}")
+def review_results(spark, sf):
+    return _flat(_results(spark, sf))
+
+
+@check("S8 A5", f"WITH {T.with_findings()}, {_counts_sql()}, {NESTED} {DOCUMENTS_SQL}")
+def review_result_json(spark, sf):
+    return rollups.result_json(_results(spark, sf))
+
+
+RECORD_FILES = T.with_records() + f""",
+    files AS (SELECT doc_id, review_key, filename, {T.SQL_LANGUAGE} AS language, patch,
+                     coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions FROM records)"""
+RECORD_FINDINGS = T.with_findings(30, T.TEST_KEYWORDS, RECORD_FILES)
 
 
 @check(
-    "A5",
-    f"""WITH {T.with_findings()}, {RESULTS}
-        SELECT p.review_key, part, n_parts, len(files) AS n_files, total_chunks, total_issues,
-               n_bug, n_style, n_performance, n_security, n_ok
-        FROM parts p JOIN counts c ON p.review_key = c.review_key""",
+    "A4",
+    f"""WITH {RECORD_FINDINGS}, {NESTED}
+        SELECT review_key, filename, language, additions, deletions, CAST(to_json(findings) AS VARCHAR) AS findings FROM nested""",
 )
-def review_results(spark, sf):
-    return _results(spark, sf).select(
-        "review_key", "part", "n_parts", F.size("files").cast("bigint").alias("n_files"),
-        "total_chunks", "total_issues",
-        *[F.col("category_counts")[c].alias(f"n_{c}") for c in C.CATEGORIES],
-    )
+def record_file_results(spark, sf):
+    """Landed records with files that have no patch and files of one name."""
+    files = S1.from_pr_files(T.pr_records(spark, sf))
+    return rollups.label_files(files, keywords=T.TEST_KEYWORDS).withColumn("findings", F.to_json("findings"))
 
 
 @check(
-    "S8 A5",
-    f"""WITH {T.with_findings()}, {RESULTS}
-        SELECT p.review_key, part, CAST(to_json({{'files': files, 'total_chunks': total_chunks, 'total_issues': total_issues,
-               'category_counts': {{{', '.join(f"'{c}': n_{c}" for c in C.CATEGORIES)}}}}}) AS VARCHAR) AS json
-        FROM parts p JOIN counts c ON p.review_key = c.review_key""",
+    "A4",
+    f"""WITH {RECORD_FINDINGS}, {NESTED}
+        SELECT review_key, filename, language, additions, deletions, CAST(to_json(findings) AS VARCHAR) AS findings FROM nested""",
 )
-def review_result_json(spark, sf):
-    return rollups.result_json(_results(spark, sf))
+def record_nested_findings(spark, sf):
+    """The same from the findings table, by the place of each file in the landed table."""
+    files = with_row_id(materialise(S1.from_pr_files(T.pr_records(spark, sf)), "files"))
+    found = find(files, LABEL).withColumn("feedback", F.lit(""))
+    return rollups.nest_findings(files, found, "row_id").withColumn("findings", F.to_json("findings"))
+
+
+@check("A5 E5", f"WITH {RECORD_FINDINGS}, {_counts_sql()}, {NESTED} {ROWS_SQL}")
+def record_review_results(spark, sf):
+    """From landed records to the response of each review."""
+    return _flat(respond(T.pr_records(spark, sf), keywords=T.TEST_KEYWORDS))
+
+
+@check("S8 E5", f"WITH {RECORD_FINDINGS}, {_counts_sql()}, {NESTED} {DOCUMENTS_SQL}")
+def record_review_json(spark, sf):
+    return rollups.result_json(respond(T.pr_records(spark, sf), keywords=T.TEST_KEYWORDS))
 
 
 @check(
@@ -338,6 +380,6 @@ def continuous_review_findings(spark, sf):
 
 @check("E6", f"WITH {T.with_findings()} SELECT category, count(*) AS n FROM findings GROUP BY category")
 def continuous_review_counts(spark, sf):
-    path, checkpoint = work_dir(spark, "counts"), work_dir(spark, "checkpoint")
-    S.write_counts(_stream(spark, sf), path, checkpoint, LABEL).awaitTermination()
+    path, checkpoint = work_dir(spark, "findings"), work_dir(spark, "checkpoint")
+    S.write_findings(_stream(spark, sf), path, checkpoint, LABEL).awaitTermination()
     return S.current_counts(spark, path)

@@ -10,7 +10,7 @@ from patchlight.functions.naming import language
 from patchlight.operators.chunks import explode_chunks
 from patchlight.session import work_dir
 from patchlight.sources import changed_files as S
-from patchlight.sources.code_files import code_text
+from patchlight.sources.code_files import code_text, read_code_files
 from patchlight.sources.tables import (
     read_csv,
     read_labelled,
@@ -41,6 +41,37 @@ def landed_review_bodies(spark, sf):
     return S.from_pr_files(S.records_of_bodies(bodies))
 
 
+@check(
+    "S1",
+    """SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'no body' WHEN 2 THEN 'not json' WHEN 3 THEN 'error object'
+                       WHEN 4 THEN 'empty list' END AS reason FROM pages WHERE page_id % 5 > 0""",
+)
+def rejected_review_bodies(spark, sf):
+    """Of five pages one is a readable reply; the others are missing, web pages, errors or empty."""
+    kind = F.col("page_id") % 5
+    entry = F.to_json(F.array(F.struct(F.col("url").alias("filename"), F.col("html").alias("patch"))))
+    body = (
+        F.when(kind == 0, entry)
+        .when(kind == 2, F.concat(F.lit("<"), F.col("html")))
+        .when(kind == 3, F.to_json(F.struct(F.col("html").alias("message"))))
+        .when(kind == 4, "[]")
+    )
+    bodies = T.pages(spark, sf).select(F.col("page_id").cast("string").alias("pr_url"), body.alias("body"))
+    rejects = S.split_bodies(bodies)[1]
+    return rejects.select(F.col("pr_url").cast("bigint").alias("page_id"), "reason")
+
+
+@check("S2", "SELECT doc_id, text AS code FROM documents")
+def code_files_read(spark, sf):
+    """All documents written as text files, a separator after each, and read as files of code."""
+    path = work_dir(spark, "code")
+    marked = F.concat_ws("\x02", F.col("doc_id").cast("string"), "text")
+    T.documents(spark, sf).select(marked.alias("value")).write.option("lineSep", "\x01").text(path)
+    rows = read_code_files(spark, path, "*.txt").select(F.explode(F.split("code", "\x01")).alias("r")).where("r <> ''")
+    parts = F.split("r", "\x02")
+    return rows.select(parts[0].cast("bigint").alias("doc_id"), parts[1].alias("code"))
+
+
 @check("S2", "SELECT doc_id, text AS code FROM documents")
 def code_files_decoded(spark, sf):
     """Document bytes with stray bytes before, and half a character after the text."""
@@ -144,16 +175,15 @@ def reviews_without_code(spark, sf):
 
 
 def _partly_blank(spark, sf):
-    """Documents as pasted code; of those without a label only the white space is left."""
-    known = T.labels(spark, sf).select("doc_id", F.lit(True).alias("known"))
-    code = F.when(F.col("known"), F.col("text")).otherwise(F.regexp_replace("text", r"\S", ""))
-    return T.documents(spark, sf).join(known, "doc_id", "left").select("doc_id", code.alias("code"))
+    """Documents as pasted code; of one in ten only the white space is left."""
+    code = F.when(F.col("doc_id") % 10 == 3, F.regexp_replace("text", r"\S", "")).otherwise(F.col("text"))
+    return T.documents(spark, sf).select("doc_id", code.alias("code"))
 
 
 @check(
     "P3",
-    r"""WITH raw AS (SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN regexp_replace(text, '\S', '', 'g') ELSE text END AS code
-                     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+    r"""WITH raw AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN regexp_replace(text, '\S', '', 'g') ELSE text END AS code
+                     FROM documents)
         SELECT doc_id, CASE WHEN regexp_matches(code, '\S') THEN 'usable' ELSE 'code is empty' END AS outcome FROM raw""",
 )
 def blank_code(spark, sf):

@@ -17,7 +17,6 @@ from patchlight.operators.folds import assign_folds
 from patchlight.operators.findings import label_by_keywords, with_chunk_key
 from patchlight.operators.relabel import latest_replies, read_replies, with_key
 from patchlight.plans.training_set import build_training_set
-from patchlight.session import spread
 from patchlight.sources.tables import materialise
 
 # Word lists that the invented prose of the test tables does contain.
@@ -43,7 +42,8 @@ EXTENSIONS = [".py", ".ts", ".rs", ".cpp", ".go", ".md", ".SQL", ""]
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    return spread(spark.read.schema(schema).parquet(f"{sf}/documents.parquet"), "doc_id")
+    # The test files are single row groups; dealing the rows out is a shuffle at every size.
+    return spark.read.schema(schema).parquet(f"{sf}/documents.parquet").repartition("doc_id")
 
 
 def labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,22 +100,21 @@ def findings(
 
 
 def pr_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed review records: three documents to a review, a patch where labels has the document."""
-    known = labels(spark, sf).select("doc_id", F.lit(True).alias("known"))
-    return (
-        documents(spark, sf)
-        .join(known, "doc_id", "left")
-        .select(
-            F.concat(
-                F.lit("https://github.com/acme/web/pull/"),
-                F.floor(F.col("doc_id") / 3).cast("string"),
-                F.lit("/files"),
-            ).alias("pr_url"),
-            filename().alias("filename"),
-            F.when(F.col("known"), F.col("text")).alias("patch"),
-            F.when(F.col("known"), (F.col("n_chars") % 100).cast("int")).alias("additions"),
-            F.when(F.col("known"), (F.col("n_chars") % 7).cast("int")).alias("deletions"),
-        )
+    """Landed review records: three documents to a review.
+
+    One file in ten has no patch, nor has any of every fiftieth review; in every tenth review two files have one name,
+    and one file in seven comes without counts.
+    """
+    review = F.floor(F.col("doc_id") / 3)
+    bare = (F.col("doc_id") % 10 == 3) | (review % 50 == 7)
+    name = F.when((review % 10 == 4) & (F.col("doc_id") % 3 < 2), "twice.py").otherwise(filename())
+    counted = F.col("doc_id") % 7 > 0
+    return documents(spark, sf).select(
+        F.concat(F.lit("https://github.com/acme/web/pull/"), review.cast("string"), F.lit("/files")).alias("pr_url"),
+        name.alias("filename"),
+        F.when(~bare, F.col("text")).alias("patch"),
+        F.when(counted, (F.col("n_chars") % 100).cast("int")).alias("additions"),
+        F.when(counted, (F.col("n_chars") % 7).cast("int")).alias("deletions"),
     )
 
 
@@ -213,8 +212,13 @@ def comments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def probabilities(spark: SparkSession, sf: str) -> DataFrame:
-    """Softmax of the first five entries of each embedding."""
-    powers = F.transform(F.slice("embedding", 1, 5), lambda x: F.exp(x.cast("double")))
+    """Softmax of five sums over each embedding: entry i counts for class i modulo 5."""
+
+    def total_of(k: int) -> F.Column:
+        entries = F.filter("embedding", lambda _, i: i % 5 == k)
+        return F.aggregate(entries, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    powers = F.transform(F.array(*map(total_of, range(5))), lambda x: F.exp(x))
     total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
     return (
         embeddings(spark, sf)
@@ -295,7 +299,12 @@ SQL_LANGUAGE = (
     + " ELSE 'Unknown' END"
 )
 
-SQL_PREDICTED_KEY = "sha256(concat_ws(chr(1), repo, pr_number, original_label, code))"
+def sql_key(*columns: str) -> str:
+    fields = [f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns]
+    return "sha256(" + " || ".join(fields) + ")"
+
+
+SQL_PREDICTED_KEY = sql_key("repo", "pr_number", "original_label", "code")
 
 
 def with_files() -> str:
@@ -327,13 +336,14 @@ def with_findings(
 
 def with_records() -> str:
     return f"""
-    records AS (SELECT 'https://github.com/acme/web/pull/' || (d.doc_id // 3) || '/files' AS pr_url,
-                       'acme/web/' || (d.doc_id // 3) AS review_key,
-                       source || '/' || d.doc_id || {SQL_EXTENSION.replace('doc_id', 'd.doc_id')} AS filename,
-                       CASE WHEN l.doc_id IS NOT NULL THEN text END AS patch,
-                       CAST(CASE WHEN l.doc_id IS NOT NULL THEN n_chars % 100 END AS INTEGER) AS additions,
-                       CAST(CASE WHEN l.doc_id IS NOT NULL THEN n_chars % 7 END AS INTEGER) AS deletions
-                FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+    records AS (SELECT doc_id, 'https://github.com/acme/web/pull/' || (doc_id // 3) || '/files' AS pr_url,
+                       'acme/web/' || (doc_id // 3) AS review_key,
+                       CASE WHEN (doc_id // 3) % 10 = 4 AND doc_id % 3 < 2 THEN 'twice.py'
+                            ELSE source || '/' || doc_id || {SQL_EXTENSION} END AS filename,
+                       CASE WHEN NOT (doc_id % 10 = 3 OR (doc_id // 3) % 50 = 7) THEN text END AS patch,
+                       CAST(CASE WHEN doc_id % 7 > 0 THEN n_chars % 100 END AS INTEGER) AS additions,
+                       CAST(CASE WHEN doc_id % 7 > 0 THEN n_chars % 7 END AS INTEGER) AS deletions
+                FROM documents)"""
 
 
 def with_examples() -> str:
@@ -378,7 +388,7 @@ def with_labelled() -> str:
         FROM keyed k LEFT JOIN parsed p ON k.key = p.key)"""
 
 
-SQL_CHUNK_KEY = "sha256(concat_ws(chr(1), review_key, filename, chunk_index, chunk))"
+SQL_CHUNK_KEY = sql_key("review_key", "filename", "chunk_index", "chunk")
 
 
 def with_commented() -> str:
@@ -394,7 +404,11 @@ def with_commented() -> str:
 
 
 def with_probabilities() -> str:
-    powers = ", ".join(f"exp(CAST(embedding[{i}] AS DOUBLE)) AS e{i}" for i in range(1, 6))
+    def total_of(k: int) -> str:
+        """Entries k, k + 5, ... in their order."""
+        return " + ".join(f"CAST(embedding[{i}] AS DOUBLE)" for i in range(k, 65, 5))
+
+    powers = ", ".join(f"exp({total_of(i)}) AS e{i}" for i in range(1, 6))
     total = "(e1 + e2 + e3 + e4 + e5)"
     shares = ", ".join(f"e{i} / {total} AS p{i}" for i in range(1, 6))
     return f"""

@@ -183,7 +183,13 @@ def stable_bucket(key: Column, n: Column | int) -> Column:
 def content_key(*columns: str) -> Column:
     """Identity of a row by its content.
 
-    Declared as never NULL, so a join on it does not first hash every row in a NULL check.
+    Each value goes in with its length before it, a NULL as a sign of its own, so no two rows
+    with different columns give the same text. Declared as never NULL, so a join on it
+    does not first hash every row in a NULL check.
     """
-    joined = F.concat_ws("\x01", *[F.col(c).cast("string") for c in columns])
-    return F.coalesce(F.sha2(joined, 256), F.lit(""))
+
+    def field(name: str) -> Column:
+        value = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.coalesce(F.sha2(F.concat(*map(field, columns)), 256), F.lit(""))

@@ -29,6 +29,9 @@ from patchlight.operators.metrics import pool
 from patchlight.sources.tables import materialise
 
 # A token is a run of word characters or a single other sign.
+# Columns that tokens are hashed to.
+SIZE = 4096
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -90,7 +93,7 @@ def prepare(rows: DataFrame, text: str, label: str, size: int, *keys: str) -> Da
 
 
 def train(
-    rows: DataFrame, text: str = "code", label: str = "label", size: int = 4096, **fit_options
+    rows: DataFrame, text: str = "code", label: str = "label", size: int = SIZE, **fit_options
 ) -> PipelineModel:
     """Class-weighted classifier on all rows of ``text, label``."""
     return scoring_model(fit(prepare(rows, text, label, size), **fit_options), text, size)
@@ -144,12 +147,12 @@ def embed(rows: DataFrame, text: str, idf: IDFModel) -> DataFrame:
     return unit.select(*rows.columns, vector_to_array("unit", "float32").alias("embedding"))
 
 
-def training_loss(fitted: PipelineModel) -> DataFrame:
-    """``step, loss``: the mean weighted loss before the first and after each iteration."""
+def training_objective(fitted: PipelineModel) -> DataFrame:
+    """``step, objective``: mean weighted loss plus penalty, before the first and after each iteration."""
     learner = fitted.stages[-1]
     history = learner.summary.objectiveHistory
-    rows = [(step, float(loss)) for step, loss in enumerate(history)]
-    return learner.summary.predictions.sparkSession.createDataFrame(rows, "step int, loss double")
+    rows = [(step, float(value)) for step, value in enumerate(history)]
+    return learner.summary.predictions.sparkSession.createDataFrame(rows, "step int, objective double")
 
 
 def cross_validate(
@@ -159,7 +162,7 @@ def cross_validate(
     label: str = "label",
     k: int = C.N_FOLDS,
     seed: int = C.FOLD_SEED,
-    size: int = 4096,
+    size: int = SIZE,
     parallelism: int = 1,
     **fit_options,
 ) -> tuple[DataFrame, PipelineModel]:
@@ -167,12 +170,13 @@ def cross_validate(
 
     The class weights are those of all rows. The term counts need no fitting and are
     shared by the folds; IDF and classifier see the training part of their fold only.
-    ``parallelism`` is the number of folds fitted at the same time. ``rows`` is read three
-    times (weights, folds, texts), so pass a written table.
+    ``parallelism`` is the number of folds fitted at the same time. ``rows`` is read twice
+    (weights, texts), so pass a written table. Texts become term counts before the folds are
+    dealt, and the folds are folders of a table, so a fit reads its own only.
     """
     named = rows.select(F.col(key).cast("string").alias("key"), text, F.col(label).alias("label"))
-    folded = assign_folds(named, "key", "label", k, seed)
-    prepared = prepare(folded, text, "label", size, "key", "fold")
+    counted = prepare(named, text, "label", size, "key")
+    prepared = materialise(assign_folds(counted, "key", "label", k, seed), "folds", "fold")
 
     def run(fold: int) -> tuple[DataFrame, PipelineModel]:
         training, validation = split_fold(prepared, fold)

@@ -94,13 +94,13 @@ def first_per_category(rows: DataFrame, label: str, order: str, columns: list[st
     return samples.where(F.col("n") > 0).select("category", "n", "row.*")
 
 
-def in_summary_order(rows: DataFrame, category: str = "category") -> DataFrame:
-    """Rows of the summary categories in their fixed order."""
+def in_summary_order(rows: DataFrame, *keys: str, category: str = "category") -> DataFrame:
+    """Rows of the summary categories in their fixed order, within each of the ``keys``."""
     order = F.array(*[F.lit(c) for c in C.SUMMARY_ORDER])
     return (
         rows.withColumn("ord", F.array_position(order, F.col(category)))
         .where(F.col("ord") > 0)
-        .orderBy("ord")
+        .orderBy(*keys, "ord")
     )
 
 

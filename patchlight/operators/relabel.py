@@ -24,8 +24,12 @@ def with_key(training: DataFrame) -> DataFrame:
 
 
 def not_done(rows: DataFrame, done: DataFrame) -> DataFrame:
-    """Rows whose key has no label yet; an unreadable reply counts as a label."""
-    labelled = done.where(F.col("judge_label").isNotNull()).select("key").distinct()
+    """Rows whose key has no label yet; an unreadable reply counts as a label.
+
+    A key that is done several times removes its rows as well as one that is done once, so the done keys
+    are joined as they are: with a shuffle of their own on both sides, a hot key can be split.
+    """
+    labelled = done.where(F.col("judge_label").isNotNull()).select("key")
     return rows.join(labelled, "key", "left_anti")
 
 

@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions.labels import heuristic_label
-from patchlight.functions.text import line_chunks, stable_bucket
+from patchlight.functions.text import line_chunks
 from patchlight.operators.distributions import counts_map, in_summary_order
 from patchlight.operators.filters import actionable
-from patchlight.sources.tables import materialise
+from patchlight.sources.changed_files import with_patch
 
 FILE_KEYS = ["review_key", "filename"]
 FINDING_FIELDS = ["category", "confidence", "feedback", "chunk", "chunk_index", "filename", "language"]
 
-# Files in one row of a nested review result.
-FILES_PER_PART = 500
-
 
 def files_per_category(findings: DataFrame, *keys: str) -> DataFrame:
     """Distinct files of each issue category as rows, with their number of issues."""
@@ -53,7 +50,7 @@ def summary(findings: DataFrame, *keys: str, width: int = C.FILE_LIST_CHARS) ->
         .groupBy(*group)
         .agg(F.substring(F.array_join(names, ", "), 1, width).alias("files"))
     )
-    return in_summary_order(counts.join(shown, group))
+    return in_summary_order(counts.join(shown, group), *keys)
 
 
 def _finding_struct(values: dict[str, Column]) -> Column:
@@ -65,12 +62,12 @@ def label_files(
     max_lines: int = C.MAX_CHUNK_LINES,
     keywords: dict[str, list[str]] = C.HEURISTIC_KEYWORDS,
 ) -> DataFrame:
-    """Each file with its findings in chunk order, by keywords and without comments.
+    """Each file that has a patch, with its findings in chunk order, by keywords and without comments.
 
     The chunks of a file come from one cell, so they are labelled in place: no row is
     moved, and a file without chunks keeps an empty list.
     """
-    chunked = files.withColumn("_chunks", line_chunks(F.col("patch"), max_lines))
+    chunked = with_patch(files).withColumn("_chunks", line_chunks(F.col("patch"), max_lines))
 
     def finding(chunk: Column, index: Column) -> Column:
         return _finding_struct(
@@ -91,22 +88,26 @@ def label_files(
     )
 
 
-def nest_findings(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each file with its findings in chunk order; a file without any keeps an empty list.
+def nest_findings(files: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
+    """Each file that has a patch, with its findings in chunk order; one without any keeps an empty list.
 
-    A group is one file, whose text came from a single cell, so a list is never larger
+    ``keys`` identify a file in both tables. The default, review and name, does only where names are unique;
+    landed records may repeat a name or lack it, so give them an id (``sources.tables.with_row_id``)
+    before they are cut. A group is one file, whose text came from a single cell, so a list is never larger
     than the input row it goes back to.
     """
+    on = list(keys) or FILE_KEYS
     item = F.struct(
         F.col("chunk_index").alias("_order"),
         _finding_struct({f: F.col(f) for f in FINDING_FIELDS}).alias("finding"),
     )
-    lists = findings.groupBy(*FILE_KEYS).agg(
+    lists = findings.groupBy(*on).agg(
         F.transform(F.array_sort(F.collect_list(item)), lambda i: i["finding"]).alias("findings")
     )
-    return files.select(*FILE_KEYS, "language", "additions", "deletions").join(
-        lists, FILE_KEYS, "left"
-    ).withColumn("findings", F.coalesce("findings", F.array()))
+    kept = [*FILE_KEYS, "language", "additions", "deletions"]
+    rows = with_patch(files).select(*dict.fromkeys([*on, *kept])).join(lists, on, "left")
+    empty = F.array().cast(lists.schema["findings"].dataType)
+    return rows.select(*kept, F.coalesce("findings", empty).alias("findings"))
 
 
 def review_totals(file_results: DataFrame) -> DataFrame:
@@ -127,36 +128,25 @@ def review_totals(file_results: DataFrame) -> DataFrame:
     )
 
 
-def review_results(file_results: DataFrame, files_per_part: int = FILES_PER_PART) -> DataFrame:
-    """The nested result of each review: its files, totals and counts per category.
-
-    A review of any size is written whole, in parts of about ``files_per_part`` files that
-    all carry the review's totals; a normal review is one part. ``file_results`` is read
-    twice, so pass a written table.
+def review_results(file_results: DataFrame) -> DataFrame:
+    """The result of each review as rows ``review_key, kind, file, totals``.
 
-    A review may hold a large share of all files. Its totals, one short row, are written
-    first: the join then has a plain table on either side, so adaptive execution either
-    broadcasts the totals because it measured them as small, or splits the hot reviews of
-    the sort merge. The explicit repartition after it keeps Spark from gathering the parts
-    of a review where the join had put the review.
+    A review has one row of kind ``file`` per file, with the file and its findings, and one row of kind ``totals``
+    with its number of files, chunks and issues and its counts per category. The shape is the same for a review of one
+    file and of a million: no cell grows with the review, no file is moved, and the totals are
+    counted once. ``file_results`` is read twice, so pass a written table.
     """
-    totals = materialise(review_totals(file_results), "totals").withColumn(
-        "n_parts", F.ceil(F.col("n_files") / files_per_part).cast("int")
-    )
     file = F.struct("filename", "language", "additions", "deletions", "findings")
-    parts = file_results.join(totals, "review_key").withColumn(
-        "part", stable_bucket(F.col("filename"), F.col("n_parts")).cast("int")
-    )
-    return parts.repartition("review_key", "part").groupBy("review_key", "part").agg(
-        F.array_sort(F.collect_list(file)).alias("files"),
-        *[F.any_value(c).alias(c) for c in ("total_chunks", "total_issues", "category_counts", "n_parts")],
-    )
+    totals = F.struct("n_files", "total_chunks", "total_issues", "category_counts")
+    files = file_results.select("review_key", F.lit("file").alias("kind"), file.alias("file"))
+    sums = review_totals(file_results).select("review_key", F.lit("totals").alias("kind"), totals.alias("totals"))
+    return files.unionByName(sums, allowMissingColumns=True)
 
 
 def result_json(results: DataFrame) -> DataFrame:
-    """``review_key, part, json``, one document per part of a review."""
-    document = F.struct("files", "total_chunks", "total_issues", "category_counts")
-    return results.select("review_key", "part", F.to_json(document).alias("json"))
+    """``review_key, kind, filename, json``: one document per file, and one with the totals."""
+    document = F.coalesce(F.to_json("file"), F.to_json("totals"))
+    return results.select("review_key", "kind", F.col("file.filename").alias("filename"), document.alias("json"))
 
 
 def write_results(results: DataFrame, path: str, mode: str = "errorifexists") -> None:

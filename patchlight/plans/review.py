@@ -11,7 +11,9 @@ from patchlight import constants as C
 from patchlight.operators.chunks import explode_chunks
 from patchlight.operators.classifier import apply_fallback, classify
 from patchlight.operators.findings import attach_feedback, label_by_keywords
-from patchlight.sources.changed_files import with_patch
+from patchlight.operators.rollups import label_files, review_results
+from patchlight.sources.changed_files import from_pr_files, with_patch
+from patchlight.sources.tables import materialise
 
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -48,3 +50,17 @@ def review(
 ) -> DataFrame:
     """The findings table: ``find`` plus the recorded comment of each chunk."""
     return attach_feedback(find(files, label, max_lines), replies)
+
+
+def respond(
+    records: DataFrame,
+    max_lines: int = C.MAX_CHUNK_LINES,
+    keywords: dict[str, list[str]] = C.HEURISTIC_KEYWORDS,
+) -> DataFrame:
+    """From landed records to the response of each review (``rollups.review_results``).
+
+    Files without a patch are no part of it. A review without any file to look at has no response; it is
+    a row of ``changed_files.without_reviewable_file``. The labelled files are written to the shared folder.
+    """
+    labelled = label_files(from_pr_files(records), max_lines, keywords)
+    return review_results(materialise(labelled, "file-results"))

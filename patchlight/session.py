@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Adaptive execution sizes the shuffles, turns joins into broadcasts only after it
 # has seen the real size of a side, and splits the skewed partitions of a join.
@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         **ADAPTIVE,
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-"),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **conf,
@@ -36,26 +37,11 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder that every executor can reach.
+    """A new folder that every executor can reach, below ``spark.checkpoint.dir``.
 
-    It lies below ``spark.checkpoint.dir``. Only a local session, whose executors
-    share the machine, may fall back to a temporary folder.
+    The caller's session names that folder and the caller empties it; there is no other place to write to.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="run-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return f"{base.rstrip('/')}/patchlight-{purpose}-{uuid.uuid4().hex}"
-
-
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than cores.
-
-    Meant for a plain file scan. One with enough splits comes back as it is, so a
-    large input never pays for the shuffle.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, *keys)

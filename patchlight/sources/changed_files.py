@@ -27,10 +27,29 @@ def read_pr_bodies(spark: SparkSession, path: str, format: str = "json") -> Data
     return records_of_bodies(spark.read.format(format).schema(schemas.PR_BODIES).load(path))
 
 
+def split_bodies(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The changed files of all readable replies, and ``pr_url, reason`` of the others.
+
+    A reply is readable if it is a JSON array with an entry.
+    """
+    start = F.substring(F.ltrim("body"), 1, 1)
+    reason = (
+        F.when(F.col("body").isNull(), "no body")
+        .when(F.try_parse_json("body").isNull(), "not json")
+        .when(start == "{", "error object")
+        .when(start != "[", "not a list")
+        .when(F.json_array_length("body") == 0, "empty list")
+    )
+    # The outer form keeps the filter above, so the reply is not parsed for it again.
+    read = bodies.select(F.explode_outer(F.array(F.struct("pr_url", "body", reason.alias("reason")))).alias("r"))
+    items = F.from_json("r.body", schemas.PR_BODY_ITEMS)
+    records = read.where("r.reason IS NULL").select("r.pr_url", F.inline(items))
+    return records, read.where("r.reason IS NOT NULL").select("r.pr_url", "r.reason")
+
+
 def records_of_bodies(bodies: DataFrame) -> DataFrame:
-    """One row per changed file of each stored reply."""
-    items = F.from_json("body", schemas.PR_BODY_ITEMS)
-    return bodies.select("pr_url", F.inline(items))
+    """One row per changed file of each readable reply; ``split_bodies`` has the others."""
+    return split_bodies(bodies)[0]
 
 
 def parse_pr_urls(rows: DataFrame, url: str = "pr_url") -> DataFrame:

@@ -40,13 +40,14 @@ def write_table(rows: DataFrame, path: str, format: str = "parquet", mode: str =
     rows.write.mode(mode).format(format).options(**options).save(path)
 
 
-def materialise(rows: DataFrame, purpose: str) -> DataFrame:
-    """Write a table that several jobs read to the shared folder and read it back.
+def materialise(rows: DataFrame, purpose: str, *by: str) -> DataFrame:
+    """Write a table that several jobs read to the shared folder, in folders ``by`` columns, and read it back.
 
     The next jobs start from files, so a lost executor costs none of the work before.
     """
     path = work_dir(rows.sparkSession, purpose)
-    rows.write.parquet(path)
+    writer = rows.write.partitionBy(*by) if by else rows.write
+    writer.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

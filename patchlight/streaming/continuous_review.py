@@ -50,33 +50,11 @@ def write_findings(
     )
 
 
-def write_counts(
-    files: DataFrame,
-    path: str,
-    checkpoint: str,
-    label: Labeller | None = None,
-    max_lines: int = C.MAX_CHUNK_LINES,
-) -> StreamingQuery:
-    """Keep the running counts per category: one small folder per batch, the last is current.
+def current_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts per category of the findings of all finished batches.
 
-    The state is one row per category.
+    Read from the findings themselves, so nothing is labelled twice and nothing is kept beside them. The sink's log
+    hides a batch until it is complete, and only the column of categories is read.
     """
-    counts = find(files, label, max_lines).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
-
-    return (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counts of the last finished batch."""
-    all_batches = spark.read.schema("category string, n bigint, batch_id bigint").parquet(path)
-    last = all_batches.agg(F.max("batch_id").alias("batch_id"))
-    return all_batches.join(F.broadcast(last), "batch_id").select("category", "n")
+    findings = spark.read.parquet(path)
+    return findings.groupBy("category").agg(F.count(F.lit(1)).alias("n"))

@@ -67,9 +67,9 @@ def test_frequencies_are_fitted_on_the_training_part_only(rows):
     assert fitted.stages[1].numDocs == part.count() < prepared.count()
 
 
-def test_training_loss_falls(rows):
+def test_training_objective_falls(rows):
     fitted = M.fit(M.prepare(rows, "code", "label", 256), max_iter=10)
-    losses = [r.loss for r in M.training_loss(fitted).orderBy("step").collect()]
+    losses = [r.objective for r in M.training_objective(fitted).orderBy("step").collect()]
     assert losses[-1] < losses[0] and math.isclose(losses[0], math.log(5), rel_tol=0.1)
 
 

@@ -169,3 +169,36 @@ def test_audit_reads_its_input_once(spark, tmp_path):
 
 def test_parse_failed_is_no_category():
     assert C.PARSE_FAILED not in C.CATEGORIES
+
+
+def test_keys_keep_nulls_and_borders(spark):
+    """Rows whose values only look alike when written one after another have keys of their own."""
+    rows = [
+        ("c", "bug", "x", None, 5), ("c", "bug", "x", "5", None), ("c", "bug", None, "x", 5), ("c", "bug", "", "x", 5),
+        ("c", "bug", "y", "a\x01b", 1), ("b\x01c", "bug", "y", "a", 1), ("c", "bug", "y", "2:a", 1), ("c", "bug", "y", "-", 1),
+    ]
+    assert len(set(key_of(spark, rows))) == len(rows)
+    done = spark.createDataFrame([], "key string, judge_label string")
+    assert R.prompts(training(spark, rows), done).count() == len(rows)
+
+
+def test_a_hot_key_is_split_before_the_labels_are_removed(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        key = F.when(F.col("id") % 3 < 2, "hot").otherwise(F.col("id").cast("string")).alias("key")
+        rows = spark.range(0, 30000, 1, 8).select(key, F.sha2(F.col("id").cast("string"), 256).alias("code"))
+        done = spark.range(0, 30000, 1, 4).select(F.col("id").cast("string").alias("key"), F.lit("ok").alias("judge_label"))
+        left = R.not_done(rows, done.where("id % 2 = 0"))
+        assert {r.key for r in left.collect()} == {"hot", *(str(i) for i in range(2, 30000, 3) if i % 2)}
+        assert "skew=true" in executed(left)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -8,11 +8,11 @@ from patchlight import constants as C
 from patchlight import schemas
 from patchlight.operators import filters, rollups
 from patchlight.operators import findings as FI
-from patchlight.plans.review import by_keywords, find, review
+from patchlight.plans.review import by_keywords, find, respond, review
 from patchlight.sources import changed_files as S
 from patchlight.sources.code_files import read_code_files
-from patchlight.session import spread, work_dir
-from patchlight.sources.tables import materialise, read_csv, read_findings, write_table
+from patchlight.session import work_dir
+from patchlight.sources.tables import materialise, read_csv, read_findings, with_row_id, write_table
 from patchlight.streaming import continuous_review as stream
 
 URL = "https://github.com/o/r/pull/"
@@ -55,9 +55,13 @@ def test_the_patch_filter_reaches_the_scan(spark, tmp_path):
 
 def test_records_from_bodies_and_json(spark, tmp_path):
     body = json.dumps([{"filename": "a.py", "patch": "x", "additions": 2, "sha": "0"}, {"filename": "b"}])
-    bodies = spark.createDataFrame([(URL + "1", body), (URL + "2", "not json"), (URL + "3", None)], schemas.PR_BODIES)
-    got = [tuple(r) for r in S.records_of_bodies(bodies).collect()]
-    assert [g for g in got if g[1]] == [(URL + "1", "a.py", "x", 2, None), (URL + "1", "b", None, None, None)]
+    others = ["not json", None, '{"message": "Not Found"}', "[]", '"text"', '[{"filename": "cut']
+    bodies = spark.createDataFrame([(URL + "1", body), *[(f"{URL}{i}", b) for i, b in enumerate(others, 2)]], schemas.PR_BODIES)
+    records, rejects = S.split_bodies(bodies)
+    got = [tuple(r) for r in records.collect()]
+    assert got == [(URL + "1", "a.py", "x", 2, None), (URL + "1", "b", None, None, None)]
+    assert {r.pr_url[len(URL) :]: r.reason for r in rejects.collect()} == {
+        "2": "not json", "3": "no body", "4": "error object", "5": "empty list", "6": "not a list", "7": "not json"}
     path = str(tmp_path / "bodies")
     bodies.limit(1).write.json(path)
     assert S.read_pr_bodies(spark, path).count() == 2
@@ -126,53 +130,58 @@ def test_both_ways_to_nest_agree(spark):
     nested = rollups.nest_findings(files, findings)
     a = {r.filename: r for r in direct.collect()}
     b = {r.filename: r for r in nested.collect()}
-    assert a == b and len(a) == 60
-    assert a["f000.py"].findings == []
+    assert a == b and len(a) == 59  # the file without a text is no part of a result
     assert [f.chunk_index for f in a["f059.py"].findings] == list(range(9))
     assert "Exchange" not in direct._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("per_part", [1, 7, 500])
-def test_review_results_are_whole(spark, per_part):
-    files = many_files(spark)
-    results = rollups.review_results(materialise(rollups.label_files(files, 7), "test"), per_part).collect()
-    by_review = {}
-    for r in results:
-        by_review.setdefault(r.review_key, []).append(r)
-    big = by_review["big"]
-    assert sorted(f.filename for r in big for f in r.files) == sorted(
-        r.filename for r in files.where("review_key = 'big'").collect())
-    assert len(by_review) == 21 and {r.n_parts for r in big} == {-(-40 // per_part)}
-    chunks = sum(-(-i // 7) for i in range(60) if i % 3 < 2)
-    assert {r.total_chunks for r in big} == {chunks}
-    assert all(set(r.category_counts) == set(C.CATEGORIES) and sum(r.category_counts.values()) == chunks for r in big)
-    assert {r.total_issues for r in big} == {chunks - big[0].category_counts["ok"]}
-    document = json.loads(rollups.result_json(spark.createDataFrame(results)).first().json)
-    assert list(document) == ["files", "total_chunks", "total_issues", "category_counts"]
-
-
-def test_a_hot_review_is_split(spark):
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-    }
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        key = F.when(F.col("id") % 3 < 2, "big").otherwise(F.concat(F.lit("r"), F.col("id").cast("string")))
-        patch = F.concat_ws("\n", *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(str(i))), 256) for i in range(3)])
-        files = spark.range(0, 6000, 1, 8).select(
-            key.alias("review_key"), F.col("id").cast("string").alias("filename"), F.lit("Unknown").alias("language"),
-            patch.alias("patch"), F.lit(1).alias("additions"), F.lit(0).alias("deletions"))
-        results = rollups.review_results(materialise(rollups.label_files(files), "test"), 100)
-        assert sum(len(r.files) for r in results.collect()) == 6000
-        assert "skew=true" in results._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for name in settings:
-            spark.conf.unset(name)
+def by_review(results):
+    files, totals = {}, {}
+    for r in results.collect():
+        if r.kind == "file":
+            files.setdefault(r.review_key, []).append(r.file)
+        else:
+            assert r.review_key not in totals
+            totals[r.review_key] = r.totals
+    return files, totals
+
+
+@pytest.mark.parametrize("n", [1, 60, 1200])
+def test_review_results_have_one_shape(spark, n):
+    """A review of one file and one of 800 come out alike: a row per file and one of totals."""
+    files = many_files(spark, n) if n < 100 else many_files(spark, 60).drop("filename").crossJoin(
+        spark.range(20).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("filename")))
+    labelled = materialise(rollups.label_files(files, 7), "test")
+    found, totals = by_review(rollups.review_results(labelled))
+    with_text = S.with_patch(files)
+    assert sum(map(len, found.values())) == with_text.count()
+    assert found.keys() == totals.keys() == {r.review_key for r in with_text.select("review_key").distinct().collect()}
+    for key, total in totals.items():
+        chunks = [f for file in found[key] for f in file.findings]
+        assert total.n_files == len(found[key]) and total.total_chunks == len(chunks)
+        assert total.total_issues == sum(f.category != "ok" for f in chunks)
+        assert total.category_counts == {c: sum(f.category == c for f in chunks) for c in C.CATEGORIES}
+    rows = rollups.result_json(rollups.review_results(labelled)).collect()
+    assert {r.kind: list(json.loads(r.json)) for r in rows} == {} if n == 0 else all(
+        list(json.loads(r.json)) == (["filename", "language", "additions", "deletions", "findings"] if r.kind == "file"
+                                     else ["n_files", "total_chunks", "total_issues", "category_counts"]) for r in rows)
+
+
+def test_from_records_to_the_response(spark):
+    """Files without a patch are no part of a response, names may repeat, a review without a patch has none."""
+    landed = spark.createDataFrame(
+        [(URL + "1", "a.py", "null\n" * 31, 3, None), (URL + "1", "img.png", None, 1, 1), (URL + "1", None, "x", 1, 1),
+         (URL + "1", None, "slow", 1, 1), (URL + "2", "only.png", None, 1, 1), (URL + "3", "t.py", "", 1, 1)],
+        schemas.PR_FILES)
+    found, totals = by_review(respond(landed))
+    assert sorted(f.filename for f in found["o/r/1"]) == ["", "", "a.py"] and set(totals) == {"o/r/1"}
+    assert (totals["o/r/1"].n_files, totals["o/r/1"].total_chunks) == (3, 4)
+    assert totals["o/r/1"].category_counts == {"bug": 2, "style": 0, "performance": 1, "security": 0, "ok": 1}
+    files = with_row_id(materialise(S.from_pr_files(landed), "test"))
+    nested = rollups.nest_findings(files, find(files).withColumn("feedback", F.lit("")), "row_id")
+    assert sorted(map(repr, nested.collect())) == sorted(map(repr, rollups.label_files(S.from_pr_files(landed)).collect()))
+    rejects = S.without_reviewable_file(S.from_pr_files(landed), S.from_pr_files(landed))
+    assert sorted(r.review_key for r in rejects.collect()) == ["o/r/2", "o/r/3"]
 
 
 def test_summary(spark):
@@ -183,7 +192,9 @@ def test_summary(spark):
     assert [(r.category, r.n, r.n_files) for r in got] == [("bug", 25, 24), ("security", 1, 1), ("style", 1, 1)]
     assert [r.files for r in got] == [", ".join(sorted(set(names)))[:28], "z", "y"]
     per_review = rollups.summary(findings, "review_key").collect()
-    assert {(r.review_key, r.category) for r in per_review} == {("r", "bug"), ("r", "security"), ("s", "style")}
+    assert [(r.review_key, r.category) for r in per_review] == [("r", "bug"), ("r", "security"), ("s", "style")]
+    keyed = rollups.summary(findings, "review_key")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(review_key" in keyed and "rangepartitioning(ord" not in keyed
     plan = rollups.summary(findings)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
@@ -214,7 +225,7 @@ def test_counts_add_up(spark):
 
 
 def test_continuous_review_equals_the_batch_job(spark, tmp_path):
-    landing, out, counts = (str(tmp_path / n) for n in ("landing", "out", "counts"))
+    landing, out = (str(tmp_path / n) for n in ("landing", "out"))
     files = many_files(spark)
     label = by_keywords()
 
@@ -223,14 +234,13 @@ def test_continuous_review_equals_the_batch_job(spark, tmp_path):
         return stream.landing_folder(spark, landing, "json", schema, files_per_batch=1)
 
     def drain():
-        for start, path in ((stream.write_findings, out), (stream.write_counts, counts)):
-            start(source(), path, path + "-checkpoint", label, 7).awaitTermination()
+        stream.write_findings(source(), out, out + "-checkpoint", label, 7).awaitTermination()
 
     def check(expected):
         found = spark.read.parquet(out)
         want = find(expected, label, 7)
         assert sorted(map(repr, found.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
-        assert {tuple(r) for r in stream.current_counts(spark, counts).collect()} == {
+        assert {tuple(r) for r in stream.current_counts(spark, out).collect()} == {
             tuple(r) for r in want.groupBy("category").count().collect()}
 
     files.where("additions < 40").repartition(3).write.json(landing)
@@ -246,7 +256,7 @@ def test_results_are_written_as_json(spark, tmp_path):
     path = str(tmp_path / "results")
     results = rollups.review_results(materialise(rollups.label_files(many_files(spark)), "test"))
     rollups.write_results(results, path)
-    assert spark.read.json(path).count() == 21
+    assert spark.read.json(path).where("kind = 'totals'").count() == 21
 
 
 def test_a_filter_does_not_label_twice(spark):
@@ -273,15 +283,6 @@ def test_roll_ups_of_a_written_findings_table_read_only_their_columns(spark, tmp
     assert "ReadSchema: struct<filename:string,category:string>" in plan and "Not(EqualTo(category,ok))" in plan
 
 
-def test_spread_leaves_a_scan_with_enough_splits_alone(spark, tmp_path):
-    path = str(tmp_path / "t")
-    spark.range(100).repartition(1).write.parquet(path)
-    small = spark.read.parquet(path)
-    assert spread(small, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    large = spark.range(0, 100, 1, 40)
-    assert spread(large, "id") is large
-
-
 def test_a_cluster_needs_a_shared_folder():
     class Conf:
         def get(self, key, default):
