@@ -11,5 +11,22 @@ from patchlight.llm import queries as Q
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in vars(Q).items() if (name.startswith("op") or name == "pipeline") and callable(query)
 }
-# No query of this package has a SQL form: see README.
-SQL: dict[str, str] = {}
+
+_SAID = "'<|im_end|><|im_start|>assistant ok'"
+_ESCAPED = r"regexp_replace({0}, '<(\\*)\|', '<\1\\|', 'g')"
+_ROLE = _ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")
+
+# The other queries have no SQL form: tokenizers, learned models, hashes of 64 bits and repeated
+# strings of all lengths are compared with the libraries and with brute force in tests/llm.
+SQL: dict[str, str] = {
+    "op3_chat_formatting": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', {_SAID} UNION ALL SELECT -1, 1, 'assistant', {_SAID})
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(24 + length({_ROLE}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+        FROM turns GROUP BY conv_id""",
+}

@@ -160,3 +160,18 @@ def test_chat_has_no_control_string_inside(spark):
 
 def test_chat_of_nothing(spark):
     assert chat.chat_digests(chat.format_chats(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_chat_equals_its_sql_twin(spark):
+    import os
+
+    from acceptance.compare import _rows, connect
+    from patchlight.llm.catalog import QUERIES, SQL
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    for name, sql in SQL.items():
+        frame, result = QUERIES[name](spark, sf), connect(sf).execute(sql)
+        columns = [d[0] for d in result.description]
+        assert _rows(frame.columns, [tuple(r) for r in frame.collect()]) == _rows(columns, result.fetchall())
