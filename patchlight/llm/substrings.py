@@ -41,7 +41,7 @@ LENGTH = 200
 GRAM = 100
 REACH = LENGTH - GRAM
 BLOCK_BYTES = 16 << 20
-HELD = 2_000_000
+HELD = 500_000
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 BLOCKS = "bucket int, settled boolean, block binary"
