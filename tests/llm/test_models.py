@@ -28,7 +28,7 @@ def plain_tokens(text):
 
 
 def check_scores(frame, rows, **model):
-    texts = frame.where(brown.training(frame.doc_id)).select(brown.text_of().alias("text"))
+    texts = brown.raw(frame.where(brown.training(frame.doc_id)))
     counts = brown.written(brown.count_words(texts), "counts")
     fitted = brown.fit(texts, counts, **model)
     found = brown.score(frame, fitted, counts).collect()
