@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from patchlight.llm.common import text_of, written
+from patchlight.llm.common import pack, text_of, unpack, written
 
 LENGTH = 200
 GRAM = 100
@@ -103,23 +103,6 @@ def chosen(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(most == grams), least
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """64-bit columns as compressed byte planes; the first, ascending, as differences."""
-    n = len(columns[0])
-    first = columns[0].astype(np.uint64)
-    parts = [np.diff(first, prepend=np.uint64(0)), *[c.astype(np.uint64) for c in columns[1:]]]
-    planes = np.concatenate([p.view(np.uint8).reshape(n, 8).T.ravel() for p in parts]).tobytes()
-    return n.to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack(block: bytes, width: int) -> list[np.ndarray]:
-    n = int.from_bytes(block[:8], "little")
-    planes = np.frombuffer(pa.decompress(block[8:], n * 8 * width, codec="zstd", asbytes=True), np.uint8)
-    columns = [np.ascontiguousarray(planes[k * 8 * n : (k + 1) * 8 * n].reshape(8, n).T).view(np.uint64).ravel() for k in range(width)]
-    columns[0] = np.cumsum(columns[0], dtype=np.uint64)
-    return columns
-
-
 def several(order: np.ndarray, names: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
     """Which rows share their names with a row of another place. ``order`` sorts by names, then places."""
     if not len(order):
@@ -254,14 +237,6 @@ def _any_in_bucket(names: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return np.repeat(np.logical_or.reduceat(flags, starts), np.diff(np.append(starts, len(names))))
 
 
-def covered_by(starts: np.ndarray, size: int) -> np.ndarray:
-    """Which bytes the strings that start at ``starts`` cover."""
-    steps = np.zeros(size + 1, np.int64)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + LENGTH, -1)
-    return np.cumsum(steps)[:size] > 0
-
-
 def reached(places: np.ndarray, size: int) -> np.ndarray:
     """Which strings go through a gram at one of ``places``, by where they start."""
     steps = np.zeros(size - LENGTH + 2, np.int64)
@@ -311,53 +286,76 @@ def _edges(buckets: int):
     return run
 
 
-def _refine_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated suffixes of all blocks of a bucket, as rows (name, starts), a content once per task."""
-    asked: list[list[np.ndarray]] = []
-    found: list[list[np.ndarray]] = []
-    for batch in batches:
-        for settled, block in zip(batch.column("settled").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            if settled:
-                found.append(unpack(block, 2))
-            else:
-                asked.append(unpack(block, 4))
-    if asked:
-        name, content, start, known = (np.concatenate([a[k] for a in asked]) for k in range(4))
-        repeated = several(np.lexsort((start, content, name)), [name], [content, start]) | known.astype(bool)
-        found.append([content[repeated], start[repeated]])
+def _refine_edges(buckets: int):
+    """Repeated suffixes of all blocks of a bucket, as blocks (content, start) by content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: list[list[np.ndarray]] = []
+        found: list[list[np.ndarray]] = []
+        for batch in batches:
+            for settled, block in zip(batch.column("settled").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if settled:
+                    found.append(unpack(block, 2))
+                else:
+                    asked.append(unpack(block, 4))
+        if asked:
+            name, content, start, known = (np.concatenate([a[k] for a in asked]) for k in range(4))
+            repeated = several(np.lexsort((start, content, name)), [name], [content, start]) | known.astype(bool)
+            found.append([content[repeated], start[repeated]])
+        if found:
+            content, start = (np.concatenate([f[k] for f in found]) for k in range(2))
+            if len(content):
+                yield from _tables(_blocks((content % np.uint64(buckets)).astype(np.int64), [content, start], True))
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The repeated suffixes of each content as runs of starts: rows (name, runs), a content once."""
+    found = [unpack(block, 2) for batch in batches for block in batch.column("block").to_pylist()]
     if not found:
         return
     content, start = (np.concatenate([f[k] for f in found]) for k in range(2))
     order = np.lexsort((start, content))
-    content, start = content[order].view(np.int64), start[order].astype("<i4")
-    firsts = np.flatnonzero(np.diff(content.view(np.uint64), prepend=np.uint64(0)) != 0) if len(content) else np.zeros(0, np.int64)
-    firsts = np.union1d(firsts, [0]).astype(np.int64) if len(content) else firsts
-    ends = np.append(firsts[1:], len(content))
-    for a in range(0, len(firsts), 4096):
-        part = list(zip(firsts[a : a + 4096].tolist(), ends[a : a + 4096].tolist(), strict=True))
+    content, start = content[order], start[order].astype(np.int64)
+    fresh = np.ones(len(content), bool)
+    fresh[1:] = content[1:] != content[:-1]
+    breaks = fresh.copy()
+    breaks[1:] |= start[1:] > start[:-1] + 1
+    first = np.flatnonzero(breaks)
+    last = np.append(first[1:], len(content)) - 1
+    runs = np.stack([start[first], start[last]], axis=1).astype("<i4")
+    heads = np.flatnonzero(fresh[first])
+    ends = np.append(heads[1:], len(first))
+    names = content[first[heads]].view(np.int64)
+    for k in range(0, len(heads), 4096):
+        part = zip(heads[k : k + 4096].tolist(), ends[k : k + 4096].tolist(), strict=True)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(content[firsts[a : a + 4096]]), pa.array([start[x:y].tobytes() for x, y in part], pa.binary())], names=["name", "starts"]
+            [pa.array(names[k : k + 4096]), pa.array([runs[x:y].tobytes() for x, y in part], pa.binary())], names=["name", "runs"]
         )
 
 
-def removed_spans(size: int, marks: list[int], starts: list[bytes]) -> np.ndarray:
+def removed_spans(size: int, marks: list[int], runs: bytes) -> np.ndarray:
     """(start, end) of the maximal runs of bytes to remove."""
     marks_ = np.array(marks, np.int64)
-    sure = reached((marks_ >> 2)[marks_ & 1 > 0], size)
-    found = np.concatenate([np.flatnonzero(sure), *[np.frombuffer(s, "<i4") for s in starts]]).astype(np.int64)
-    covered = np.concatenate([[0], covered_by(found, size), [0]])
-    return np.flatnonzero(np.diff(covered)).reshape(-1, 2)
+    sure = np.flatnonzero(np.diff(np.concatenate([[0], reached((marks_ >> 2)[marks_ & 1 > 0], size), [0]]).astype(np.int8)))
+    spans = np.concatenate([sure.reshape(-1, 2) - [0, 1], np.frombuffer(runs, "<i4").reshape(-1, 2)]).astype(np.int64)
+    steps = np.zeros(size + 2, np.int64)
+    np.add.at(steps, spans[:, 0] + 1, 1)
+    np.add.at(steps, spans[:, 1] + LENGTH + 1, -1)
+    covered = np.append(np.cumsum(steps) > 0, False)
+    return np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         contents, spans, kept = [], [], []
-        columns = [batch.column(c).to_pylist() for c in ("content", "raw", "marks", "starts")]
-        for content, raw, marks, starts in zip(*columns, strict=True):
-            runs = removed_spans(len(raw), marks, starts or [])
-            edges = [0, *runs.ravel().tolist(), len(raw)]
+        columns = [batch.column(c).to_pylist() for c in ("content", "raw", "marks", "runs")]
+        for content, raw, marks, runs in zip(*columns, strict=True):
+            removed = removed_spans(len(raw), marks, runs or b"")
+            edges = [0, *removed.ravel().tolist(), len(raw)]
             contents.append(content)
-            spans.append([{"start": a, "length": b - a} for a, b in runs.tolist()])
+            spans.append([{"start": a, "length": b - a} for a, b in removed.tolist()])
             kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
         kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
@@ -389,8 +387,9 @@ def repeated(rows: DataFrame) -> DataFrame:
     open_texts = written(distinct.join(marks.hint("shuffle_hash"), "name"), "repeating")
 
     edges = open_texts.select("name", "raw", "marks").mapInArrow(_edges(buckets), BLOCKS).repartition(buckets, "bucket")
-    starts = edges.mapInArrow(_refine_edges, "name bigint, starts binary").groupBy("name").agg(F.collect_list("starts").alias("starts"))
-    found = open_texts.join(starts.hint("shuffle_hash"), "name", "left").select("content", "raw", "marks", "starts")
+    blocks = edges.mapInArrow(_refine_edges(buckets), BLOCKS).repartition(buckets, "bucket")
+    runs = blocks.mapInArrow(_runs, "name bigint, runs binary")
+    found = open_texts.join(runs.hint("shuffle_hash"), "name", "left").select("content", "raw", "marks", "runs")
     kept = found.mapInArrow(_cut, "content binary, spans array<struct<start: bigint, length: bigint>>, kept binary")
     return written(kept.where(F.size("spans") > 0), "spans")
 
