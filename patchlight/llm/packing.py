@@ -33,7 +33,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP_BYTES = 24 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-KEPT_WORDS = 700_000
+KEPT_WORDS = 1_000_000
 PIECES = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 )
@@ -91,13 +91,14 @@ class WordIds:
         words = WORDS.findall(text.lower())
         known = self.known
         ids = list(map(known.get, words))
-        if None in ids:
-            new = list(dict.fromkeys(word for word, held in zip(words, ids, strict=True) if held is None))
+        holes = [k for k, held in enumerate(ids) if held is None] if None in ids else []
+        if holes:
+            new = list(dict.fromkeys([words[k] for k in holes]))
             if len(known) + len(new) > KEPT_WORDS:
                 known.clear()
-                new = list(dict.fromkeys(words))
             known.update(zip(new, self._words(new), strict=True))
-            ids = [known[word] for word in words]
+            for k in holes:
+                ids[k] = known[words[k]]
         return b"".join(ids)
 
 
