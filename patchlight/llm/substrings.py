@@ -8,11 +8,12 @@ refined by the names of later ones. A bucket of one suffix is final: nothing lon
    (winnowing), so two equal strings choose the same grams. Grams in buckets of one are dropped, and so is
    every suffix that has no other chosen gram.
 2. A bucket is refined by what lies around the gram: where all ``LENGTH - GRAM`` bytes before and behind it
-   are the same too, every string through the gram is repeated. These names are used again for all suffixes that
-   the gram reaches, which need no bucket of their own: they are certain.
-3. The suffixes that are left, at the edges of repeated passages, are refined to the full ``LENGTH``. A certain suffix may
-   equal one that is open elsewhere; then some gram of it is certain here and open there, so its bucket is
-   mixed, and one member of every certain part of a mixed bucket speaks: all its suffixes take part.
+   are the same too, every string through the gram is repeated: the gram is certain. A suffix whose own smallest
+   gram is certain needs no bucket of its own. Another certain gram that reaches it removes it but does not close it: where
+   the suffix occurs elsewhere, that gram may not be chosen.
+3. The suffixes that are left, at the edges of repeated passages, are refined to the full ``LENGTH``. A closed suffix may
+   equal one that is open elsewhere; its smallest gram is chosen in both places, certain here and open there, so the bucket is
+   mixed, and one member of every certain part of a mixed bucket speaks: all suffixes it is the smallest gram of take part.
 
 The rule is exact up to the equality of 64-bit hashes. Strings are judged in texts of distinct content; a text
 that occurs twice and has ``LENGTH`` bytes goes whole. Every task first settles what it can by itself and sends one
@@ -245,6 +246,13 @@ def reached(places: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(steps)[:-1] > 0
 
 
+def led(grams: np.ndarray, least: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which strings have their smallest gram at one of ``places``."""
+    alive = np.full(len(grams), NEVER)
+    alive[places] = grams[places]
+    return lowest(alive, REACH + 1) == least
+
+
 def _edges(buckets: int):
     """Suffixes that the grams leave open: blocks (name, content, start, known), settled ones (content, start)."""
 
@@ -268,10 +276,9 @@ def _edges(buckets: int):
                 place = marks_ >> 2
                 grams = text.all(GRAM)
                 _, least = chosen(grams)
-                alive = np.full(len(grams), NEVER)
-                alive[place] = grams[place]
-                open_ = (lowest(alive, REACH + 1) == least) & ~reached(place[marks_ & 1 > 0], text.size)
-                open_ |= reached(place[marks_ & 2 > 0], text.size)
+                # A string goes by its own smallest gram: others that reach it need not be chosen where else it occurs.
+                sure = led(grams, least, place[marks_ & 1 > 0])
+                open_ = (led(grams, least, place) & ~sure) | led(grams, least, place[marks_ & 2 > 0])
                 start = np.flatnonzero(open_)
                 if len(start):
                     content = np.full(len(start), names[k], np.int64).view(np.uint64)

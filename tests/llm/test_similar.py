@@ -109,6 +109,26 @@ def test_removal_is_exact(spark, seed):
     assert [tuple(r)[1:] for r in rows] == brute_removal([t.encode() for t in texts])
 
 
+def edited_copies(seed, groups=60):
+    """Groups of 3 to 5 copies of a random text with one edit each: their shared passages have different extents."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(groups):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(1500))
+        for _ in range(rng.randint(3, 5)):
+            k = rng.randrange(len(base))
+            texts.append(base[:k] + "#" + base[k + 1 :])
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_removal_is_exact_in_groups_of_edited_copies(spark, seed):
+    texts = edited_copies(seed)
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENTS).repartition(1 + 4 * seed)
+    rows = substrings.removal_digests(frame).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_removal([t.encode() for t in texts])
+
+
 def test_removal_in_many_small_groups(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
     texts = invented(11, 40)
