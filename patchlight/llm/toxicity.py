@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine.
 
-Terms are the lower-case words of a text and the beginnings of longer words. Those kept are the ones
-of which a labelled sample says that they come with the label: the lower bound of the label's share
-(Wilson) must pass ``PURITY``. A text's vector holds its kept terms, tf-idf weighted, of length one.
+Terms are the lower-case words of a text and the beginnings of longer words. All terms of all sampled examples count, of
+clean ones too. A text's vector holds its terms, tf-idf weighted, of length one; terms of which the sample says that they come with
+the label (the lower bound, Wilson's, of the label's share passes ``PURITY``) weigh up to ``STRESS`` times more.
+Terms that no example holds have a part in the length only.
 
-Examples are laid out so that alike ones are neighbours, in blocks of ``BLOCK``. An inverted index holds, for each
-term, the weights by example and the largest weight of every block. A query adds up the block
-maxima of its terms, goes through the blocks in descending order of that bound, and stops
-when no block can hold a nearer example than the k found, so the k nearest are exact.
+An inverted index holds the weights by example of each term that is rare or comes with the label. The others, the heads,
+lie with the examples. A query adds up its rare terms over all examples in double precision, and its heads as a product of matrices in
+single precision; the examples that come near the k best sums are added up again in double precision, so the k
+nearest are exact.
 
 Votes are weighted by cosine; a monotone curve fitted to the leave-one-out votes of the examples
-turns them into scores. A text without kept terms gets the share of the label among such examples.
+turns them into scores. A text without any term of the examples gets the share of the label among all examples.
 
-The sample is bounded (``EXAMPLES`` labelled rows, the first by a hash of their id) and so are the terms
-(``TERMS``) and the parts of a text that count, which is all of it; the model is therefore of bounded size and can be sent
+The sample is bounded (``EXAMPLES`` labelled rows, the first by a hash of their id), and with it the model that is sent
 to all tasks. Null texts are empty. Labels that are null are not used; the ids of labelled rows and of documents
 must not be null to meet. Repeated rows are scored alike.
 """
@@ -21,11 +21,11 @@ must not be null to meet. Repeated rows are scored alike.
 from __future__ import annotations
 
 import math
-import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from patchlight.llm.common import text_of, written
+from patchlight.llm.common import pack, text_of, unpack, written
 
 EXAMPLES = 20_000
-TERMS = 20_000
-BLOCK = 64
+BLOCK = 64  # queries of one product of matrices
+HEADS = 0.1  # share of the examples from which on a term is a head
+CLOSE = 1e-5  # more than single precision may lose
 NEIGHBOURS = 15
 PURITY = 0.5
+STRESS = 12.0
 CALIBRATION = 2_000
 LONGEST_TERM = 40
 THRESHOLD = 0.7
@@ -62,60 +64,132 @@ def terms_of(text: str) -> Counter:
 
 @dataclass
 class Index:
-    """Examples as unit vectors, by term and by block."""
+    """Examples as unit vectors. Terms are numbered, the ``heads`` first."""
 
     number: dict[str, int]
-    idf: np.ndarray
+    scale: np.ndarray  # by term
+    unknown: float
+    share: float
+    heads: int
     ids: np.ndarray
     labels: np.ndarray
-    empty_share: float
-    rows: list[np.ndarray] = field(default_factory=list)  # by term: examples, ascending
-    weights: list[np.ndarray] = field(default_factory=list)
-    blocks: list[np.ndarray] = field(default_factory=list)  # by term: blocks with a weight
-    starts: list[np.ndarray] = field(default_factory=list)  # where each begins in rows
-    maxima: list[np.ndarray] = field(default_factory=list)
+    starts: np.ndarray  # by term, into row and count
+    row: np.ndarray  # examples, ascending by term
+    count: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
+    def __getstate__(self) -> dict:
+        """As it is sent: names and postings compressed, nothing that can be computed again."""
+        planes = [np.diff(self.row, prepend=self.row.dtype.type(0)), self.count]
+        packed = [(p.dtype.str, len(p), pa.compress(p.view(np.uint8).reshape(len(p), p.itemsize).T.tobytes(), "zstd", asbytes=True)) for p in planes]
+        names = "\n".join(self.number).encode()
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("number", "row", "count", "frequency", "norms", "dense")}
+        return kept | {"packed": packed, "names": (len(names), pa.compress(names, "zstd", asbytes=True))}
+
+    def __setstate__(self, state: dict) -> None:
+        size, names = state.pop("names")
+        words = pa.decompress(names, size, "zstd", asbytes=True).decode().split("\n") if size else []
+        self.number = {word: k for k, word in enumerate(words)}
+        planes = []
+        for kind, n, block in state.pop("packed"):
+            width = np.dtype(kind).itemsize
+            raw = np.frombuffer(pa.decompress(block, n * width, "zstd", asbytes=True), np.uint8)
+            planes.append(np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel())
+        self.row, self.count = np.cumsum(planes[0], dtype=planes[0].dtype), planes[1]
+        self.__dict__ |= state
+
+    @cached_property
+    def frequency(self) -> np.ndarray:
+        return 1 + np.log(self.count, dtype=np.float32)
+
+    @cached_property
+    def norms(self) -> np.ndarray:
+        """The length of each example."""
+        total = np.zeros(len(self.ids))
+        for a in range(0, len(self.scale), 20_000):
+            ends = self.starts[a : a + 20_001]
+            at = slice(ends[0], ends[-1])
+            total += np.bincount(self.row[at], (self.frequency[at] * np.repeat(self.scale[a : a + 20_000], np.diff(ends))) ** 2, len(total))
+        return np.sqrt(np.where(total > 0, total, 1.0))
+
+    @cached_property
+    def dense(self) -> np.ndarray:
+        """(example, head), in single precision."""
+        out = np.zeros((len(self.ids), self.heads), np.float32)
+        for term in range(self.heads):
+            rows, weights = self._posting(term)
+            out[rows, term] = weights
+        return out
+
+    def _posting(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(self.starts[term], self.starts[term + 1])
+        weights = self.frequency[at] * self.scale[term] / self.norms[self.row[at]]
+        return self.row[at], weights.astype(np.float32) if term < self.heads else weights
+
+    @property
+    def rows(self) -> list[np.ndarray]:
+        """By term: its examples."""
+        return [self._posting(term)[0] for term in range(len(self.scale))]
+
+    @property
+    def weights(self) -> list[np.ndarray]:
+        return [self._posting(term)[1] for term in range(len(self.scale))]
+
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted((self.number[t], n) for t, n in counts.items() if t in self.number)
-        if not found:
+        numbers = np.fromiter((self.number.get(t, -1) for t in counts), np.int64, len(counts))
+        weights = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+        weights *= np.where(numbers < 0, self.unknown, self.scale[numbers]) if len(self.scale) else self.unknown
+        found = numbers >= 0
+        if not found.any():
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.array([t for t, _ in found])
-        weights = (1 + np.log([n for _, n in found])) * self.idf[terms]
-        return terms, weights / np.linalg.norm(weights)
+        return numbers[found], weights[found] / np.linalg.norm(weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties by their number; ``leave`` is passed over."""
-        bound = np.zeros((len(self.ids) + BLOCK - 1) // BLOCK)
-        for term, weight in zip(terms, weights, strict=True):
-            bound[self.blocks[term]] += weight * self.maxima[term]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights, strict=True):
-                at = np.searchsorted(self.blocks[term], block)
-                if at < len(self.blocks[term]) and self.blocks[term][at] == block:
-                    part = slice(self.starts[term][at], self.starts[term][at + 1])
-                    scores[self.rows[term][part] - block * BLOCK] += weight * self.weights[term][part]
-            found = [(round(float(scores[i]), 9), int(block) * BLOCK + int(i)) for i in np.flatnonzero(scores > 0)]
-            best = sorted([*best, *(f for f in found if f[1] != leave)], key=lambda f: (-f[0], f[1]))[:k]
-        return best
+        return next(self.all_nearest([(terms, weights)], k, [leave]))
+
+    def all_nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, leave: list[int]) -> Iterator[list[tuple[float, int]]]:
+        """``nearest`` of each of the vectors."""
+        for first in range(0, len(vectors), BLOCK):
+            part = vectors[first : first + BLOCK]
+            queries = np.zeros((len(part), self.heads))
+            for query, (terms, weights) in zip(queries, part, strict=True):
+                query[terms[terms < self.heads]] = weights[terms < self.heads]
+            by_heads = queries.astype(np.float32) @ self.dense.T
+            for j, (terms, weights) in enumerate(part):
+                yield self._nearest(terms, weights, queries[j], by_heads[j], k, leave[first + j])
+
+    def _nearest(self, terms: np.ndarray, weights: np.ndarray, query: np.ndarray, by_heads: np.ndarray, k: int, leave: int) -> list[tuple[float, int]]:
+        n = len(self.ids)
+        behind = terms >= self.heads
+        rare = terms[behind]
+        starts, ends = self.starts[rare], self.starts[rare + 1]
+        spans = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        sums = np.zeros(n)
+        if spans:
+            spread = np.repeat(weights[behind] * self.scale[rare], ends - starts)
+            spread *= np.concatenate([self.frequency[at] for at in spans])
+            sums = np.bincount(np.concatenate([self.row[at] for at in spans]), spread, n) / self.norms
+        about = sums + by_heads
+        if leave >= 0:
+            about[leave] = -1.0
+        reach = np.partition(about, n - k)[n - k] - CLOSE if n > k else -CLOSE
+        some = np.flatnonzero(about >= max(reach, -CLOSE))
+        exact = np.round(sums[some] + self.dense[some].astype(np.float64) @ query, 9)
+        some, exact = some[exact > 0], exact[exact > 0]
+        return [(float(exact[i]), int(some[i])) for i in np.lexsort((some, -exact))[:k]]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
-        """Cosine-weighted share of the label, drawn to the share of texts without terms by half a vote."""
+        """Cosine-weighted share of the label, drawn to the share of all examples by half a vote."""
         total = sum(c for c, _ in near)
-        return (sum(c * self.labels[i] for c, i in near) + 0.5 * self.empty_share) / (total + 0.5)
+        return (sum(c * self.labels[i] for c, i in near) + 0.5 * self.share) / (total + 0.5)
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        terms, weights = self.vector(terms_of(text))
-        if not len(terms):
-            return self.empty_share, []
-        near = self.nearest(terms, weights, NEIGHBOURS)
-        if not near:
-            return self.empty_share, []
-        return float(np.interp(self.vote(near), *self.curve)), near
+    def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        for first in range(0, len(texts), BLOCK):
+            vectors = [self.vector(terms_of(text)) for text in texts[first : first + BLOCK]]
+            found = self.all_nearest(vectors, NEIGHBOURS, [-1] * len(vectors)) if len(self.ids) else ([] for _ in vectors)
+            for near in found:
+                yield (float(np.interp(self.vote(near), *self.curve)), near) if near else (self.share, [])
 
 
 def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,36 +206,30 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def build_index(
-    terms: list[tuple[str, int]], examples: list[tuple[int, int, dict[str, int]]], sampled: int, empty: int, empty_toxic: int
+    number: dict[str, int], held_by: np.ndarray, scale: np.ndarray, unknown: float, heads: int, examples: list[tuple[int, int, bytes]]
 ) -> Index:
-    """``terms`` with their document counts among ``sampled`` rows; ``examples`` are (id, label, counts)."""
-    number = {term: k for k, (term, _) in enumerate(terms)}
-    idf = np.array([math.log((sampled + 1) / (n + 1)) + 1 for _, n in terms])
-    ids = np.zeros(0, np.int64)
-    index = Index(number, idf, ids, np.zeros(0, np.int64), (empty_toxic + 0.5) / (empty + 1))
-    vectors = [(doc_id, label, *index.vector(Counter(counts))) for doc_id, label, counts in examples]
-    # Neighbours in this order share their heaviest term, which keeps the block maxima tight.
-    vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
-    index.ids = np.array([v[0] for v in vectors], np.int64)
-    index.labels = np.array([v[1] for v in vectors], np.int64)
-    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for row, (_, _, held, weights) in enumerate(vectors):
-        for term, weight in zip(held.tolist(), weights.tolist(), strict=True):
-            by_term[term].append((row, weight))
-    for postings in by_term:
-        rows = np.array([r for r, _ in postings], np.int64)
-        weights = np.array([w for _, w in postings])
-        blocks, starts = np.unique(rows // BLOCK, return_index=True)
-        index.rows.append(rows)
-        index.weights.append(weights)
-        index.blocks.append(blocks)
-        index.starts.append(np.append(starts, len(rows)))
-        index.maxima.append(np.maximum.reduceat(weights, starts) if len(rows) else weights)
-    step = max(1, len(vectors) // CALIBRATION)
-    held_out = range(0, len(vectors), step)
-    if len(vectors) > NEIGHBOURS and 0 < index.labels.mean() < 1:
-        votes = [index.vote(index.nearest(*vectors[i][2:], NEIGHBOURS, leave=i)) for i in held_out]
-        index.curve = monotone(np.array(votes), index.labels[list(held_out)])
+    """``held_by`` counts the examples of each term; ``examples`` are (id, label, packed numbers of terms and counts)."""
+    ids, labels = (np.array([e[k] for e in examples], np.int64) for k in range(2))
+    share = (labels.sum() + 0.5) / (len(ids) + 1)
+    starts = np.append(0, np.cumsum(held_by)).astype(np.int64)
+    free = starts[:-1].copy()
+    row = np.empty(starts[-1], np.min_scalar_type(len(ids)))
+    count = np.empty(starts[-1], np.uint32)
+    for i, (_, _, block) in enumerate(examples):
+        terms, counts = unpack(block, 2)
+        at = free[terms.astype(np.int64)]
+        row[at], count[at] = i, counts
+        free[terms.astype(np.int64)] += 1
+    index = Index(number, scale, unknown, float(share), heads, ids, labels, starts, row, count)
+    if len(ids) > NEIGHBOURS and 0 < labels.mean() < 1:
+        held_out = list(range(0, len(ids), max(1, len(ids) // CALIBRATION)))
+        vectors = []
+        for i in held_out:
+            terms, counts = unpack(examples[i][2], 2)
+            weights = (1 + np.log(counts.astype(np.float64))) * scale[terms.astype(np.int64)]
+            vectors.append((terms.astype(np.int64), weights / np.linalg.norm(weights)))
+        found = [index.vote(near) for near in index.all_nearest(vectors, NEIGHBOURS, held_out)]
+        index.curve = monotone(np.array(found), labels[held_out])
     return index
 
 
@@ -177,7 +245,7 @@ def wilson_low(hits: Column, n: Column, z: float = 1.96) -> Column:
     return (centre - spread) / (1 + z * z / n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Index:
     """Learn from the labelled rows that may be learned from."""
     known = labels.where(may_learn(F.col("doc_id")) & F.col(label).isNotNull())
     known = known.groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
@@ -194,41 +262,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
 
     texts = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
     counted = written(texts.mapInArrow(count, "doc_id bigint, label int, terms map<string, bigint>"), "examples")
-    pairs = counted.select("label", F.explode(F.map_keys("terms")).alias("term"))
-    by_term = pairs.groupBy("term").agg(F.sum("label").alias("hits"), F.count("*").alias("n"))
-    pure = by_term.where(wilson_low(F.col("hits"), F.col("n")) > PURITY)
-    kept = [(r.term, r.n) for r in pure.orderBy(F.desc("hits"), "term").limit(terms).collect()]
-    with_terms = _keep(counted, {t for t, _ in kept})
-    total = counted.agg(F.count("*").alias("n"), F.sum("label").alias("hits")).first()
-    found = [(r.doc_id, r.label, r.terms) for r in with_terms.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect()]
-    toxic = sum(label for _, label, _ in found)
-    return build_index(kept, found, total.n, max(0, total.n - len(found)), max(0, (total.hits or 0) - toxic))
+    if counted.count() > examples:  # where ids repeat in ``docs``
+        counted = written(counted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples), "examples")
+    return build_index(*_vectors(counted))
 
 
-def _keep(counted: DataFrame, kept: set[str]) -> DataFrame:
-    """The examples that hold kept terms, with those alone."""
+def _vectors(counted: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray, float, int, list[tuple[int, int, bytes]]]:
+    """Numbers and weights of all terms of ``counted``, and its rows as packed counts."""
+    sampled = counted.count()
+    pairs = counted.select("label", F.explode(F.map_keys("terms")).alias("term"))
+    by_term = pairs.groupBy("term").agg(F.sum("label").cast("long").alias("hits"), F.count("*").alias("n"))
+    low = F.greatest(F.lit(0.0), (wilson_low(F.col("hits"), F.col("n")) - PURITY) / (1 - PURITY))
+    # The terms of at most ``EXAMPLES`` texts.
+    found = by_term.select("term", "n", low.alias("low")).toArrow().sort_by([("n", "descending"), ("term", "ascending")])
+    n, low = found["n"].to_numpy(), found["low"].to_numpy()
+    head = (n > HEADS * sampled) & (low == 0)
+    order = np.concatenate([np.flatnonzero(head), np.flatnonzero(~head)])
+    number = dict(zip(found["term"].take(pa.array(order)).to_pylist(), range(len(order))))
+    scale = ((np.log((sampled + 1) / (n + 1)) + 1) * (1 + (STRESS - 1) * low))[order]
+    none = np.zeros(0, np.uint16)
+    model = Index(number, scale, math.log(sampled + 1) + 1, 0.0, int(head.sum()), none, none, np.zeros(1, np.int64), none, none)
+    sent = counted.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.map_(pa.string(), pa.int64())
+        model: Index = sent.value
         for batch in batches:
-            held = [[(t, n) for t, n in row if t in kept] for row in batch.column("terms").to_pylist()]
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(held, kind)], names=["doc_id", "label", "terms"]
+            held = []
+            for row in batch.column("terms").to_pylist():
+                found = sorted((model.number[t], c) for t, c in row)
+                held.append(pack([np.array([f[k] for f in found], np.uint64) for k in range(2)]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("label"),
+                    pa.array(held, pa.binary()),
+                ],
+                names=["doc_id", "label", "terms"],
             )
-            yield out.filter(pa.array([bool(row) for row in held], pa.bool_()))
 
-    return counted.mapInArrow(run, counted.schema)
+    vectors = written(counted.mapInArrow(run, "doc_id bigint, label int, terms binary"), "vectors")
+    examples = sorted(((r.doc_id, r.label, bytes(r.terms)) for r in vectors.toLocalIterator()), key=lambda e: e[0])
+    return number, n[order], scale, model.unknown, model.heads, examples
 
 
 def score_rows(docs: DataFrame, index: Index) -> DataFrame:
     """All rows of ``docs`` as ``row``, with score and evidence (the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(index))
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Index = pickle.loads(shared.value)
+        model: Index = shared.value
         kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            found = [model.score(text or "") for text in batch.column("row").field("text").to_pylist()]
+            found = list(model.scores([text or "" for text in batch.column("row").field("text").to_pylist()]))
             evidence = [
                 [{"example": int(model.ids[i]), "cosine": c, "label": int(model.labels[i])} for c, i in near]
                 for _, near in found

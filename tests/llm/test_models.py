@@ -161,6 +161,20 @@ def test_nearest_is_exact(spark):
         assert [f[0] for f in index.nearest(terms, weights, 5)] == pytest.approx([f[0] for f in expected], abs=1e-8)
 
 
+def test_toxicity_searches_whole_texts(spark):
+    """Clean examples and clean words are in the index; a toxic text without a telling word meets its like."""
+    rows, marks = toxic_rows()
+    telling = {"vile", "nasty", "awful", "horrid", "foul"}
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, LABELS)
+    index = toxicity.fit(docs, labels)
+    assert sorted(index.ids.tolist()) == [d for d, _ in rows if crc(d) % 3 != 1]
+    assert set(index.number) >= {w for d, t in rows if crc(d) % 3 != 1 for w in t.split()}
+    text = " ".join(w for w in dict(rows)[next(d for d, _, t in marks if t and crc(d) % 3 != 1)].split() if w not in telling)
+    (_, near), (share, none) = index.scores([text, "nothing known"])
+    assert len(near) == toxicity.NEIGHBOURS and index.labels[near[0][1]] == 1
+    assert none == [] and share == index.share
+
+
 def test_toxicity_on_edge_rows(spark, edges, crowded, nothing):
     none = spark.createDataFrame([], LABELS)
     odd = spark.createDataFrame([(1, None, 1), (2, 1, None), (None, 1, 1), (3, 1, 0), (3, 1, 1), (99, 0, 1)], LABELS)
