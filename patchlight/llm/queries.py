@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from patchlight.llm import bpe, brown, chat, fingerprints, jaccard, packing, quality, substrings, token_counts, toxicity
+from patchlight.llm import bpe, brown, chat, divergence, fingerprints, jaccard, packing, quality, secrets, spelling, substrings, token_counts, toxicity
 from patchlight.llm.common import documents, labels
 
 
@@ -65,5 +65,17 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.removal_digests(documents(spark, sf))
 
 
+def op11_guess_cost(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.secret_digests(documents(spark, sf))
+
+
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.diverge(documents(spark, sf))
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
