@@ -141,7 +141,8 @@ def _build(table: pa.Table) -> pa.Table:
     listed = found.to_pylist()
     seed = SEED
     while True:
-        hashes = np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in listed), np.uint64, len(listed))
+        # Mixed again: the terms of a shard have equal hashes by the number of shards.
+        hashes = mixed(np.fromiter((xxhash.xxh64_intdigest(t, seed) for t in listed), np.uint64, len(listed)))
         moves = displacements(hashes)
         if moves is not None:
             break
@@ -209,6 +210,7 @@ class Slots:
         at, hashes = at[here], hashes[here]
         for k in np.flatnonzero(self.seeds[at] != SEED):
             hashes[k] = xxhash.xxh64_intdigest(wanted[here[k]], int(self.seeds[at[k]]))
+        hashes = mixed(hashes)
         bucket = (hashes % self.buckets[at].astype(np.uint64)).astype(np.int64)
         moves = self.moves[self.bucket_first[at] + bucket]
         sizes = np.diff(self.first)[at]

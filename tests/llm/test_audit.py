@@ -187,6 +187,13 @@ def test_stored_terms_verify(spark):
     assert 0 < (half >= 0).sum() == rows[0].n < 5000
 
 
+def test_shards_of_an_even_number(spark):
+    """The number of shards and that of buckets have common factors."""
+    kept = spark.createDataFrame([("en", f"t{k}") for k in range(32 * 4000)], "lang string, term string")
+    rows = divergence.perfect_hashes(kept).collect()
+    assert len(rows) == 32 and sum(r.n for r in rows) == 32 * 4000
+
+
 def test_shares_are_exact(spark):
     cases = [(0, 0, 1), (7, 90, 13), (10**12, 10**13, 10**6), (3, 10**15, 10**9)]
     frame = spark.createDataFrame(cases, "c bigint, n bigint, v bigint")
