@@ -167,7 +167,8 @@ def perfect_hashes(kept: DataFrame) -> DataFrame:
     sizes = kept.groupBy("lang").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
     dealt = kept.join(sizes, "lang").select("lang", F.pmod(F.xxhash64("term"), "shards").cast("int").alias("shard"), "term")
     schema = "lang string, shard int, n int, seed int, moves binary, terms array<binary>, bytes bigint"
-    return dealt.groupBy("lang", "shard").applyInArrow(_build, schema)
+    # Dealt by both, as a join on the language alone would leave all its shards in one task.
+    return dealt.repartition("lang", "shard").groupBy("lang", "shard").applyInArrow(_build, schema)
 
 
 @dataclass
