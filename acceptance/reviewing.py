@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from acceptance import tables as T
 from acceptance.registry import check
 from patchlight import constants as C
+from patchlight import schemas
 from patchlight.functions import display
+from patchlight.functions.labels import top_category, top_confidence
 from patchlight.operators import distributions as D
 from patchlight.operators import filters, rollups
+from patchlight.operators.chunks import explode_chunks
 from patchlight.operators import findings as FI
 from patchlight.plans.review import by_keywords, find, respond, review
 from patchlight.session import work_dir
@@ -146,9 +149,8 @@ def file_results(spark, sf):
 )
 def commented_file_results(spark, sf):
     findings = FI.attach_feedback(T.findings(spark, sf, 5), T.comments(spark, sf))
-    return rollups.nest_findings(T.files(spark, sf), findings).withColumn(
-        "findings", F.to_json("findings")
-    )
+    nested = rollups.nest_findings(T.files(spark, sf), findings, "review_key", "filename")
+    return nested.withColumn("findings", F.to_json("findings"))
 
 
 def _counts_sql(findings: str = "findings", files: str = "files") -> str:
@@ -259,9 +261,20 @@ def actionable_findings(spark, sf):
         WHERE filename NOT IN (SELECT filename FROM findings WHERE category <> 'ok')""",
 )
 def clean_files(spark, sf):
-    return filters.clean_files(T.files(spark, sf), T.findings(spark, sf)).select(
-        "review_key", "filename", "language"
-    )
+    clean = filters.clean_files(T.files(spark, sf), T.findings(spark, sf), "review_key", "filename")
+    return clean.select("review_key", "filename", "language")
+
+
+@check(
+    "P12",
+    f"""WITH {RECORD_FINDINGS}
+        SELECT review_key, filename, additions, deletions FROM files WHERE patch <> ''
+        AND doc_id NOT IN (SELECT doc_id FROM findings WHERE category <> 'ok')""",
+)
+def clean_record_files(spark, sf):
+    """Landed records: a clean file next to another of its name with an issue, and files without a patch, which are not shown."""
+    files = S1.from_pr_files(T.records_with_ids(spark, sf))
+    return filters.clean_files(files, find(files, LABEL)).select("review_key", "filename", "additions", "deletions")
 
 
 UNCHECKED = """
@@ -380,6 +393,101 @@ def continuous_review_findings(spark, sf):
 
 @check("E6", f"WITH {T.with_findings()} SELECT category, count(*) AS n FROM findings GROUP BY category")
 def continuous_review_counts(spark, sf):
-    path, checkpoint = work_dir(spark, "findings"), work_dir(spark, "checkpoint")
+    path, checkpoint, state = (work_dir(spark, name) for name in ("findings", "checkpoint", "counts"))
     S.write_findings(_stream(spark, sf), path, checkpoint, LABEL).awaitTermination()
-    return S.current_counts(spark, path)
+    S.count_findings(spark, path, state).awaitTermination()
+    return S.running_counts(spark, state)
+
+
+FIRST, SECOND = "2026-01-01", "2026-01-02"
+# The first landing has all files. In the second, every other review lands again, without the second of its three files.
+AGAIN = "doc_id // 3 % 2 = 0 AND doc_id % 3 <> 1"
+LANDED = T.with_records() + f""",
+    landed AS (SELECT * FROM records WHERE doc_id // 3 % 2 = 1 OR ({AGAIN})),
+    files AS (SELECT doc_id, review_key, filename, {T.SQL_LANGUAGE} AS language, patch,
+                     coalesce(additions, 0) AS additions, coalesce(deletions, 0) AS deletions FROM landed)"""
+
+
+def _landings(spark, sf):
+    """Records of the two landings, the second one in other words for the same condition."""
+    rows = T.pr_records(spark, sf, F.col("doc_id"))
+    again = rows.where((F.floor(F.col("doc_id") / 3) % 2 == 0) & (F.col("doc_id") % 3 != 1))
+    return [landed.drop("doc_id").withColumn("landing", F.lit(name)) for landed, name in ((rows, FIRST), (again, SECOND))]
+
+
+@check("S1 A5", f"WITH {T.with_findings(30, T.TEST_KEYWORDS, LANDED)}, {_counts_sql()}, {NESTED} {ROWS_SQL}")
+def last_landing_results(spark, sf):
+    """A review that lands again, with a file gone, is answered by its last landing alone."""
+    first, second = _landings(spark, sf)
+    return _flat(respond(first.unionByName(second), keywords=T.TEST_KEYWORDS))
+
+
+def _two_runs(spark, sf):
+    """Both landings through the stream, each in a run of its own: the second goes on from the checkpoints of the first."""
+    landing, path, checkpoint, state = (work_dir(spark, name) for name in ("landing", "findings", "checkpoint", "counts"))
+    for landed in _landings(spark, sf):
+        landed.write.mode("append").parquet(landing)
+        records = S.landing_folder(spark, landing, "parquet", f"{schemas.PR_FILES}, landing string")
+        S.write_findings(S1.from_pr_files(records), path, checkpoint, LABEL).awaitTermination()
+        S.count_findings(spark, path, state, "review_key", "landing").awaitTermination()
+    return state
+
+
+@check(
+    "E6",
+    f"""WITH {RECORD_FINDINGS}
+        SELECT category, count(*) + count(*) FILTER ({AGAIN}) AS n FROM findings GROUP BY category""",
+)
+def running_counts_after_restart(spark, sf):
+    """Everything that has landed in two runs, from the state alone."""
+    counts = S.running_counts(spark, _two_runs(spark, sf))
+    return counts.groupBy("category").agg(F.sum("n").alias("n"))
+
+
+@check(
+    "E6 A5",
+    f"WITH {T.with_findings(30, T.TEST_KEYWORDS, LANDED)} SELECT review_key, category, count(*) AS n FROM findings GROUP BY ALL",
+)
+def current_counts_of_reviews(spark, sf):
+    """The counts of each review as it stands: reviews that landed again count by their last landing."""
+    return S.current_counts(spark, _two_runs(spark, sf), "review_key")
+
+
+SCORED_COMMENTED = T.with_findings(5, T.TEST_KEYWORDS, RECORD_FILES) + f""",
+    {T.with_probabilities().lstrip()},
+    scored AS (SELECT vec_id, ['bug','style','performance','security','ok'][list_position([p1, p2, p3, p4, p5], list_max([p1, p2, p3, p4, p5]))] AS category,
+                      round(list_max([p1, p2, p3, p4, p5]), 6) AS confidence FROM probabilities),
+    comments AS (SELECT conv_id, turn,
+                        CASE WHEN role = 'assistant' THEN ' ```py' || chr(10) || text || '```  use `it` ' || chr(10) END AS reply,
+                        CASE WHEN role <> 'assistant' THEN 'asked by ' || role END AS error FROM conversations),
+    answered AS (SELECT f.* EXCLUDE (category, confidence), coalesce(s.category, f.category) AS category, coalesce(s.confidence, 0) AS confidence,
+                        coalesce(regexp_replace(reply, '^\\s+|\\s+$', '', 'g'), '(feedback unavailable: ' || coalesce(error, 'no reply') || ')') AS feedback
+                 FROM findings f LEFT JOIN scored s ON s.vec_id = f.doc_id
+                 LEFT JOIN comments c ON c.conv_id = f.doc_id AND c.turn = f.chunk_index),
+    nested AS (SELECT doc_id, review_key, filename, language, additions, deletions, list({SQL_FINDING} ORDER BY chunk_index) AS findings
+               FROM answered GROUP BY ALL)"""
+
+
+@check("E5 M8 J4", f"WITH {SCORED_COMMENTED}, {_counts_sql('answered')} {DOCUMENTS_SQL}")
+def model_response_json(spark, sf):
+    """The response with a model's categories and confidences and with comments, names that repeat included.
+
+    The probabilities are recorded ones, one vector a file; a file without one is labelled by keywords.
+    """
+    scores = T.probabilities(spark, sf).select(
+        F.col("vec_id").cast("string").alias("file_id"),
+        F.struct(top_category(F.col("p")).alias("category"), F.round(top_confidence(F.col("p")), 6).alias("confidence")).alias("scored"),
+    )
+
+    def label(chunks):
+        rows = LABEL(chunks).join(scores, "file_id", "left")
+        return rows.select(
+            *chunks.columns,
+            F.coalesce("scored.category", "category").alias("category"),
+            F.coalesce("scored.confidence", "confidence").alias("confidence"),
+        )
+
+    records = T.records_with_ids(spark, sf)
+    chunks = explode_chunks(S1.with_patch(S1.from_pr_files(records)), 5)
+    replies = T.comments(spark, sf, chunks.withColumn("doc_id", F.col("file_id").cast("bigint")))
+    return rollups.result_json(respond(records, replies, label, 5))

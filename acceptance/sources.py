@@ -38,7 +38,7 @@ def landed_review_bodies(spark, sf):
     bodies = T.pr_records(spark, sf).groupBy("pr_url").agg(
         F.to_json(F.collect_list(file)).alias("body")
     )
-    return S.from_pr_files(S.records_of_bodies(bodies))
+    return S.from_pr_files(S.records_of_bodies(bodies)).drop("file_id")
 
 
 @check(
@@ -61,6 +61,39 @@ def rejected_review_bodies(spark, sf):
     return rejects.select(F.col("pr_url").cast("bigint").alias("page_id"), "reason")
 
 
+# Of nine entries of a reply four are odd: a number, null, a list, a file whose name is a number.
+ODD = {3: "not an object", 5: "null entry", 6: "not an object", 8: "filename is not text"}
+
+
+@check(
+    "S1",
+    f"""WITH {T.with_records()}
+        SELECT CAST(pr_url AS VARCHAR) AS pr_url,
+               CASE WHEN doc_id % 9 NOT IN (3, 5, 6, 8) THEN filename END AS filename,
+               CASE WHEN doc_id % 9 NOT IN (3, 5, 6, 8) THEN length(patch) END AS n,
+               CASE WHEN doc_id % 9 NOT IN (3, 5, 6, 8) THEN additions END AS additions,
+               CASE doc_id % 9 {' '.join(f"WHEN {k} THEN '{reason}'" for k, reason in ODD.items())} END AS reason
+        FROM records""",
+)
+def mixed_review_bodies(spark, sf):
+    """Replies in which odd entries stand next to files: an entry is a record or a reject, and none is lost."""
+    rows = T.pr_records(spark, sf, F.col("doc_id"))
+    kind = F.col("doc_id") % 9
+    good = F.to_json(F.struct("filename", "patch", "additions", "deletions"))
+    entry = (
+        F.when(kind == 3, F.col("doc_id").cast("string"))
+        .when(kind == 5, "null")
+        .when(kind == 6, F.to_json(F.array("filename")))
+        .when(kind == 8, F.to_json(F.struct(F.col("doc_id").alias("filename"), "patch")))
+        .otherwise(good)
+    )
+    # A review has three documents, so a reply has three entries.
+    replies = rows.groupBy("pr_url").agg(F.concat(F.lit("["), F.concat_ws(", ", F.collect_list(entry)), F.lit("]")).alias("body"))
+    records, rejects = S.split_bodies(replies)
+    read = records.select("pr_url", "filename", F.length("patch").cast("bigint").alias("n"), "additions")
+    return read.unionByName(rejects.select("pr_url", "reason"), allowMissingColumns=True)
+
+
 @check("S2", "SELECT doc_id, text AS code FROM documents")
 def code_files_read(spark, sf):
     """All documents written as text files, a separator after each, and read as files of code."""

@@ -99,7 +99,12 @@ def findings(
     return label_by_keywords(chunks(spark, sf, max_lines), keywords or TEST_KEYWORDS)
 
 
-def pr_records(spark: SparkSession, sf: str) -> DataFrame:
+def records_with_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """``pr_records`` with the number of the document as the id of the file."""
+    return pr_records(spark, sf, F.col("doc_id").cast("string").alias("file_id"))
+
+
+def pr_records(spark: SparkSession, sf: str, *more: F.Column) -> DataFrame:
     """Landed review records: three documents to a review.
 
     One file in ten has no patch, nor has any of every fiftieth review; in every tenth review two files have one name,
@@ -110,6 +115,7 @@ def pr_records(spark: SparkSession, sf: str) -> DataFrame:
     name = F.when((review % 10 == 4) & (F.col("doc_id") % 3 < 2), "twice.py").otherwise(filename())
     counted = F.col("doc_id") % 7 > 0
     return documents(spark, sf).select(
+        *more,
         F.concat(F.lit("https://github.com/acme/web/pull/"), review.cast("string"), F.lit("/files")).alias("pr_url"),
         name.alias("filename"),
         F.when(~bare, F.col("text")).alias("patch"),
@@ -193,9 +199,9 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return read_replies(with_key(training(spark, sf)), answers)
 
 
-def comments(spark: SparkSession, sf: str) -> DataFrame:
-    """Recorded comments: turn n of a conversation answers chunk n of the document of its number."""
-    keyed = with_chunk_key(chunks(spark, sf, 5))
+def comments(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Recorded comments: turn n of a conversation answers chunk n (of five lines) of the document of its number."""
+    keyed = with_chunk_key(chunks(spark, sf, 5) if of is None else of)
     turns = conversations(spark, sf).select(
         F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), "role", "text"
     )

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def file_keys(*tables: DataFrame) -> list[str]:
+    """The column that tells files apart in all the tables; names may repeat, so without it the caller has to say."""
+    if all("file_id" in t.columns for t in tables):
+        return ["file_id"]
+    raise ValueError("name the columns that identify a file, or give both tables a file_id")
+
+
 def with_columns_once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once per row, whatever is done with them later.
 

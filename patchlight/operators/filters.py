@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.functions.labels import is_category
+from patchlight.operators.columns import file_keys
+from patchlight.sources.changed_files import with_patch
 
 
 def with_code(rows: DataFrame, code: str = "code") -> DataFrame:
@@ -43,10 +45,13 @@ def actionable(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("category") != "ok")
 
 
-def clean_files(files: DataFrame, findings: DataFrame) -> DataFrame:
-    """Files without an actionable finding, those without any chunk included."""
-    keys = ["review_key", "filename"]
-    return files.join(actionable(findings).select(*keys).distinct(), keys, "left_anti")
+def clean_files(files: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
+    """Files with a patch but no actionable finding, those without any chunk included.
+
+    Each file is judged by itself: ``keys``, by default ``file_id``, identify it in both tables.
+    """
+    on = list(keys) or file_keys(files, findings)
+    return with_patch(files).join(actionable(findings).select(*on).distinct(), on, "left_anti")
 
 
 def finding_problem() -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from patchlight import constants as C
 from patchlight.functions.labels import heuristic_label
 from patchlight.functions.text import line_chunks
+from patchlight.operators.columns import file_keys
 from patchlight.operators.distributions import counts_map, in_summary_order
 from patchlight.operators.filters import actionable
 from patchlight.sources.changed_files import with_patch
@@ -91,12 +92,11 @@ def label_files(
 def nest_findings(files: DataFrame, findings: DataFrame, *keys: str) -> DataFrame:
     """Each file that has a patch, with its findings in chunk order; one without any keeps an empty list.
 
-    ``keys`` identify a file in both tables. The default, review and name, does only where names are unique;
-    landed records may repeat a name or lack it, so give them an id (``sources.tables.with_row_id``)
-    before they are cut. A group is one file, whose text came from a single cell, so a list is never larger
-    than the input row it goes back to.
+    ``keys``, by default ``file_id``, identify a file in both tables: landed records may repeat a name or lack it. A
+    group is one file, whose text came from a single cell, so a list is never larger than the input row it
+    goes back to.
     """
-    on = list(keys) or FILE_KEYS
+    on = list(keys) or file_keys(files, findings)
     item = F.struct(
         F.col("chunk_index").alias("_order"),
         _finding_struct({f: F.col(f) for f in FINDING_FIELDS}).alias("finding"),

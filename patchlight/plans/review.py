@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight.operators.chunks import explode_chunks
 from patchlight.operators.classifier import apply_fallback, classify
 from patchlight.operators.findings import attach_feedback, label_by_keywords
-from patchlight.operators.rollups import label_files, review_results
-from patchlight.sources.changed_files import from_pr_files, with_patch
-from patchlight.sources.tables import materialise
+from patchlight.operators.rollups import label_files, nest_findings, review_results
+from patchlight.sources.changed_files import from_pr_files, latest_landing, with_patch
+from patchlight.sources.tables import materialise, with_row_id
 
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -54,13 +55,26 @@ def review(
 
 def respond(
     records: DataFrame,
+    replies: DataFrame | None = None,
+    label: Labeller | None = None,
     max_lines: int = C.MAX_CHUNK_LINES,
     keywords: dict[str, list[str]] = C.HEURISTIC_KEYWORDS,
 ) -> DataFrame:
     """From landed records to the response of each review (``rollups.review_results``).
 
-    Files without a patch are no part of it. A review without any file to look at has no response; it is
+    ``label`` gives category and confidence, a model's for example, and ``replies`` the comments; without both the
+    keywords label the chunks in place. Records that know their ``landing`` count by the last one of their review. Files are told apart by
+    ``file_id``, which goes with them from the record to the response; records without it get one from their place in a
+    written table. Files without a patch are no part of a response, and a review without any file to look at has none; it is
     a row of ``changed_files.without_reviewable_file``. The labelled files are written to the shared folder.
     """
-    labelled = label_files(from_pr_files(records), max_lines, keywords)
-    return review_results(materialise(labelled, "file-results"))
+    files = with_patch(from_pr_files(records))
+    if "landing" in files.columns:
+        files = latest_landing(files)
+    if label is None and replies is None:
+        return review_results(materialise(label_files(files, max_lines, keywords), "file-results"))
+    if "file_id" not in files.columns:
+        files = with_row_id(materialise(files, "files")).withColumnRenamed("row_id", "file_id")
+    found = find(files, label or by_keywords(keywords), max_lines)
+    found = found.withColumn("feedback", F.lit("")) if replies is None else attach_feedback(found, replies)
+    return review_results(materialise(nest_findings(files, found), "file-results"))

@@ -4,7 +4,6 @@ PR_FILES = "pr_url string, filename string, patch string, additions int, deletio
 
 # One stored reply of the code host: the JSON array of changed files of a review.
 PR_BODIES = "pr_url string, body string"
-PR_BODY_ITEMS = "array<struct<filename: string, patch: string, additions: int, deletions: int>>"
 
 RAW_CODE = "review_key string, code string, filename string"
 

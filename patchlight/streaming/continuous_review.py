@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from patchlight import constants as C
 from patchlight import schemas
 from patchlight.plans.review import Labeller, find
+from patchlight.sources.changed_files import latest_landing
 
 
 def landing_folder(
@@ -50,11 +51,33 @@ def write_findings(
     )
 
 
-def current_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counts per category of the findings of all finished batches.
+def count_findings(spark: SparkSession, path: str, checkpoint: str, *keys: str) -> StreamingQuery:
+    """Count the findings that have come to ``path`` since the last run, per ``keys`` and category, then stop.
 
-    Read from the findings themselves, so nothing is labelled twice and nothing is kept beside them. The sink's log
-    hides a batch until it is complete, and only the column of categories is read.
+    The counts are kept in the state store below ``checkpoint``, so a run reads the new files of the findings only, their
+    columns of keys and categories alone, and goes on where the last one stopped, also where that one failed: the sink's log hides
+    unfinished batches, and a repeated batch starts from the state before it. There is nothing else to write: ``running_counts`` reads
+    the state itself. The state grows with the number of keys, not with the findings.
     """
-    findings = spark.read.parquet(path)
-    return findings.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    schema = ", ".join(f"{name} string" for name in [*keys, "category"])
+    findings = spark.readStream.schema(schema).parquet(path)
+    return (
+        findings.groupBy(*keys, "category")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .writeStream.format("noop")
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def running_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The counts after the last finished batch of ``count_findings``."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*", F.col("value.count").alias("n"))
+
+
+def current_counts(spark: SparkSession, checkpoint: str, *keys: str) -> DataFrame:
+    """The counts of each review's last landing, for counts kept by ``review_key, landing``, summed up per ``keys`` and category."""
+    current = latest_landing(running_counts(spark, checkpoint))
+    return current.groupBy(*keys, "category").agg(F.sum("n").alias("n"))

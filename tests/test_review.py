@@ -59,12 +59,69 @@ def test_records_from_bodies_and_json(spark, tmp_path):
     bodies = spark.createDataFrame([(URL + "1", body), *[(f"{URL}{i}", b) for i, b in enumerate(others, 2)]], schemas.PR_BODIES)
     records, rejects = S.split_bodies(bodies)
     got = [tuple(r) for r in records.collect()]
-    assert got == [(URL + "1", "a.py", "x", 2, None), (URL + "1", "b", None, None, None)]
+    assert got == [(f"{URL}1#0", URL + "1", "a.py", "x", 2, None), (f"{URL}1#1", URL + "1", "b", None, None, None)]
     assert {r.pr_url[len(URL) :]: r.reason for r in rejects.collect()} == {
         "2": "not json", "3": "no body", "4": "error object", "5": "empty list", "6": "not a list", "7": "not json"}
     path = str(tmp_path / "bodies")
     bodies.limit(1).write.json(path)
-    assert S.read_pr_bodies(spark, path).count() == 2
+    records, rejects = S.read_pr_bodies(spark, path)
+    assert (records.count(), rejects.count()) == (2, 0)
+
+
+def test_an_odd_entry_costs_no_other(spark):
+    entries = {
+        '{"filename": "a.py", "patch": "x"}': None, "3": "not an object", "null": "null entry", '"x"': "not an object",
+        '["a"]': "not an object", '{"filename": 7}': "filename is not text", '{"patch": {}}': "patch is not text",
+        '{"additions": [1]}': "additions is not a number", '{"deletions": 3000000000}': "deletions is not a number",
+        '{"filename": null, "additions": null}': None, "{}": None, '{"filename": "b.py", "additions": 4, "deletions": 1}': None}
+    whole = f"[{', '.join(entries)}]"
+    bodies = [(URL + "1", whole), (URL + "2", "[1]"), (URL + "3", "[null]"), (URL + "4", '[["a"]]'), (URL + "5", " [ ] ")]
+    records, rejects = S.split_bodies(spark.createDataFrame(bodies, schemas.PR_BODIES))
+    good = {r.file_id: (r.filename, r.patch, r.additions, r.deletions) for r in records.collect()}
+    reasons = {(r.pr_url[-1], r.entry): r.reason for r in rejects.collect()}
+    assert reasons == {("1", i): reason for i, reason in enumerate(entries.values()) if reason} | {
+        ("2", 0): "not an object", ("3", 0): "null entry", ("4", 0): "not an object", ("5", None): "empty list"}
+    assert good == {f"{URL}1#0": ("a.py", "x", None, None), f"{URL}1#9": (None,) * 4, f"{URL}1#10": (None,) * 4,
+                    f"{URL}1#11": ("b.py", None, 4, 1)}
+    assert records.count() + sum(k[1] is not None for k in reasons) == len(entries) + 3
+
+
+def test_lines_that_are_no_record(spark, tmp_path):
+    path = tmp_path / "lines"
+    path.mkdir()
+    (path / "a.json").write_text(json.dumps({"pr_url": URL + "1", "filename": "a"}) + '\nnot json\n{"pr_url": "u", "additions": "x"}\n')
+    records, rejects = S.split_pr_lines(spark, str(path))
+    assert [(r.pr_url, r.filename) for r in records.collect()] == [(URL + "1", "a")]
+    assert {(r.pr_url, r.reason) for r in rejects.collect()} == {(None, "not a record"), ("u", "not a record")}
+
+
+def test_the_last_landing_of_a_review_counts(spark):
+    rows = [(URL + "1", f, p, 1, 1, day) for day, f, p in [("1", "a.py", "null"), ("1", "gone.py", "slow"), ("2", "a.py", "x")]]
+    rows += [(URL + "2", "b.py", "null", 1, 1, "1"), (URL + "3/files", "c.py", "x", 1, 1, None), (URL + "3", "c.py", "null", 1, 1, "0")]
+    landed = spark.createDataFrame(rows, f"{schemas.PR_FILES}, landing string")
+    _, totals = by_review(respond(landed))
+    assert {k: (t.n_files, t.total_issues) for k, t in totals.items()} == {"o/r/1": (1, 0), "o/r/2": (1, 1), "o/r/3": (1, 1)}
+
+
+def test_response_with_a_label_and_comments(spark):
+    """Files of one name keep their own chunks, labels and comments."""
+    rows = [("1", URL + "1", "a.py", "one\ntwo", 1, 0), ("2", URL + "1", "a.py", "three", 2, 0), ("3", URL + "1", "a.png", None, 0, 0)]
+    landed = spark.createDataFrame(rows, f"file_id string, {schemas.PR_FILES}")
+
+    def label(chunks):
+        return chunks.withColumn("category", F.when(F.col("chunk") == "two", "bug").otherwise("ok")).withColumn("confidence", F.lit(0.75))
+
+    keyed = FI.with_chunk_key(find(S.from_pr_files(landed), max_lines=1)).where("chunk <> 'one'")
+    replies = keyed.select(F.col("chunk_key").alias("key"), F.concat(F.lit("about "), "chunk").alias("response_text"),
+                           F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"))
+    for given in (landed, landed.drop("file_id")):
+        files, totals = by_review(respond(given, replies, label, 1))
+        found = {f.additions: [(c.chunk, c.category, c.confidence, c.feedback) for c in f.findings] for f in files["o/r/1"]}
+        assert found == {1: [("one", "ok", 0.75, "(feedback unavailable: no reply)"), ("two", "bug", 0.75, "about two")],
+                         2: [("three", "ok", 0.75, "about three")]}
+        assert (totals["o/r/1"].n_files, totals["o/r/1"].total_issues) == (2, 1)
+    with pytest.raises(ValueError, match="identify a file"):
+        rollups.nest_findings(S.from_pr_files(landed.drop("file_id")), find(S.from_pr_files(landed.drop("file_id"))))
 
 
 def test_raw_code(spark):
@@ -127,7 +184,7 @@ def test_both_ways_to_nest_agree(spark):
     files = many_files(spark)
     direct = rollups.label_files(files, 7)
     findings = find(files, max_lines=7).withColumn("feedback", F.lit(""))
-    nested = rollups.nest_findings(files, findings)
+    nested = rollups.nest_findings(files, findings, "filename")
     a = {r.filename: r for r in direct.collect()}
     b = {r.filename: r for r in nested.collect()}
     assert a == b and len(a) == 59  # the file without a text is no part of a result
@@ -202,9 +259,13 @@ def test_summary(spark):
 def test_clean_files_and_validation(spark):
     files = many_files(spark)
     findings = find(files)
-    clean = {r.filename for r in filters.clean_files(files, findings).collect()}
+    clean = {r.filename for r in filters.clean_files(files, findings, "filename").collect()}
     issues = {r.filename for r in filters.actionable(findings).collect()}
-    assert clean | issues == {f"f{i:03}.py" for i in range(60)} and not clean & issues and "f000.py" in clean
+    # The file without a patch is not shown.
+    assert clean | issues == {f"f{i:03}.py" for i in range(1, 60)} and not clean & issues
+    named = [("1", "r", "a.py", "x"), ("2", "r", "a.py", "null"), ("3", "r", "img.png", None)]
+    named = spark.createDataFrame(named, "file_id string, review_key string, filename string, patch string")
+    assert [r.file_id for r in filters.clean_files(named, find(named)).collect()] == ["1"]
     rows = findings.withColumn("feedback", F.when(F.col("chunk_index") == 0, "x")).withColumn(
         "category", F.when(F.col("filename") == "f001.py", None).otherwise(F.col("category")))
     valid, rejected = filters.split_findings(rows)
@@ -240,7 +301,8 @@ def test_continuous_review_equals_the_batch_job(spark, tmp_path):
         found = spark.read.parquet(out)
         want = find(expected, label, 7)
         assert sorted(map(repr, found.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
-        assert {tuple(r) for r in stream.current_counts(spark, out).collect()} == {
+        stream.count_findings(spark, out, out + "-counts").awaitTermination()
+        assert {tuple(r) for r in stream.running_counts(spark, out + "-counts").collect()} == {
             tuple(r) for r in want.groupBy("category").count().collect()}
 
     files.where("additions < 40").repartition(3).write.json(landing)
