@@ -1,6 +1,8 @@
 """Training, scoring, embedding and cross-validation."""
 
+import numpy as np
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from acceptance import tables as T
@@ -10,11 +12,14 @@ from patchlight.functions.labels import top_category, top_confidence
 from patchlight.operators import classifier as M
 from patchlight.operators.folds import attach_weights, class_weights
 from patchlight.operators import metrics
-from patchlight.plans.review import by_model, review
+from patchlight.plans.review import by_model, find, review
 from patchlight.session import work_dir
 from patchlight.sources.models import load_model, save_model
 from patchlight.sources.tables import materialise
 
+# How much of the gradient at zero may be left after the fit.
+OPTIMUM = 0.015
+
 TOKENS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
@@ -257,3 +262,127 @@ def model_review_columns(spark, sf):
         F.col("category").isin(*C.CATEGORIES).alias("known_category"),
         F.col("confidence").between(0.2, 1.0).alias("fair_confidence"),
     )
+
+
+# --- Models that have to have learned something ------------------------------
+
+# Two classes differ by how often words occur, not by which: a single step cannot tell them apart.
+def _marks(name, times):
+    return " ".join(f"{name}{j}" for j in range(110)) + " " if times == 1 else _marks(name, 1) * times
+
+
+MARKS = [_marks("one", 1), _marks("one", 4), _marks("two", 2), _marks("three", 2), _marks("four", 2)]
+SQL_MARKED = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(C.CATEGORIES)) + " END"
+
+
+def _marked(docs, text):
+    """Texts behind words that tell their class, the number of the document modulo 5."""
+    kind = F.col("doc_id") % 5
+    mark = F.get(F.array(*map(F.lit, MARKS)), kind.cast("int"))
+    label = F.get(F.array(*map(F.lit, C.CATEGORIES)), kind.cast("int"))
+    return docs.withColumn("label", label).withColumn(text, F.concat(mark, text))
+
+
+def _marked_rows(spark, sf):
+    docs = T.documents(spark, sf).select("doc_id", F.substring("text", 1, C.MAX_PATCH_CHARS).alias("code"))
+    return materialise(_marked(docs, "code").withColumnRenamed("doc_id", "key"), "marked")
+
+
+@check("M2 M3", f"SELECT doc_id AS key, {SQL_MARKED} AS category FROM documents")
+def marked_classes_learned(spark, sf):
+    """Every text gets the class that its words tell; no model that does not read them, and none of one step, does that."""
+    rows = _marked_rows(spark, sf)
+    return M.classify(rows, M.train(rows)).select("key", "category")
+
+
+@check(
+    "M8 M3",
+    f"""WITH {T.with_files()} SELECT review_key, filename, {SQL_MARKED} AS category, TRUE AS sure FROM files WHERE patch <> ''""",
+)
+def marked_files_reviewed(spark, sf):
+    """A model trained on marked texts reviews marked files, one chunk each."""
+    model = M.train(_marked_rows(spark, sf).withColumnRenamed("code", "chunk"), "chunk")
+    files = _marked(T.files(spark, sf).where("patch <> ''"), "patch").drop("label")
+    found = find(files, by_model(model), 1 << 20)
+    return found.select("review_key", "filename", "category", (F.col("confidence") > 0.3).alias("sure"))
+
+
+@check(
+    "M6",
+    f"""WITH coded AS (SELECT CAST(doc_id AS VARCHAR) AS key, {SQL_MARKED} AS label FROM documents)
+        SELECT key, {T.sql_fold('key')} AS fold, label AS prediction FROM coded""",
+)
+def marked_classes_cross_validated(spark, sf):
+    """Each fold's model, which has not seen the row, predicts the class that its words tell."""
+    return M.cross_validate(_marked_rows(spark, sf), "key", parallelism=4)[0].select("key", "fold", "prediction")
+
+
+@check("M7", f"SELECT doc_id AS key, {SQL_MARKED} AS category FROM documents")
+def marked_classes_by_the_last_fold(spark, sf):
+    rows = _marked_rows(spark, sf)
+    _, model = M.cross_validate(rows, "key", parallelism=4)
+    return M.classify(rows, model).select("key", "category")
+
+
+def gradient(rows, fitted, reg_param):
+    """Per class, the length of the objective's gradient in the coefficients, as a share of its length where all are zero.
+
+    At the optimum, the weighted excess of probability over occurrence of a class along a column equals the penalty's pull, which Spark
+    takes on standardised columns.
+    """
+    scored = fitted.transform(rows).withColumn("_p", vector_to_array("probability"))
+    x, w = F.col("features"), F.col("weight")
+    sums = [Summarizer.metrics("mean", "variance").summary(x, w).alias("all"), F.sum(w).alias("w")]
+    for k, c in enumerate(C.CATEGORIES):
+        p, y = w * F.get("_p", F.lit(k)), w * (F.col("label") == c).cast("double")
+        sums += [Summarizer.metrics("mean").summary(x, p).alias(f"p{k}"), F.sum(p).alias(f"wp{k}")]
+        sums += [Summarizer.metrics("mean").summary(x, y).alias(f"y{k}"), F.sum(y).alias(f"wy{k}")]
+    row = scored.agg(*sums).first()
+    out = {}
+    for k, c in enumerate(C.CATEGORIES):
+        expected = row[f"p{k}"]["mean"].toArray() * row[f"wp{k}"]
+        actual = row[f"y{k}"]["mean"].toArray() * row[f"wy{k}"]
+        pull = reg_param * fitted.stages[-1].coefficientMatrix.toArray()[k] * row["all"]["variance"].toArray()
+        start = row["all"]["mean"].toArray() * row["w"] / len(C.CATEGORIES)
+        out[c] = float(np.linalg.norm((expected - actual) / row["w"] + pull) / np.linalg.norm((start - actual) / row["w"]))
+    return out
+
+
+@check("M2", "SELECT c AS category, TRUE AS at_optimum FROM (SELECT unnest(['bug','style','performance','security','ok']) AS c)")
+def coefficients_at_optimum(spark, sf):
+    """The first-order conditions of the fit, class by class, over all columns."""
+    rows = M.prepare(T.code_rows(spark, sf), "code", "label", M.SIZE)
+    shares = gradient(rows, M.fit(rows, reg_param=0.01), 0.01)
+    found = spark.createDataFrame(list(shares.items()), "category string, share double")
+    return found.select("category", (F.col("share") < OPTIMUM).alias("at_optimum"))
+
+
+@check(
+    "A16",
+    f"""WITH {T.with_training()}, counted AS (SELECT lang, t.label, count(*) AS n FROM training t JOIN documents d ON d.doc_id = t.pr_number GROUP BY ALL),
+        weighed AS (SELECT *, n * (sum(n) OVER ()) / (5 * sum(n) OVER (PARTITION BY label)) AS w FROM counted),
+        shared AS (SELECT w, w / sum(w) OVER (PARTITION BY lang) AS p FROM weighed)
+        SELECT round(-sum(w * ln(p)) / sum(w), 2) AS loss FROM shared""",
+)
+def loss_of_one_word_texts(spark, sf):
+    """Texts of one word, the language of the document: without a penalty, the loss goes to the entropy of the labels given the language."""
+    langs = T.documents(spark, sf).select(F.col("doc_id").alias("pr_number"), F.col("lang").alias("code"))
+    rows = T.training(spark, sf).select("pr_number", "label").join(langs, "pr_number")
+    fitted = M.fit(M.prepare(materialise(rows, "words"), "code", "label", M.SIZE), max_iter=200, reg_param=0.0)
+    return M.training_objective(fitted).agg(F.round(F.max_by("objective", "step"), 2).alias("loss"))
+
+
+@check(
+    "A16",
+    f"""WITH {T.with_training()}, {T.with_probabilities().lstrip()},
+        sizes AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM training GROUP BY label),
+        scored AS (SELECT repo, total / (5 * n) AS weight, [p1, p2, p3, p4, p5][list_position(['bug','style','performance','security','ok'], t.label)] AS p
+                   FROM training t JOIN probabilities ON vec_id = pr_number JOIN sizes s ON s.label = t.label)
+        SELECT repo, round(sum(-ln(p) * weight) / sum(weight), 6) AS loss FROM scored GROUP BY repo""",
+)
+def weighted_cross_entropy(spark, sf):
+    """The loss of recorded probabilities, per repository."""
+    rows = T.training(spark, sf).select("repo", "pr_number", "label")
+    weighted = attach_weights(rows, class_weights(materialise(rows.select("label"), "labels")))
+    scored = weighted.join(T.probabilities(spark, sf).withColumnRenamed("vec_id", "pr_number"), "pr_number")
+    return metrics.cross_entropy(scored, "repo").withColumn("loss", F.round("loss", 6))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF,
+    ElementwiseProduct,
     IDFModel,
     HashingTF,
     Normalizer,
@@ -17,6 +19,8 @@ from pyspark.ml.feature import (
     StringIndexerModel,
 )
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,11 +63,34 @@ def token_counts(rows: DataFrame, text: str, size: int) -> DataFrame:
     return stages.transform(rows).drop("tokens", "bounded")
 
 
-def fit(train: DataFrame, max_iter: int = 50, reg_param: float = 0.01) -> PipelineModel:
+def term_frequencies(rows: DataFrame, *keys: str) -> DataFrame:
+    """``n`` rows and ``holding``, a vector with the number of rows that hold each column, per ``keys``."""
+    held = Summarizer.metrics("count", "numNonZeros").summary(F.col("counts"))
+    return rows.groupBy(*keys).agg(held.alias("s")).select(*keys, F.col("s.count").alias("n"), F.col("s.numNonZeros").alias("holding"))
+
+
+def idf_stage(n: int, holding: np.ndarray) -> ElementwiseProduct:
+    """Weights a column by ln((n + 1) / (rows that hold it + 1))."""
+    weights = np.log((n + 1.0) / (holding + 1.0))
+    return ElementwiseProduct(inputCol="counts", outputCol="features", scalingVec=Vectors.dense(weights))
+
+
+def fold_idf_stages(prepared: DataFrame) -> dict[int, ElementwiseProduct]:
+    """The IDF stage of the training part of each fold: the sums of all rows less those of the fold, from one scan."""
+    sums = {r.fold: (r.n, r.holding.toArray()) for r in term_frequencies(prepared, "fold").collect()}
+    n, holding = (sum(s[i] for s in sums.values()) for i in (0, 1))
+    return {fold: idf_stage(n - own, holding - held) for fold, (own, held) in sums.items()}
+
+
+def fit(train: DataFrame, max_iter: int = 50, reg_param: float = 0.01, idf: ElementwiseProduct | None = None) -> PipelineModel:
     """Fit IDF and the weighted five-way logistic regression on ``counts, label, weight``.
 
-    Only sums of fixed size (features, features * classes) travel to the driver.
+    Only sums of fixed size (features, features * classes) travel to the driver. ``idf`` is given where the
+    frequencies are known already.
     """
+    if idf is None:
+        total = term_frequencies(train).first()
+        idf = idf_stage(total.n, total.holding.toArray())
     learner = LogisticRegression(
         featuresCol="features",
         labelCol="target",
@@ -72,7 +99,6 @@ def fit(train: DataFrame, max_iter: int = 50, reg_param: float = 0.01) -> Pipeli
         maxIter=max_iter,
         regParam=reg_param,
     )
-    idf = IDF(inputCol="counts", outputCol="features")
     return Pipeline(stages=[label_stage(), idf, learner]).fit(train)
 
 
@@ -169,7 +195,8 @@ def cross_validate(
     """Train and predict each fold; returns all predictions and the last fold's model.
 
     The class weights are those of all rows. The term counts need no fitting and are
-    shared by the folds; IDF and classifier see the training part of their fold only.
+    shared by the folds; IDF and classifier see the training part of their fold only, the IDF by
+    taking the fold's own frequencies off those of all rows (``fold_idf_stages``).
     ``parallelism`` is the number of folds fitted at the same time. ``rows`` is read twice
     (weights, texts), so pass a written table. Texts become term counts before the folds are
     dealt, and the folds are folders of a table, so a fit reads its own only.
@@ -178,9 +205,11 @@ def cross_validate(
     counted = prepare(named, text, "label", size, "key")
     prepared = materialise(assign_folds(counted, "key", "label", k, seed), "folds", "fold")
 
+    idf = fold_idf_stages(prepared)
+
     def run(fold: int) -> tuple[DataFrame, PipelineModel]:
         training, validation = split_fold(prepared, fold)
-        fitted = fit(training, **fit_options)
+        fitted = fit(training, idf=idf.get(fold), **fit_options)
         predicted = fitted.transform(validation).select(
             "key", "fold", "label", category_of(F.col("prediction").cast("int")).alias("prediction")
         )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlight import constants as C
+from patchlight.functions.labels import category_index
 from patchlight.operators.distributions import category_dimension
 
 
@@ -21,6 +22,18 @@ def confusion(predictions: DataFrame, *keys: str) -> DataFrame:
     return predictions.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cross_entropy(scored: DataFrame, *keys: str, probabilities: str = "p") -> DataFrame:
+    """``loss``: mean of -ln of the probability of the label's class, weighted by ``weight``, without any penalty.
+
+    The same for a training and a validation part; ``scored`` has ``label, weight`` and five probabilities. Rows with a label outside
+    the domain have no loss. A class that is held impossible but occurs gives an infinite loss.
+    """
+    of_label = F.get(F.col(probabilities), category_index(F.col("label")))
+    loss = F.when(of_label > 0, -F.log(of_label)).when(of_label == 0, F.lit(float("inf")))
+    known = F.when(loss.isNotNull(), F.col("weight"))
+    return scored.groupBy(*keys).agg((F.sum(loss * F.col("weight")) / F.sum(known)).alias("loss"))
+
+
 def accuracy(predictions: DataFrame, *keys: str) -> DataFrame:
     hit = F.coalesce(F.col("label") == F.col("prediction"), F.lit(False))
     return predictions.groupBy(*keys).agg(F.avg(hit.cast("int")).alias("accuracy"))

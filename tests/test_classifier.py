@@ -1,6 +1,8 @@
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -64,7 +66,20 @@ def test_frequencies_are_fitted_on_the_training_part_only(rows):
     prepared = M.prepare(rows, "code", "label", 256, "key")
     part = prepared.where("label <> 'bug' OR key = 'bug-0'")
     fitted = M.fit(part, max_iter=2)
-    assert fitted.stages[1].numDocs == part.count() < prepared.count()
+    spark_idf = IDF(inputCol="counts", outputCol="x").fit(part)
+    assert spark_idf.numDocs == part.count() < prepared.count()
+    assert np.allclose(fitted.stages[1].getScalingVec().toArray(), spark_idf.idf.toArray())
+
+
+def test_frequencies_of_the_folds_by_subtraction(rows):
+    """One scan gives what five separate fits give."""
+    prepared = M.assign_folds(M.prepare(rows, "code", "label", 256, "key"), "key")
+    stages = M.fold_idf_stages(prepared)
+    assert sorted(stages) == [1, 2, 3, 4, 5]
+    for fold, stage in stages.items():
+        training, _ = M.split_fold(prepared, fold)
+        separate = IDF(inputCol="counts", outputCol="x").fit(training)
+        assert np.allclose(stage.getScalingVec().toArray(), separate.idf.toArray(), atol=1e-12)
 
 
 def test_training_objective_falls(rows):

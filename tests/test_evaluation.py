@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -37,17 +38,23 @@ def test_fold_sizes(spark):
     ]
 
 
-@pytest.mark.parametrize("digits", [1, 2, 3])
-def test_folds_are_even_complete_and_independent_of_the_buckets(spark, digits):
+@pytest.mark.parametrize("parts", [1, 2, 9])
+def test_folds_are_even_complete_and_independent_of_the_partitions(spark, parts):
     rng = random.Random(1)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     sizes = {c: rng.randrange(1, 200) for c in C.CATEGORIES}
     rows = labelled(spark, sizes)
-    got = folds.assign_folds(rows, "key", bucket_digits=digits).collect()
+    got = folds.assign_folds(rows, "key").collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = sorted(got, key=lambda r: (C.CATEGORIES.index(r.label), hashlib.md5(f"{r.key}:{C.FOLD_SEED}".encode()).hexdigest(), r.key))
+    assert [r.fold for r in order] == [i % 5 + 1 for i in range(len(order))]
     assert sorted(r.key for r in got) == list(range(sum(sizes.values())))
     for group in [None, *C.CATEGORIES]:
         counts = [sum(r.fold == f and group in (None, r.label) for r in got) for f in range(1, 6)]
         assert max(counts) - min(counts) <= 1
-    same = folds.assign_folds(rows.repartition(7), "key", bucket_digits=2).collect()
+    same = folds.assign_folds(rows.repartition(7), "key").collect()
     assert {(r.key, r.fold) for r in got} == {(r.key, r.fold) for r in same}
     other = folds.assign_folds(rows, "key", seed=1).collect()
     assert {(r.key, r.fold) for r in got} != {(r.key, r.fold) for r in other}
@@ -55,10 +62,15 @@ def test_folds_are_even_complete_and_independent_of_the_buckets(spark, digits):
 
 def test_one_hot_class_is_ranked_in_many_tasks(spark):
     label = F.when(F.col("id") < 15000, "ok").otherwise("bug")
-    folded = folds.assign_folds(spark.range(20000).select(F.col("id").alias("key"), label.alias("label")), "key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(20000).select(F.col("id").alias("key"), label.alias("label"), F.repeat(F.lit("text"), 50).alias("code"))
+    folded = folds.assign_folds(rows, "key").cache()
+    parts = folds.ranks(rows, "key").groupBy(F.floor(F.col("place") / 5000)).count().collect()
+    assert [r["count"] for r in parts] == [5000] * 4
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # The text takes no part in a sort.
     plan = folded._jdf.queryExecution().executedPlan().toString()
-    window = next(line for line in plan.splitlines() if "row_number()" in line)
-    assert re.search(r"_class#\d+, _bucket#\d+, _hash#\d+ ASC", window)
+    assert "rangepartitioning" not in plan and "Window [" in plan
     sizes = [r["count"] for r in folded.groupBy("label", "fold").count().collect()]
     assert sorted(sizes) == [1000] * 5 + [3000] * 5
 
