@@ -10,12 +10,13 @@ lie with the examples. A query adds up its rare terms over all examples in doubl
 single precision; the examples that come near the k best sums are added up again in double precision, so the k
 nearest are exact.
 
-Votes are weighted by cosine; a monotone curve fitted to the leave-one-out votes of the examples
-turns them into scores. A text without any term of the examples gets the share of the label among all examples.
+Votes are weighted by cosine; a monotone curve fitted to the leave-one-out votes of every so many-th example (at least
+``CALIBRATION`` of them, in the order of their ids) turns them into scores. A text without any term of the examples gets the share of the label among all examples.
 
 The sample is bounded (``EXAMPLES`` labelled rows, the first by a hash of their id), and with it the model that is sent
 to all tasks. Null texts are empty. Labels that are null are not used; the ids of labelled rows and of documents
-must not be null to meet. Repeated rows are scored alike.
+must not be null to meet. Repeated rows are scored alike. Without examples all texts get the score 0.5; an empty table gives no rows. Other
+columns are not read. A text is split whole, in one task.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -52,21 +54,32 @@ EVIDENCE = StructType().add("score", "double").add("evidence", ArrayType(_NEAR))
 
 
 def terms_of(text: str) -> Counter:
-    """Term frequencies; beginnings of words carry a mark that no word holds."""
+    """Term frequencies; a long run of letters counts piece by piece, and beginnings of words carry a mark that no word holds."""
     counts: Counter = Counter()
     for word, n in Counter(WORD.findall(text.lower())).items():
-        counts[word[:LONGEST_TERM]] += n
+        for at in range(0, len(word), LONGEST_TERM):
+            counts[word[at : at + LONGEST_TERM]] += n
         for size in STEMS:
             if len(word) > size:
                 counts[f"^{word[:size]}"] += n
     return counts
 
 
+def numbers_of(terms: list[str], keys: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The number of each term, or -1; terms are known by the hash that Spark's xxhash64 gives them too."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(t.encode(), 42) for t in terms), np.uint64, len(terms)).view(np.int64)
+    if not len(keys):
+        return np.full(len(terms), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, place[at], -1).astype(np.int64)
+
+
 @dataclass
 class Index:
     """Examples as unit vectors. Terms are numbered, the ``heads`` first."""
 
-    number: dict[str, int]
+    keys: np.ndarray  # 64-bit hashes of the terms, ascending
+    place: np.ndarray  # by key: the number of the term
     scale: np.ndarray  # by term
     unknown: float
     share: float
@@ -79,17 +92,13 @@ class Index:
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def __getstate__(self) -> dict:
-        """As it is sent: names and postings compressed, nothing that can be computed again."""
+        """As it is sent: postings compressed, nothing that can be computed again."""
         planes = [np.diff(self.row, prepend=self.row.dtype.type(0)), self.count]
         packed = [(p.dtype.str, len(p), pa.compress(p.view(np.uint8).reshape(len(p), p.itemsize).T.tobytes(), "zstd", asbytes=True)) for p in planes]
-        names = "\n".join(self.number).encode()
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("number", "row", "count", "frequency", "norms", "dense")}
-        return kept | {"packed": packed, "names": (len(names), pa.compress(names, "zstd", asbytes=True))}
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("row", "count", "frequency", "norms", "dense")}
+        return kept | {"packed": packed}
 
     def __setstate__(self, state: dict) -> None:
-        size, names = state.pop("names")
-        words = pa.decompress(names, size, "zstd", asbytes=True).decode().split("\n") if size else []
-        self.number = {word: k for k, word in enumerate(words)}
         planes = []
         for kind, n, block in state.pop("packed"):
             width = np.dtype(kind).itemsize
@@ -136,7 +145,7 @@ class Index:
         return [self._posting(term)[1] for term in range(len(self.scale))]
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        numbers = np.fromiter((self.number.get(t, -1) for t in counts), np.int64, len(counts))
+        numbers = numbers_of(list(counts), self.keys, self.place)
         weights = 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
         weights *= np.where(numbers < 0, self.unknown, self.scale[numbers]) if len(self.scale) else self.unknown
         found = numbers >= 0
@@ -205,34 +214,55 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
 
 
-def build_index(
-    number: dict[str, int], held_by: np.ndarray, scale: np.ndarray, unknown: float, heads: int, examples: list[tuple[int, int, bytes]]
-) -> Index:
-    """``held_by`` counts the examples of each term; ``examples`` are (id, label, packed numbers of terms and counts)."""
-    ids, labels = (np.array([e[k] for e in examples], np.int64) for k in range(2))
+def build_index(vocabulary: Vocabulary, vectors: DataFrame) -> Index:
+    """The index of the examples ``vectors`` (doc_id, label, terms: packed numbers and counts), a written table."""
+    starts, scale = np.append(0, np.cumsum(vocabulary.held_by)).astype(np.int64), vocabulary.scale
+    listed = sorted((r.doc_id, r.label) for r in vectors.select("doc_id", "label").toLocalIterator())
+    ids, labels = (np.array([e[k] for e in listed], np.int64) for k in range(2))
     share = (labels.sum() + 0.5) / (len(ids) + 1)
-    starts = np.append(0, np.cumsum(held_by)).astype(np.int64)
     free = starts[:-1].copy()
     row = np.empty(starts[-1], np.min_scalar_type(len(ids)))
     count = np.empty(starts[-1], np.uint32)
-    for i, (_, _, block) in enumerate(examples):
-        terms, counts = unpack(block, 2)
+    # One example at a time, in the order of their rows; a repeated id has repeated rows.
+    for i, r in enumerate(vectors.orderBy("doc_id", "label", "terms").select("terms").toLocalIterator()):
+        terms, counts = unpack(bytes(r.terms), 2)
         at = free[terms.astype(np.int64)]
         row[at], count[at] = i, counts
         free[terms.astype(np.int64)] += 1
-    index = Index(number, scale, unknown, float(share), heads, ids, labels, starts, row, count)
+    index = Index(vocabulary.keys, vocabulary.place, scale, vocabulary.unknown, float(share), vocabulary.heads, ids, labels, starts, row, count)
     if len(ids) > NEIGHBOURS and 0 < labels.mean() < 1:
-        held_out = list(range(0, len(ids), max(1, len(ids) // CALIBRATION)))
-        vectors = []
-        for i in held_out:
-            terms, counts = unpack(examples[i][2], 2)
-            weights = (1 + np.log(counts.astype(np.float64))) * scale[terms.astype(np.int64)]
-            vectors.append((terms.astype(np.int64), weights / np.linalg.norm(weights)))
-        found = [index.vote(near) for near in index.all_nearest(vectors, NEIGHBOURS, held_out)]
-        index.curve = monotone(np.array(found), labels[held_out])
+        votes = _leave_one_out(index, vectors)
+        index.curve = monotone(np.array([v for _, v, _ in votes]), np.array([y for _, _, y in votes]))
     return index
 
 
+def _leave_one_out(index: Index, vectors: DataFrame) -> list[tuple[int, float, int]]:
+    """(number, vote of the others, label) of every so many-th example, ``CALIBRATION`` or more of them, searched in tasks."""
+    step = max(1, len(index.ids) // CALIBRATION)
+    numbered = vectors.withColumn("number", F.row_number().over(Window.orderBy("doc_id", "label", "terms")) - 1)
+    asked = written(numbered.where(F.col("number") % step == 0), "held-out")
+    sent = vectors.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Index = sent.value
+        for batch in batches:
+            given = []
+            for block in batch.column("terms").to_pylist():
+                terms, counts = unpack(block, 2)
+                weights = (1 + np.log(counts.astype(np.float64))) * model.scale[terms.astype(np.int64)]
+                given.append((terms.astype(np.int64), weights / np.linalg.norm(weights)))
+            numbers = batch.column("number").to_pylist()
+            votes = [model.vote(near) for near in model.all_nearest(given, NEIGHBOURS, numbers)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(votes, pa.float64()), batch.column("label")], names=["number", "vote", "label"]
+            )
+
+    dealt = asked.repartition(max(1, len(index.ids) // step // BLOCK), "number")
+    votes = sorted(tuple(r) for r in dealt.mapInArrow(run, "number bigint, vote double, label int").collect())
+    sent.destroy()
+    return votes
+
+
 def may_learn(doc_id: Column) -> Column:
     """Rows whose labels may be learned from: crc32 of the id as text, modulo 3, is not 1."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1, F.lit(False))
@@ -267,30 +297,49 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int
     return build_index(*_vectors(counted))
 
 
-def _vectors(counted: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray, float, int, list[tuple[int, int, bytes]]]:
-    """Numbers and weights of all terms of ``counted``, and its rows as packed counts."""
+@dataclass
+class Vocabulary:
+    """Numbers and weights of the terms, the heads first."""
+
+    keys: np.ndarray
+    place: np.ndarray
+    held_by: np.ndarray  # by number: examples that hold the term
+    scale: np.ndarray
+    unknown: float
+    heads: int
+
+
+def _vectors(counted: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Numbers and weights of all terms of ``counted``, and its rows as packed counts.
+
+    The driver sees a hash and two numbers for each term, not the term.
+    """
     sampled = counted.count()
     pairs = counted.select("label", F.explode(F.map_keys("terms")).alias("term"))
     by_term = pairs.groupBy("term").agg(F.sum("label").cast("long").alias("hits"), F.count("*").alias("n"))
     low = F.greatest(F.lit(0.0), (wilson_low(F.col("hits"), F.col("n")) - PURITY) / (1 - PURITY))
-    # The terms of at most ``EXAMPLES`` texts.
-    found = by_term.select("term", "n", low.alias("low")).toArrow().sort_by([("n", "descending"), ("term", "ascending")])
-    n, low = found["n"].to_numpy(), found["low"].to_numpy()
+    # Terms of equal hashes, one pair in many millions, count as one.
+    by_hash = by_term.groupBy(F.xxhash64("term").alias("key")).agg(F.sum("n").cast("int").alias("n"), F.max(low).cast("float").alias("low"))
+    found = by_hash.toArrow()
+    keys, n, low = (found[c].to_numpy() for c in ("key", "n", "low"))
+    del found
+    order = np.argsort(keys)
+    keys, n, low = keys[order], n[order], low[order].astype(np.float64)
     head = (n > HEADS * sampled) & (low == 0)
-    order = np.concatenate([np.flatnonzero(head), np.flatnonzero(~head)])
-    number = dict(zip(found["term"].take(pa.array(order)).to_pylist(), range(len(order))))
-    scale = ((np.log((sampled + 1) / (n + 1)) + 1) * (1 + (STRESS - 1) * low))[order]
-    none = np.zeros(0, np.uint16)
-    model = Index(number, scale, math.log(sampled + 1) + 1, 0.0, int(head.sum()), none, none, np.zeros(1, np.int64), none, none)
-    sent = counted.sparkSession.sparkContext.broadcast(model)
+    place = np.empty(len(keys), np.int32)
+    place[head], place[~head] = np.arange(head.sum()), np.arange(head.sum(), len(keys))
+    held_by, scale = np.empty(len(keys), np.int64), np.empty(len(keys))
+    held_by[place], scale[place] = n, (np.log((sampled + 1) / (n + 1)) + 1) * (1 + (STRESS - 1) * low)
+    vocabulary = Vocabulary(keys, place, held_by, scale, math.log(sampled + 1) + 1, int(head.sum()))
+    sent = counted.sparkSession.sparkContext.broadcast((keys, place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Index = sent.value
         for batch in batches:
             held = []
             for row in batch.column("terms").to_pylist():
-                found = sorted((model.number[t], c) for t, c in row)
-                held.append(pack([np.array([f[k] for f in found], np.uint64) for k in range(2)]))
+                numbers = numbers_of([t for t, _ in row], *sent.value).astype(np.uint64)
+                order = np.argsort(numbers, kind="stable")
+                held.append(pack([numbers[order], np.array([c for _, c in row], np.uint64)[order]]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -301,8 +350,8 @@ def _vectors(counted: DataFrame) -> tuple[dict[str, int], np.ndarray, np.ndarray
             )
 
     vectors = written(counted.mapInArrow(run, "doc_id bigint, label int, terms binary"), "vectors")
-    examples = sorted(((r.doc_id, r.label, bytes(r.terms)) for r in vectors.toLocalIterator()), key=lambda e: e[0])
-    return number, n[order], scale, model.unknown, model.heads, examples
+    sent.destroy()
+    return vocabulary, vectors
 
 
 def score_rows(docs: DataFrame, index: Index) -> DataFrame:

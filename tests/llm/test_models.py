@@ -148,12 +148,12 @@ def test_nearest_is_exact(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, LABELS)
     index = toxicity.fit(docs, labels)
     assert len(index.ids) > 2 * toxicity.BLOCK
-    dense = np.zeros((len(index.ids), len(index.number)))
+    dense = np.zeros((len(index.ids), len(index.keys)))
     for term, (held, weights) in enumerate(zip(index.rows, index.weights, strict=True)):
         dense[held, term] = weights
     for _, text in rows[::5]:
         terms, weights = index.vector(toxicity.terms_of(text))
-        query = np.zeros(len(index.number))
+        query = np.zeros(len(index.keys))
         query[terms] = weights
         cosine = dense @ query
         expected = [(round(float(cosine[i]), 9), int(i)) for i in np.flatnonzero(cosine > 0)]
@@ -161,6 +161,49 @@ def test_nearest_is_exact(spark):
         assert [f[0] for f in index.nearest(terms, weights, 5)] == pytest.approx([f[0] for f in expected], abs=1e-8)
 
 
+def test_vectors_against_plain_tf_idf(spark):
+    """Terms, weights, lengths, neighbours and votes, rebuilt from the texts and labels alone."""
+    rows, marks = toxic_rows(300)
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, LABELS)
+    index = toxicity.fit(docs, labels)
+    texts, toxic = dict(rows), {d: t for d, _, t in marks}
+    ids = [d for d in sorted(texts) if crc(d) % 3 != 1]
+
+    def terms(text):
+        return Counter(t for w in text.lower().split() for t in [w, *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) > k)])
+
+    n, hits = Counter(t for d in ids for t in terms(texts[d])), Counter(t for d in ids if toxic[d] for t in terms(texts[d]))
+
+    def weight(t, c):
+        idf = math.log((len(ids) + 1) / (n[t] + 1)) + 1
+        if not n[t]:
+            return (1 + math.log(c)) * idf
+        share, z = hits[t] / n[t], 1.96
+        low = (share + z * z / (2 * n[t]) - z * math.sqrt(share * (1 - share) / n[t] + z * z / (4 * n[t] ** 2))) / (1 + z * z / n[t])
+        return (1 + math.log(c)) * idf * (1 + (toxicity.STRESS - 1) * max(0.0, (low - 0.5) / 0.5))
+
+    def unit(text):
+        raw = {t: weight(t, c) for t, c in terms(text).items()}
+        length = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / length for t, w in raw.items()}
+
+    vectors = [unit(texts[d]) for d in ids]
+    for d in list(texts)[::7]:
+        query = unit(texts[d])
+        cosines = [sum(w * v.get(t, 0.0) for t, w in query.items()) for v in vectors]
+        expected = sorted(((-round(c, 9), i) for i, c in enumerate(cosines) if c > 0))[: toxicity.NEIGHBOURS]
+        score, near = next(index.scores([texts[d]]))
+        assert [c for c, _ in near] == pytest.approx([-c for c, _ in expected], abs=2e-8)
+        total = sum(c for c, _ in near)
+        vote = (sum(c * toxic[ids[i]] for c, i in near) + 0.5 * (sum(toxic[k] for k in ids) + 0.5) / (len(ids) + 1)) / (total + 0.5)
+        assert index.vote(near) == pytest.approx(vote) and score == pytest.approx(float(np.interp(vote, *index.curve)))
+
+
+def test_all_of_a_long_run_of_letters_counts():
+    run = "x" * 40 + "abc" * 30
+    assert sorted(t for t in toxicity.terms_of(run) if t[0] != "^") == sorted([run[:40], run[40:80], run[80:120], run[120:]])
+
+
 def test_toxicity_searches_whole_texts(spark):
     """Clean examples and clean words are in the index; a toxic text without a telling word meets its like."""
     rows, marks = toxic_rows()
@@ -168,7 +211,8 @@ def test_toxicity_searches_whole_texts(spark):
     docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(marks, LABELS)
     index = toxicity.fit(docs, labels)
     assert sorted(index.ids.tolist()) == [d for d, _ in rows if crc(d) % 3 != 1]
-    assert set(index.number) >= {w for d, t in rows if crc(d) % 3 != 1 for w in t.split()}
+    held = sorted({w for d, t in rows if crc(d) % 3 != 1 for w in t.split()})
+    assert (toxicity.numbers_of([*held, "strange"], index.keys, index.place) >= 0).tolist() == [True] * len(held) + [False]
     text = " ".join(w for w in dict(rows)[next(d for d, _, t in marks if t and crc(d) % 3 != 1)].split() if w not in telling)
     (_, near), (share, none) = index.scores([text, "nothing known"])
     assert len(near) == toxicity.NEIGHBOURS and index.labels[near[0][1]] == 1
