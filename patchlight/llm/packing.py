@@ -32,6 +32,7 @@ from patchlight.llm.common import load_tokenizer, text_of
 LENGTH = 2048
 END_ID = 1
 GROUP_BYTES = 24 << 20
+ROW_BYTES = 500  # what a row takes in its group besides its text
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 KEPT_WORDS = 1_000_000
 PIECES = (
@@ -157,7 +158,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, group_bytes: int =
     """The pieces of all rows of ``docs`` (doc_id, text)."""
     file = path or public_tokenizers.path("word_bpe_49k.json")
     texts = docs.select("doc_id", text_of().alias("text"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    # A group holds rows as well as bytes; empty texts are rows too.
+    size = texts.agg(F.sum(F.octet_length("text").cast("long") + ROW_BYTES)).first()[0] or 0
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = load(file)

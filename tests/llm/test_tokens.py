@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from patchlight.llm import bpe, chat, packing, token_counts
 from patchlight.llm.common import load_tokenizer, shared_folder
@@ -111,6 +112,18 @@ def test_pack_documents(edges, edge_rows, group_bytes):
         assert at <= 2048
 
 
+def test_empty_texts_are_dealt_out_too(spark):
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    found = packing.pack_documents(rows, group_bytes=200_000)
+    assert found.rdd.getNumPartitions() == 10
+    sequences = [r.n for r in found.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(sequences) == 4000 and max(sequences) <= 2048
+
+
+def test_pack_ignores_other_columns(edges, crowded):
+    assert packing.pack_documents(crowded).count() == packing.pack_documents(edges).count()
+
+
 def test_pack_nothing(nothing):
     assert packing.pack_documents(nothing).count() == 0
 
