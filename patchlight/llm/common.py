@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -27,17 +26,10 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors reach.
-
-    Where the setting is missing, as in tests, a local session gets a folder of its own for
-    as long as it lives; any other session must bring the setting.
-    """
+    """A new folder below ``spark.checkpoint.dir``, which all executors reach; the session has to name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/llm-{purpose}-{uuid.uuid4().hex}"
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from patchlight.llm import bpe, brown, chat, divergence, fingerprints, jaccard, packing, quality, secrets, spelling, substrings, token_counts, toxicity
 from patchlight.llm.common import documents, labels
 
@@ -75,7 +74,3 @@ def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
 
 def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
     return spelling.group_variants(documents(spark, sf))
-
-
-def pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf)
