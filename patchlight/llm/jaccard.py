@@ -1,12 +1,17 @@
 """Jaccard similarity join on word shingles by a MinHash LSH forest.
 
 A text is the set of its shingles of five words (all words, where there are fewer). Texts of equal sets are
-one class and are compared once. A forest has ``TREES`` prefix tries of MinHash values; two texts
-that are close share long prefixes. Prefixes start at ``DEPTH`` values and are shortened until texts of the threshold
-similarity meet in some trie with the target recall; more similar texts meet more often.
+one class and are compared once. A forest has ``TREES`` prefix tries of ``DEPTH`` MinHash values; two texts
+that are close share long prefixes. Classes meet below a node of the shortest prefix at which texts of the threshold similarity
+still meet in some trie with the target recall (``level``). Nodes of other trees with the same members are left out.
 
-Classes that share a trie node are linked to the node's smallest class, never to one another, and the connected
-components of these links hold all pairs to be looked at. A component is verified by exact set intersection; one of
+Below such a node the classes are sorted by their values, which makes the trie, and matched prefixes are shortened from ``DEPTH``
+values on, one by one. At each length only what is not settled goes on: classes that are connected already are not compared
+again, and two others are compared once, at their longest common prefix. Whole signatures (a byte a value) are compared; texts of
+the threshold similarity pass with a probability of 1 - ``MISSED``. So texts that meet in a trie by chance, pages of common boilerplate for one,
+make no group. A node of more than ``NODE`` classes is dealt into pairs of blocks.
+
+The connected components of these links hold all pairs to be verified, by exact set intersection; a component of
 more than ``BLOCK`` classes is dealt into blocks, and every two blocks meet in some task, which returns counts and
 a spanning forest, no pairs. So no task holds more than two blocks, and no link is lost to a cap.
 
@@ -19,6 +24,7 @@ take part and count as links. Repeated rows are copies.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +41,14 @@ SHINGLE = 5
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
+MISSED = 1e-5
+NODE = 4096
 BLOCK = 512
 COLUMNS = 8192
 KEPT_WORDS = 500_000
 NO_ID = -(1 << 63)
 
-SIGNED = "row_id bigint, doc_id bigint, content binary, shingles int, digest binary, nodes array<bigint>"
+SIGNED = "row_id bigint, doc_id bigint, content binary, shingles int, digest binary, nodes array<bigint>, brief binary"
 
 _known: dict[bytes, int] = {}
 _rng = np.random.default_rng(20240229)
@@ -102,16 +110,102 @@ def nodes(values: np.ndarray, depth: int) -> np.ndarray:
     return total.view(np.int64)
 
 
+def brief(values: np.ndarray) -> np.ndarray:
+    """A byte of each value; values that differ agree in it once in 256 times."""
+    return (values.ravel() * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
+
+
+def least_matches(threshold: float, missed: float = MISSED) -> int:
+    """The most equal values to ask for so that texts of the threshold similarity miss them with probability ``missed`` at most."""
+    n, total = TREES * DEPTH, 0.0
+    for k in range(n + 1):
+        total += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if total > missed:
+            return k
+    return n
+
+
+def connected(briefs: np.ndarray, tree: int, depth: int, least: int) -> np.ndarray:
+    """Labels (places in ``briefs``) of the classes below a node: equal where a chain of ``least`` equal values or more connects them."""
+    prefix = briefs[:, tree * DEPTH : (tree + 1) * DEPTH]
+    order = np.lexsort(prefix.T[::-1])
+    values, prefix = briefs[order], prefix[order]
+    alike = np.cumprod(prefix[1:] == prefix[:-1], axis=1).sum(axis=1)
+    alike = np.concatenate([[-1], alike])
+    label = np.arange(len(order))
+    child = np.arange(len(order))
+    for length in range(DEPTH, depth - 1, -1):
+        # Below the shortest prefix all classes are one run: the node itself brought them together.
+        starts = np.flatnonzero(alike < length) if length > depth else np.array([0])
+        run = np.zeros(len(order), np.int64)
+        run[starts] = 1
+        run = np.cumsum(run) - 1
+        for start, stop in zip(starts, [*starts[1:], len(order)]):
+            if stop - start > 1 and (label[start:stop] != label[start]).any():
+                _settle(values, label, child, np.arange(start, stop), least)
+        child = run
+    found = np.empty(len(order), np.int64)
+    found[order] = order[label]
+    return found
+
+
+def _settle(values: np.ndarray, label: np.ndarray, child: np.ndarray, run: np.ndarray, least: int) -> None:
+    """Connect the classes of a run across its children; connected ones are not compared again."""
+    rest, waiting = run, []
+    while len(rest):
+        if not waiting:
+            same = label[rest] == label[rest[0]]
+            waiting, rest = rest[same].tolist(), rest[~same]
+            continue
+        one = waiting.pop()
+        others = rest[child[rest] != child[one]]
+        near = others[(values[others] == values[one]).sum(axis=1) >= least]
+        if len(near):
+            reached = np.isin(label[rest], label[near])
+            waiting += rest[reached].tolist()
+            label[rest[reached]] = label[one]
+            rest = rest[~reached]
+
+
+def _connect(depth: int, least: int):
+    """Spanning forests of nodes that arrive one after another."""
+
+    def links(tree: int, ids: list[int], briefs: list[bytes]) -> pa.RecordBatch:
+        number = np.array(ids)
+        label = connected(np.frombuffer(b"".join(briefs), np.uint8).reshape(len(ids), -1), tree, depth, least)
+        joined = label != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(number[label[joined]]), pa.array(number[joined])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, briefs = None, [], []
+        for batch in batches:
+            for node, first, second, tree, i, found in zip(
+                *(batch.column(c).to_pylist() for c in ("node", "first", "second", "tree", "id", "brief")), strict=True
+            ):
+                if key != (node, first, second, tree):
+                    if len(ids) > 1:
+                        yield links(key[3], ids, briefs)
+                    key, ids, briefs = (node, first, second, tree), [], []
+                ids.append(i)
+                briefs.append(found)
+        if len(ids) > 1:
+            yield links(key[3], ids, briefs)
+
+    return run
+
+
 def _signed(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            counts, digests, leads = [], [], []
+            counts, digests, leads, briefs = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 counts.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                leads.append(nodes(signature(found), depth) if len(found) else [])
+                values = signature(found)
+                leads.append(nodes(values, depth) if len(found) else [])
+                briefs.append(brief(values).tobytes() if len(found) else None)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
                 [
@@ -121,8 +215,9 @@ def _signed(depth: int):
                     pa.array(counts, pa.int32()),
                     pa.array(digests, pa.binary()),
                     pa.array(leads, pa.list_(pa.int64())),
+                    pa.array(briefs, pa.binary()),
                 ],
-                names=["row_id", "doc_id", "content", "shingles", "digest", "nodes"],
+                names=["row_id", "doc_id", "content", "shingles", "digest", "nodes", "brief"],
             )
             row += n
 
@@ -207,6 +302,30 @@ def _verify(threshold: float):
     return run
 
 
+def candidates(classes: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(id, component) of the classes (id, nodes, brief) that some trie brings together and whose signatures are alike.
+
+    Classes without such a partner are left out.
+    """
+    met = classes.select("id", F.posexplode("nodes").alias("tree", "node"))
+    members = F.bit_xor(F.xxhash64("id")).alias("members")
+    shared = met.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), members, F.first("tree").alias("tree"))
+    # Nodes of other trees with the same members would repeat the same comparisons.
+    one = F.min(F.struct("node", "tree")).alias("one")
+    shared = written(
+        shared.where("n > 1").groupBy("least", "n", "members").agg(one).select("one.*", F.ceil(F.col("n") / NODE).cast("int").alias("blocks")),
+        "nodes",
+    )
+    found = met.drop("tree").join(shared, "node").join(classes.select("id", "brief"), "id")
+    found = found.withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "node", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "tree", "id", "brief"
+    )
+    groups = dealt.repartition("node", "first", "second").sortWithinPartitions("node", "first", "second")
+    edges = groups.mapInArrow(_connect(level(threshold), least_matches(threshold)), "a bigint, b bigint")
+    return components(edges)
+
+
 def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """row_id, doc_id, content (SHA-256 of the text), class_id, copy_class, n_links and class_no of every row of ``docs`` (doc_id, text).
 
@@ -221,16 +340,11 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.min("doc_id").alias("least"),
         F.count("*").alias("copies"),
         F.first("nodes").alias("nodes"),
+        F.first("brief").alias("brief"),
     )
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    met = classes.select("id", F.explode("nodes").alias("node"))
-    hubs = written(met.groupBy("node").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"), "hubs")
-    # A class is linked to its smallest hub, and that one to its other hubs (at most one per tree).
-    seen = met.join(hubs, "node").groupBy("id").agg(F.collect_set("hub").alias("hubs"), F.min("hub").alias("a"))
-    seen = written(seen, "seen")
-    hubs_of = seen.select("a", F.explode("hubs").alias("b")).where("a <> b").distinct()
-    near = components(hubs_of.unionByName(seen.where("a <> id").select("a", F.col("id").alias("b"))))
+    near = candidates(classes, threshold)
 
     sizes = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = near.join(classes.select("id", "one", "copies"), "id").join(written(sizes, "sizes"), "component")

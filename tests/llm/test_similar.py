@@ -225,6 +225,72 @@ def test_join_of_nothing(nothing):
     assert jaccard.similar(nothing).count() == jaccard.one_of_each(nothing).count() == 0
 
 
+def alike_texts(n, kept, seed, words=100):
+    """Texts that share the first ``kept`` words of one page and go on with words of their own."""
+    page = [f"p{i}" for i in range(kept)]
+    return [(i, " ".join(page + [f"w{seed}_{i}_{k}" for k in range(words - kept)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("node", [4096, 8])
+def test_no_pair_at_the_threshold_is_lost(spark, monkeypatch, node):
+    """300 pairs from the threshold up to 0.9, the two texts of a pair equal but for their ends."""
+    monkeypatch.setattr(jaccard, "NODE", node)
+    rng = random.Random(11)
+    rows = []
+    for pair in range(300):
+        n = rng.randint(40, 300)
+        base = [f"{pair}_{k}" for k in range(n)]
+        far = rng.randint(2, 10 * n // 100)
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(base[:-far] + [f"x{pair}_{k}" for k in range(far)]))]
+    rows += [(d + 1000, t) for d, t in near_group(60)]
+    frame = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCUMENTS)
+    found = [(r.doc_id, r.class_id, r.n_links) for r in jaccard.similar(frame).collect()]
+    assert sorted(found) == sorted(brute_links(rows))
+
+
+@pytest.mark.parametrize("kept", [57, 67])
+def test_boilerplate_makes_no_group(spark, kept):
+    """1,500 texts of which every two are 0.38 or 0.49 alike meet in tries, but next to none is verified."""
+    rows = alike_texts(1500, kept, kept)
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 0.35 < jaccard_of(a, b) < 0.5
+    hashes = [jaccard.signature(jaccard.shingles(t)) for _, t in rows]
+    classes = [
+        (i, [int(x) for x in jaccard.nodes(v, jaccard.level(0.8))], bytearray(jaccard.brief(v).tobytes())) for (i, _), v in zip(rows, hashes)
+    ]
+    frame = spark.createDataFrame(classes, "id bigint, nodes array<bigint>, brief binary")
+    sizes = jaccard.candidates(frame).groupBy("component").count().collect()
+    assert max((r["count"] for r in sizes), default=0) <= 15
+
+
+def test_connected_is_brute_force():
+    rng = np.random.default_rng(4)
+    least, tree, depth = jaccard.least_matches(0.8), 3, jaccard.level(0.8)
+    centres = rng.integers(0, 256, (12, jaccard.TREES * jaccard.DEPTH), dtype=np.uint8)
+    briefs = centres[rng.integers(0, 12, 300)]
+    noise = rng.random(briefs.shape) < 0.2
+    briefs = np.where(noise, rng.integers(0, 256, briefs.shape, dtype=np.uint8), briefs)
+    briefs[:, tree * jaccard.DEPTH : tree * jaccard.DEPTH + depth] = 7  # one node
+    label = jaccard.connected(briefs, tree, depth, least)
+    alike = (briefs[:, None, :] == briefs[None, :, :]).sum(axis=2) >= least
+    expected = np.arange(300)
+    while True:
+        lower = np.where(alike, expected[None, :], 300).min(axis=1)
+        if (lower == expected).all():
+            break
+        expected = lower
+    assert len(set(label)) == len(set(expected)) == len(set(zip(label, expected)))
+    assert (label[label] == label).all()
+
+
+def test_least_matches_of_the_threshold():
+    rng = np.random.default_rng(1)
+    draws = rng.binomial(jaccard.TREES * jaccard.DEPTH, 0.8, 1_000_000)
+    least = jaccard.least_matches(0.8)
+    assert (draws < least).mean() <= 5 * jaccard.MISSED
+    assert (draws < least + 4).mean() > jaccard.MISSED
+
+
 def test_recall_sets_the_prefix():
     depth = jaccard.level(0.8)
     assert 1 - (1 - 0.8**depth) ** jaccard.TREES >= jaccard.RECALL
