@@ -11,7 +11,9 @@ from patchlight.functions.text import first_chars
 from patchlight.operators import distributions as D
 from patchlight.operators import filters
 from patchlight.operators import relabel as R
-from patchlight.plans.training_set import build_training_set, sample_check
+from patchlight.plans.training_set import build_training_set, sample_check, write_training_set
+from patchlight.session import work_dir
+from patchlight.sources import run_store
 
 TRAINING = "code, label, original_label, repo, pr_number"
 
@@ -171,6 +173,23 @@ def training_set_default_words(spark, sf):
     return build_training_set(T.examples(spark, sf))
 
 
+def _counts(spark, counts):
+    return spark.createDataFrame(sorted(counts.items()), "metric string, n bigint")
+
+
+@check(
+    "P4 E1",
+    f"""WITH {T.with_training()}
+        SELECT 'examples' AS metric, count(*) AS n FROM examples
+        UNION ALL SELECT 'rejected', count(*) FILTER (patch IS NULL) FROM examples
+        UNION ALL SELECT c.name, (SELECT count(*) FROM training WHERE label = c.name)
+                  FROM (SELECT unnest({C.CATEGORIES}) AS name) c""",
+)
+def training_set_counts(spark, sf):
+    """What the pass that writes the training set has counted."""
+    return _counts(spark, write_training_set(T.examples(spark, sf), work_dir(spark, "training"), T.TEST_PATTERNS))
+
+
 @check(
     "A6 O1",
     f"WITH {T.with_training()} SELECT label, count(*) AS n FROM training GROUP BY label ORDER BY n DESC, label",
@@ -280,6 +299,48 @@ def label_run(spark, sf):
     return run.select("key", *LABELLED.split(", "))
 
 
+def _store(spark, sf):
+    """The keys that are done, in the finished runs of a store: two of three compacted, one written twice, one left unfinished."""
+    path = work_dir(spark, "store")
+    done = T.done(spark, sf).withColumn("judge_confidence", F.lit(C.NO_CONFIDENCE))
+    part = F.pmod(F.xxhash64("key"), F.lit(3))
+    run_store.add_run(done.where(part < 2), path, "first", buckets=4)
+    run_store.add_run(done.where(part == 0), path, "first")
+    run_store.add_run(done.where(part == 1), path, "second")
+    run_store.compact(spark, path)
+    run_store.add_run(done.where(part == 2), path, "third")
+    R.with_key(T.training(spark, sf)).select("key").write.parquet(f"{path}/runs/folder=unfinished")
+    return path
+
+
+@check("J2 S7", f"WITH {T.with_done()} SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM done)")
+def open_keys_of_runs(spark, sf):
+    """What is left to label after the finished runs of a bucketed store."""
+    path = _store(spark, sf)
+    rows = R.with_key(T.training(spark, sf))
+    return R.open_keys(rows, run_store.decisions(spark, path), run_store.bucket_count(spark, path))
+
+
+RUN_COUNTS = f"""WITH {T.with_labelled()},
+        open AS (SELECT * FROM labelled WHERE code <> '' AND key NOT IN (SELECT key FROM done))"""
+
+
+@check(
+    "E3 A9 S7",
+    f"""{RUN_COUNTS}
+        SELECT 'written' AS metric, count(judge_label) AS n FROM open
+        UNION ALL SELECT 'failed', count(*) FILTER (judge_label = 'PARSE_FAILED') FROM open
+        UNION ALL SELECT 'agreed', count(*) FILTER (judge_label = label) FROM open
+        UNION ALL SELECT 'pending', count(*) FILTER (judge_label IS NULL) FROM open""",
+)
+def label_run_counts(spark, sf):
+    """What the pass that writes a run has counted; the run is written twice and counts once."""
+    store, path = _store(spark, sf), work_dir(spark, "labelled")
+    for _ in range(2):
+        counts = R.write_label_run(T.training(spark, sf), T.replies(spark, sf), path, store, "fourth")
+    return _counts(spark, counts)
+
+
 @check(
     "A8 A9 E4",
     f"""WITH {T.with_labelled()}, valid AS (SELECT * FROM labelled WHERE judge_label IS DISTINCT FROM 'PARSE_FAILED')

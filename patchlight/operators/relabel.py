@@ -6,15 +6,18 @@ equal rows share one prompt and one label.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from patchlight import constants as C
+from patchlight import schemas
 from patchlight.functions.labels import judge_confidence, judge_label
 from patchlight.functions.prompts import judge_prompt
 from patchlight.functions.text import content_key, first_chars
 from patchlight.operators.filters import with_code
-from patchlight.sources.tables import materialise
+from patchlight.sources import run_store
+from patchlight.sources.tables import materialise, write_labelled_run
 
 KEY_COLUMNS = ["repo", "pr_number", "original_label", "code"]
 
@@ -98,20 +101,58 @@ def read_replies(rows: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
-def label_run(training: DataFrame, done: DataFrame, replies: DataFrame) -> DataFrame:
+def open_keys(rows: DataFrame, done: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The distinct keys of ``rows`` without a label; ``buckets`` is the number of buckets of ``done`` where it is a bucketed table.
+
+    Copies collapse before the keys move. With ``buckets`` the keys are dealt as the table is, which then stays where it lies; the
+    join keeps the other keys by their missing label, because the optimizer moves an anti join to before the dealing.
+    """
+    keys = rows.select("key").distinct()
+    if not buckets:
+        return not_done(keys, done)
+    labelled = done.where(F.col("judge_label").isNotNull()).select("key", "judge_label")
+    return keys.repartition(buckets, "key").join(labelled, "key", "left").where(F.col("judge_label").isNull()).select("key")
+
+
+def label_run(training: DataFrame, done: DataFrame, replies: DataFrame, buckets: int | None = None) -> DataFrame:
     """The rows one run adds to the labelled table; none if nothing is pending.
 
     The labels are decided per distinct key, on short rows, and written; the join that
     brings them to the texts then starts from two tables (see ``attach_replies``).
     """
     rows = with_key(with_code(training))
-    open_keys = not_done(rows.select("key").distinct(), done)
-    decided = read_replies(open_keys, latest_replies(replies)).where(
+    decided = read_replies(open_keys(rows, done, buckets), latest_replies(replies)).where(
         F.col("judge_label").isNotNull()
     )
     return rows.join(materialise(decided, "labels"), "key")
 
 
+def write_label_run(training: DataFrame, replies: DataFrame, path: str, store: str, run_id: str) -> dict[str, int]:
+    """Write the rows that one run adds, then its decisions; the counts come from the pass that writes the rows.
+
+    ``path`` is the labelled table and ``store`` a store of finished runs (``run_store``), which says what is done. The answer counts the
+    rows ``written``, the ``failed`` and ``agreed`` among them, and those still ``pending``. A run may be done again under the
+    same ``run_id``, after a failure for one, and replaces what it had written.
+    """
+    spark = training.sparkSession
+    earlier = run_store.decisions(spark, store, apart_from=run_id)
+    rows = with_key(with_code(training))
+    found = read_replies(open_keys(rows, earlier, run_store.bucket_count(spark, store)), latest_replies(replies))
+    decided = materialise(found, "labels")
+    label, counts = F.col("judge_label"), Observation()
+    observed = rows.join(decided, "key").observe(
+        counts,
+        F.count_if(label.isNotNull()).alias("written"),
+        F.count_if(label == C.PARSE_FAILED).alias("failed"),
+        F.count_if(label == F.col("label")).alias("agreed"),
+        F.count_if(label.isNull()).alias("pending"),
+    )
+    columns = [f.name for f in StructType.fromDDL(schemas.LABELLED_DATA)]
+    write_labelled_run(observed.where(label.isNotNull()).select(columns), path, run_id)
+    run_store.add_run(decided, store, run_id)
+    return counts.get
+
+
 def audit(rows: DataFrame) -> DataFrame:
     """``metric, key, value`` over a labelled table: counts, distributions, agreement.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patchlight import constants as C
@@ -10,6 +10,7 @@ from patchlight.functions.display import code_preview
 from patchlight.functions.labels import weak_label
 from patchlight.functions.text import first_chars
 from patchlight.operators.distributions import first_per_category
+from patchlight.sources.tables import write_table
 
 
 def with_patch_rows(examples: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -41,6 +42,24 @@ def build_training_set(
     )
 
 
+def write_training_set(
+    examples: DataFrame, path: str, patterns: dict[str, list[str]] = C.WEAK_LABEL_PATTERNS, format: str = "parquet"
+) -> dict[str, int]:
+    """Write the training set; the counts come from the one pass that reads the examples and writes it.
+
+    ``examples`` and ``rejected`` count the input and its rows without a patch, and each category its written rows.
+    """
+    read, kept = Observation(), Observation()
+    observed = examples.observe(
+        read, F.count(F.lit(1)).alias("examples"), F.count_if(F.col("patch").isNull()).alias("rejected")
+    )
+    training = build_training_set(observed, patterns).observe(
+        kept, *[F.count_if(F.col("label") == name).alias(name) for name in C.CATEGORIES]
+    )
+    write_table(training, path, format)
+    return read.get | kept.get
+
+
 def sample_check(training: DataFrame, order: str) -> DataFrame:
     """The first row of each category, with the class size and the start of its code."""
     samples = first_per_category(training, "label", order, [order, "repo", "code"])

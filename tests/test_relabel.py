@@ -1,9 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
 from patchlight import constants as C
 from patchlight import schemas
 from patchlight.operators import filters, relabel as R
-from patchlight.plans.training_set import build_training_set, sample_check, with_patch_rows
+from patchlight.plans.training_set import build_training_set, sample_check, with_patch_rows, write_training_set
+from patchlight.sources import run_store
 from patchlight.sources.tables import read_labelled, write_labelled_run
 
 
@@ -202,3 +204,80 @@ def test_a_hot_key_is_split_before_the_labels_are_removed(spark):
     finally:
         for name in settings:
             spark.conf.unset(name)
+
+
+def decided(spark, **labels):
+    return spark.createDataFrame([(k, v, "high") for k, v in labels.items()], run_store.DECISIONS)
+
+
+def kept(spark, path):
+    return {r.key: r.judge_label for r in run_store.decisions(spark, path).collect()}
+
+
+def test_a_store_shows_finished_runs_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "it's a store")
+    assert kept(spark, path) == {} and run_store.finished_runs(spark, path) == []
+    run_store.add_run(decided(spark, a="bug", b=None), path, "1", buckets=3)
+    before = run_store.decisions(spark, path)
+    run_store.add_run(decided(spark, a="ok", c="ok"), path, "2")
+    decided(spark, z="bug").write.parquet(f"{path}/runs/folder=99-unfinished")
+    assert sorted(r.judge_label for r in run_store.decisions(spark, path).collect()) == ["bug", "ok", "ok"]
+    run_store.add_run(decided(spark, a="style"), path, "1")
+    assert [r.key for r in before.collect()] == ["a"]  # a reader goes on with what it has seen
+    run_store.compact(spark, path)
+    assert len(run_store.finished_runs(spark, path)) == 1 and run_store.bucket_count(spark, path) == 3
+    assert kept(spark, path) == {"a": "style", "c": "ok"}  # of the run written last
+    run_store.compact(spark, path)
+    with pytest.raises(ValueError, match="compacted"):
+        run_store.decisions(spark, path, apart_from="2")
+    # A run that fails while it is written is not seen.
+    monkeypatch.setattr(run_store, "FINISHED", "no such type")
+    with pytest.raises(Exception, match="(?i)pars|type"):
+        run_store._write(decided(spark, q="bug"), path, "3", [], 3, [])
+    monkeypatch.undo()
+    assert kept(spark, path) == {"a": "style", "c": "ok"}
+
+
+def test_the_store_is_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "store")
+    for run in range(3):
+        run_store.add_run(decided(spark, **{f"k{run}{i}": "bug" for i in range(50)}), path, str(run), buckets=6)
+    keys = spark.range(400).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = R.open_keys(keys, run_store.decisions(spark, path), run_store.bucket_count(spark, path))
+        plan = executed(left)
+        assert left.count() == 300  # k10 to k19, k110 to k149 and the same of 2 are done
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan and "SelectedBucketsCount: 6 out of 6" in plan
+    assert plan.count("Exchange") == 2  # the distinct keys, and their dealing into buckets
+    store = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert store.index("FileScan") > store.index("HashAggregate") and store[store.index("Range") :].count("Exchange") == 0
+
+
+def test_counts_come_from_the_writing_pass(spark, tmp_path):
+    keys = key_of(spark, ROWS)
+    path, store = str(tmp_path / "labelled"), str(tmp_path / "store")
+    data = training(spark, ROWS + ROWS[:1] + [("", "bug", "x", "r", 9)])
+    first = replies(spark, [(keys[0], "LABEL: bug", None, 1), (keys[1], "??", None, 1), (keys[2], None, "timeout", 1)])
+    for _ in range(2):
+        counts = R.write_label_run(data, first, path, store, "1")
+        assert counts == {"written": 3, "failed": 1, "agreed": 2, "pending": 4}
+    assert read_labelled(spark, path).count() == 3
+    rest = replies(spark, [(k, "LABEL: ok", None, 1) for k in keys])
+    assert R.write_label_run(data, rest, path, store, "2") == {"written": 4, "failed": 0, "agreed": 0, "pending": 0}
+    assert R.write_label_run(data, rest, path, store, "3") == {"written": 0, "failed": 0, "agreed": 0, "pending": 0}
+    audit = {r.metric: r.value for r in R.audit(read_labelled(spark, path)).where("key = ''").collect()}
+    assert (audit["rows"], audit["failed"], audit["done"]) == (7, 1, 7)
+
+
+def test_training_set_is_counted_while_it_is_written(spark, tmp_path):
+    examples = spark.createDataFrame(
+        [("slow", "REQUEST_CHANGES", "p", "r", 1), ("x", "APPROVE", "q", "r", 2), ("x", "APPROVE", None, "r", 3)],
+        schemas.REVIEW_EXAMPLES,
+    )
+    counts = write_training_set(examples, str(tmp_path / "set"))
+    assert counts == {"examples": 3, "rejected": 1, "bug": 0, "style": 0, "performance": 1, "security": 0, "ok": 1}
+    assert spark.read.parquet(str(tmp_path / "set")).count() == 2
+    assert set(write_training_set(examples.limit(0), str(tmp_path / "none")).values()) == {0}
