@@ -7,8 +7,8 @@ Terms that no example holds have a part in the length only.
 
 An inverted index holds the weights by example of each term that is rare or comes with the label. The others, the heads,
 lie with the examples. A query adds up its rare terms over all examples in double precision, and its heads as a product of matrices in
-single precision; the examples that come near the k best sums are added up again in double precision, so the k
-nearest are exact.
+single precision; the k-th of the sums' block maxima bounds the k best from below, and the examples above it are added up again in
+double precision, so the k nearest are exact. Words met lately keep their terms' numbers, and texts met lately (by a 128-bit hash) their answer.
 
 Votes are weighted by cosine; a monotone curve fitted to the leave-one-out votes of every so many-th example (at least
 ``CALIBRATION`` of them, in the order of their ids) turns them into scores. A text without any term of the examples gets the share of the label among all examples.
@@ -25,8 +25,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ from patchlight.llm.common import pack, text_of, unpack, written
 
 EXAMPLES = 20_000
 BLOCK = 64  # queries of one product of matrices
+EXAMPLES_A_BLOCK = 64
+KEPT_WORDS = 150_000
+KEPT_ANSWERS = 4096
 HEADS = 0.1  # share of the examples from which on a term is a head
 CLOSE = 1e-5  # more than single precision may lose
 NEIGHBOURS = 15
@@ -53,15 +57,18 @@ _NEAR = StructType().add("example", "long").add("cosine", "double").add("label",
 EVIDENCE = StructType().add("score", "double").add("evidence", ArrayType(_NEAR))
 
 
+def terms_in(word: str) -> list[str]:
+    """A long run of letters counts piece by piece, and beginnings of words carry a mark that no word holds."""
+    pieces = [word[at : at + LONGEST_TERM] for at in range(0, len(word), LONGEST_TERM)]
+    return pieces + [f"^{word[:size]}" for size in STEMS if len(word) > size]
+
+
 def terms_of(text: str) -> Counter:
-    """Term frequencies; a long run of letters counts piece by piece, and beginnings of words carry a mark that no word holds."""
+    """Term frequencies."""
     counts: Counter = Counter()
     for word, n in Counter(WORD.findall(text.lower())).items():
-        for at in range(0, len(word), LONGEST_TERM):
-            counts[word[at : at + LONGEST_TERM]] += n
-        for size in STEMS:
-            if len(word) > size:
-                counts[f"^{word[:size]}"] += n
+        for term in terms_in(word):
+            counts[term] += n
     return counts
 
 
@@ -90,13 +97,15 @@ class Index:
     row: np.ndarray  # examples, ascending by term
     count: np.ndarray
     curve: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    known: dict[str, bytes] = field(default_factory=dict)  # codes of the terms of words met lately
+    scored: dict[bytes, tuple] = field(default_factory=dict)  # answers for texts met lately
 
     def __getstate__(self) -> dict:
         """As it is sent: postings compressed, nothing that can be computed again."""
         planes = [np.diff(self.row, prepend=self.row.dtype.type(0)), self.count]
         packed = [(p.dtype.str, len(p), pa.compress(p.view(np.uint8).reshape(len(p), p.itemsize).T.tobytes(), "zstd", asbytes=True)) for p in planes]
         kept = {k: v for k, v in self.__dict__.items() if k not in ("row", "count", "frequency", "norms", "dense")}
-        return kept | {"packed": packed}
+        return kept | {"packed": packed, "known": {}, "scored": {}}
 
     def __setstate__(self, state: dict) -> None:
         planes = []
@@ -153,6 +162,34 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         return numbers[found], weights[found] / np.linalg.norm(weights)
 
+    def learn(self, words: list[str]) -> None:
+        """Keep a number for each term of the words: the index's own, or one below 0 that tells terms apart which no example holds."""
+        terms = list(map(terms_in, words))
+        flat = list(chain.from_iterable(terms))
+        codes = numbers_of(flat, self.keys, self.place)
+        for k in np.flatnonzero(codes < 0).tolist():
+            codes[k] = (xxhash.xxh64_intdigest(flat[k].encode(), 42) >> 1) - (1 << 63)
+        packed, at = codes.tobytes(), 0
+        for word, held in zip(words, terms, strict=True):
+            self.known[word] = packed[at : at + 8 * len(held)]
+            at += 8 * len(held)
+
+    def vector_of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of the terms of a text; the codes of the words met lately are kept for the texts that follow."""
+        counts = Counter(WORD.findall(text.lower()))
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        self.learn([word for word in counts if word not in self.known])
+        found = list(map(self.known.__getitem__, counts))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 8
+        terms, at = np.unique(np.frombuffer(b"".join(found), np.int64), return_inverse=True)
+        times = np.bincount(at, np.repeat(np.fromiter(counts.values(), np.float64, len(found)), sizes), len(terms))
+        first = int(np.searchsorted(terms, 0))
+        weights = 1 + np.log(times)
+        weights[:first] *= self.unknown
+        weights[first:] *= self.scale[terms[first:]]
+        return terms[first:], weights[first:] / (np.linalg.norm(weights) or 1.0)
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, ties by their number; ``leave`` is passed over."""
         return next(self.all_nearest([(terms, weights)], k, [leave]))
@@ -173,16 +210,18 @@ class Index:
         behind = terms >= self.heads
         rare = terms[behind]
         starts, ends = self.starts[rare], self.starts[rare + 1]
-        spans = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        spans = list(map(slice, starts.tolist(), ends.tolist()))
         sums = np.zeros(n)
         if spans:
             spread = np.repeat(weights[behind] * self.scale[rare], ends - starts)
-            spread *= np.concatenate([self.frequency[at] for at in spans])
-            sums = np.bincount(np.concatenate([self.row[at] for at in spans]), spread, n) / self.norms
+            spread *= np.concatenate(list(map(self.frequency.__getitem__, spans)))
+            sums = np.bincount(np.concatenate(list(map(self.row.__getitem__, spans))), spread, n) / self.norms
         about = sums + by_heads
         if leave >= 0:
             about[leave] = -1.0
-        reach = np.partition(about, n - k)[n - k] - CLOSE if n > k else -CLOSE
+        # The k-th of the block maxima is not above the k-th of all: no example of the k nearest lies below it.
+        tops = np.maximum.reduceat(about, np.arange(0, n, EXAMPLES_A_BLOCK)) if n > k * EXAMPLES_A_BLOCK else about
+        reach = np.partition(tops, len(tops) - k)[len(tops) - k] - CLOSE if n > k else -CLOSE
         some = np.flatnonzero(about >= max(reach, -CLOSE))
         exact = np.round(sums[some] + self.dense[some].astype(np.float64) @ query, 9)
         some, exact = some[exact > 0], exact[exact > 0]
@@ -194,11 +233,17 @@ class Index:
         return (sum(c * self.labels[i] for c, i in near) + 0.5 * self.share) / (total + 0.5)
 
     def scores(self, texts: list[str]) -> Iterator[tuple[float, list[tuple[float, int]]]]:
+        """Score and nearest examples of each text; copies are searched once while the answer is kept."""
         for first in range(0, len(texts), BLOCK):
-            vectors = [self.vector(terms_of(text)) for text in texts[first : first + BLOCK]]
+            names = [xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) for text in texts[first : first + BLOCK]]
+            if len(self.scored) > KEPT_ANSWERS:
+                self.scored.clear()
+            new = {name: text for name, text in zip(names, texts[first : first + BLOCK], strict=True) if name not in self.scored}
+            vectors = [self.vector_of(text) for text in new.values()]
             found = self.all_nearest(vectors, NEIGHBOURS, [-1] * len(vectors)) if len(self.ids) else ([] for _ in vectors)
-            for near in found:
-                yield (float(np.interp(self.vote(near), *self.curve)), near) if near else (self.share, [])
+            for name, near in zip(new, found, strict=True):
+                self.scored[name] = (float(np.interp(self.vote(near), *self.curve)), near) if near else (self.share, [])
+            yield from [self.scored[name] for name in names]
 
 
 def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -204,6 +204,20 @@ def test_all_of_a_long_run_of_letters_counts():
     assert sorted(t for t in toxicity.terms_of(run) if t[0] != "^") == sorted([run[:40], run[40:80], run[80:120], run[120:]])
 
 
+def test_vector_of_a_text_is_that_of_its_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 7} gammas{i % 5} {'long' * 30}", "en", "s", 0) for i in range(60)], DOCUMENTS)
+    index = toxicity.fit(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS))
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 3)
+    monkeypatch.setattr(toxicity, "KEPT_ANSWERS", 2)
+    texts = ["", "strange words only", "alpha alpha beta1 strange strange " + "long" * 30, "Gammas3 gammas4 gammaxx", "longlonglong" * 12]
+    for text in texts:
+        terms, weights = index.vector_of(text)
+        expected = dict(zip(*(x.tolist() for x in index.vector(toxicity.terms_of(text))), strict=True))
+        assert dict(zip(terms.tolist(), weights.tolist(), strict=True)) == pytest.approx(expected)
+    once = [next(iter(index.scores([text]))) for text in texts]
+    assert list(index.scores(texts * 30)) == once * 30
+
+
 def test_toxicity_searches_whole_texts(spark):
     """Clean examples and clean words are in the index; a toxic text without a telling word meets its like."""
     rows, marks = toxic_rows()
