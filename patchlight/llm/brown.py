@@ -2,18 +2,22 @@
 
 Tokens are the words between ASCII white space, with A-Z in lower case, and one end per text. The most frequent
 words (``HEAD``) belong to classes that exchange clustering finds: all words start in some class, and
-in each round every word of one half moves to the class under which its neighbours on both sides are
-likeliest, given the classes of all others. The counts of a word's neighbours lie with the word, so a
-round is one pass over ``HEAD`` rows, to which only the class of each word and a table of class pairs are sent. All other
-words, known or not, belong to classes by their spelling (length, last sign, kind of letters), and the end to its own.
+in each step every word of one part moves to the class under which its neighbours on both sides are
+likeliest, given the classes of all others. The pairs of classes are counted anew after each step; a step that does not raise their
+likelihood is taken back and the parts are halved, and when two steps together raise it by less than ``RISE`` a pair of words, it ends.
+The counts of a word's neighbours lie with the word, so a step is two passes over ``HEAD`` rows, to which only the class of each word and a
+table of class pairs are sent. Words behind the head that occur ``SEEN`` times or more then join the class under which their own
+neighbours are likeliest, in one pass over the texts. All other words, known or not, belong to classes by their spelling (length, last
+sign, kind of letters), and the end to its own.
 
 The probability of a token is that of its class after the two classes before it (Witten-Bell interpolation of
 trigrams, bigrams and unigrams of classes) times that of the word in its class. In a class by spelling, absolute
 discounting sets mass aside for one unknown word. So the probabilities of all events after any two classes add up to 1.
 
 Counts of all words are a table. The ``KEPT`` most frequent words, of at most ``LONGEST`` bytes, are sent
-to the tasks; the others are joined by word. Null texts are empty: one end. A row without an id is neither
-learned from nor held out. Repeated rows are texts of their own. Without training rows every token is unknown.
+to the tasks; the others are joined by word. Ties at both cuts go by the word, and ties of classes to the first. Null texts are empty: one
+end. A row without an id is neither learned from nor held out. Repeated rows are texts of their own. Without training rows every token is
+unknown; an empty table gives no rows. Other columns are not read. A text is split whole, in one task: about 60 bytes a word.
 """
 
 from __future__ import annotations
@@ -41,14 +45,16 @@ CLASSES = 45
 SHAPES = 18
 ALL = CLASSES + SHAPES + 1
 LAST = ALL - 1  # the class of the end
-ROUNDS = 8
+STEPS = 40  # of the exchange, at most
+RISE = 0.002
+SEEN = 2
 DISCOUNT = 0.75
 END = b"\n"  # no word holds a line end
 FLUSH = 400_000
 CACHE = 200_000
 HELD = 2_000_000
 GROUPS = 64
-PLACES, PLACE_BYTES = 4096, 16 << 20
+PLACES, PLACE_BYTES = 4096, 10 << 20
 BLOCK = "part int, block binary"
 PRIOR = 0.1
 
@@ -158,14 +164,26 @@ def symbols_of(known: Words) -> Symbols:
     return _last[1]
 
 
-def _classes(known: Words, assigned: np.ndarray) -> np.ndarray:
-    """Class by symbol: exchanged for the head, by spelling for the rest."""
-    out = np.empty(len(known.words) + SHAPES, np.int64)
-    for k, word in enumerate(known.words):
-        out[k] = assigned[k] if k < len(assigned) else CLASSES + shape(word)
-    out[[k for k, word in enumerate(known.words) if word == END]] = LAST
-    out[len(known.words) :] = CLASSES + np.arange(SHAPES)
-    return out
+def number(texts: DataFrame, known: Words) -> DataFrame:
+    """ids of all ``texts`` (text): the symbols of its tokens, as 32-bit integers."""
+    sent = texts.sparkSession.sparkContext.broadcast(pickle.dumps(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = symbols_of(pickle.loads(sent.value))
+        for batch in batches:
+            ids = [np.array(symbols.of(tokens(text)), "<i4").tobytes() for text in batch.column("text").to_pylist()]
+            yield _batch("ids", pa.array(ids, pa.binary()))
+
+    return texts.mapInArrow(run, "ids binary")
+
+
+def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(block.as_py(), "<i4") for block in batch.column("ids"))
+
+
+def spellings(known: Words) -> np.ndarray:
+    """Class by symbol, by spelling alone."""
+    return np.array([LAST if word == END else CLASSES + shape(word) for word in known.words] + list(range(CLASSES, LAST)), np.int64)
 
 
 def _grouped(parts: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
@@ -205,29 +223,24 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
-def neighbours(texts: DataFrame, known: Words, head: int) -> DataFrame:
+def neighbours(numbered: DataFrame, spelled: np.ndarray, head: int) -> DataFrame:
     """For each head word the numbers of its neighbours and their counts: (word, others, counts).
 
     A neighbour is 2 * symbol, and 1 more on the right side; words behind the head are told apart by spelling
-    only, so a row has at most 2 * (head + SHAPES + 1) of them.
+    only, so a row has at most 2 * (head + SHAPES + 1) of them. ``numbered`` is the table of ``number``.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(pickle.dumps(known))
     width = head + SHAPES + 1
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    narrow = np.where(np.arange(len(spelled)) < head, np.arange(len(spelled)), head + spelled - CLASSES)
+    narrow[spelled == LAST] = head + SHAPES
+    sent = numbered.sparkSession.sparkContext.broadcast(narrow)
+    size = numbered.agg(F.sum(F.octet_length("ids").cast("long"))).first()[0] or 0
     places = min(PLACES, max(GROUPS, math.ceil(size / PLACE_BYTES)))
 
     def spread(keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % places
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = pickle.loads(sent.value)
-        symbols = symbols_of(words)
-        narrow = np.arange(len(words.words) + SHAPES)
-        for k in range(head, len(words.words)):
-            narrow[k] = head + shape(words.words[k])
-        narrow[len(words.words) :] = head + np.arange(SHAPES)
-        narrow[[k for k, word in enumerate(words.words) if word == END]] = head + SHAPES
-        end = narrow[symbols.of([END])[0]]
+        narrow, end = sent.value, head + SHAPES
         held: list[np.ndarray] = []
         size = 0
 
@@ -238,8 +251,8 @@ def neighbours(texts: DataFrame, known: Words, head: int) -> DataFrame:
             return _grouped(spread(keys[some]), keys[some], n[some])
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = narrow[symbols.of(tokens(text))]
+            for ids in _ids(batch):
+                ids = narrow[ids]
                 held.append(np.append(end, ids[:-1]) * width + ids)
                 size += len(ids)
                 if size >= HELD:
@@ -274,85 +287,162 @@ def neighbours(texts: DataFrame, known: Words, head: int) -> DataFrame:
 
     # Counts meet by pair, in as many places as the input asks for; there are at most width ** 2 pairs, so what then
     # goes on to the words is bounded.
-    rows = texts.mapInArrow(pairs, BLOCK).repartition(places, "part").mapInArrow(add_up, BLOCK)
+    rows = numbered.mapInArrow(pairs, BLOCK).repartition(places, "part").mapInArrow(add_up, BLOCK)
     return rows.repartition(GROUPS, "part").mapInArrow(gather, "word int, others binary, counts binary")
 
 
-def exchange(table: DataFrame, head: int, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each head word. ``table`` is that of ``neighbours``, written."""
-    spark = table.sparkSession
+def _by_class(batch: pa.RecordBatch, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a batch of ``neighbours``, and the counts of the classes to the left and to the right of each."""
+    words = batch.column("word").to_numpy(zero_copy_only=False).astype(np.int64)
+    left, right = np.zeros((len(words), ALL)), np.zeros((len(words), ALL))
+    for k, (others, n) in enumerate(zip(batch.column("others"), batch.column("counts"), strict=True)):
+        other, count = np.frombuffer(others.as_py(), "<i4"), np.frombuffer(n.as_py(), "<i8")
+        side = other & 1 == 1
+        right[k] = np.bincount(classes[other[side] >> 1], count[side], ALL)
+        left[k] = np.bincount(classes[other[~side] >> 1], count[~side], ALL)
+    return words, left, right
+
+
+def likeliest(left: np.ndarray, right: np.ndarray, pairs: np.ndarray, current: np.ndarray) -> np.ndarray:
+    """The class under which the neighbours of each word are likeliest; ``current``: its class by now, which counts it already, or -1."""
+    follows = np.log((pairs + PRIOR) / (pairs.sum(1, keepdims=True) + PRIOR * ALL))
+    total = right.sum(1)
+    grown = np.maximum(pairs.sum(1), 1.0) + np.where(np.arange(ALL) == current[:, None], 0, total[:, None])
+    gain = right @ follows.T + left @ follows - total[:, None] * np.log(np.maximum(grown, 1.0))
+    return np.argmax(gain[:, :CLASSES], axis=1)
+
+
+def class_pairs(table: DataFrame, assigned: np.ndarray) -> np.ndarray:
+    """Counts of two classes in a row of which one is of a head word."""
+    sent = table.sparkSession.sparkContext.broadcast(np.concatenate([assigned, CLASSES + np.arange(SHAPES), [LAST]]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, seen = sent.value, np.zeros((ALL, ALL))
+        for batch in batches:
+            words, left, right = _by_class(batch, classes)
+            # A pair of two head words is seen from its left word, any other from its head word.
+            np.add.at(seen, classes[words], right)
+            for k, c in enumerate(classes[words]):
+                seen[CLASSES:, c] += left[k, CLASSES:]
+        yield _batch("seen", pa.array([seen.tobytes()], pa.binary()))
+
+    # A table of class pairs per task, of which there are 64 at most.
+    found = table.coalesce(64).mapInArrow(run, "seen binary").collect()
+    return sum((np.frombuffer(r.seen).reshape(ALL, ALL) for r in found), np.zeros((ALL, ALL)))
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the mean log likelihood of a pair that depends on the classes."""
+
+    def part(n: np.ndarray) -> float:
+        return float((n * np.log(np.maximum(n, 1.0))).sum())
+
+    return (part(pairs) - part(pairs.sum(0)) - part(pairs.sum(1))) / max(pairs.sum(), 1.0)
+
+
+def moves(table: DataFrame, assigned: np.ndarray, pairs: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Classes after every ``parts``-th word, from ``part`` on, has moved."""
+    classes = np.concatenate([assigned, CLASSES + np.arange(SHAPES), [LAST]])
+    sent = table.sparkSession.sparkContext.broadcast((classes, pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, pairs = sent.value
+        for batch in batches:
+            words, left, right = _by_class(batch, classes)
+            best = likeliest(left, right, pairs, classes[words])
+            yield _batch("word class", pa.array(words, pa.int32()), pa.array(best, pa.int32()))
+
+    out = assigned.copy()
+    asked = table.where(F.col("word") % parts == part)
+    for r in asked.coalesce(64).mapInArrow(run, "word int, class int").collect():  # a row per head word
+        out[r.word] = r["class"]
+    return out
+
+
+def exchange(table: DataFrame, head: int, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each head word, and the pairs of classes. ``table`` is that of ``neighbours``, written."""
     assigned = np.arange(head) % CLASSES
-    pairs: np.ndarray | None = None
-    for step in range(rounds + 1):
-        full = np.concatenate([assigned, CLASSES + np.arange(SHAPES), [LAST]])
-        state = spark.sparkContext.broadcast(pickle.dumps((full, pairs, step)))
-
-        def move(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
-            classes, pairs, step = pickle.loads(state.value)
-            seen = np.zeros((ALL, ALL))
-            for batch in batches:
-                words = batch.column("word").to_numpy(zero_copy_only=False).astype(np.int64)
-                left, right = np.zeros((len(words), ALL)), np.zeros((len(words), ALL))
-                for k, (others, n) in enumerate(zip(batch.column("others"), batch.column("counts"), strict=True)):
-                    other = np.frombuffer(others.as_py(), "<i4")
-                    count = np.frombuffer(n.as_py(), "<i8")
-                    side = other & 1 == 1
-                    right[k] = np.bincount(classes[other[side] >> 1], count[side], ALL)
-                    left[k] = np.bincount(classes[other[~side] >> 1], count[~side], ALL)
-                current = classes[words]
-                # A pair of two head words is seen from its left word, any other from its head word.
-                np.add.at(seen, current, right)
-                fixed = np.arange(ALL) >= CLASSES
-                for k, c in enumerate(current):
-                    seen[fixed, c] += left[k][fixed]
-                best = current
-                if pairs is not None:
-                    follows = np.log((pairs + PRIOR) / (pairs.sum(1, keepdims=True) + PRIOR * ALL))
-                    size = np.maximum(pairs.sum(1), 1.0)
-                    total = right.sum(1)
-                    gain = right @ follows.T + left @ follows
-                    grown = size[None, :] + np.where(np.arange(ALL)[None, :] == current[:, None], 0, total[:, None])
-                    gain -= total[:, None] * np.log(grown)
-                    moved = np.argmax(gain[:, :CLASSES], axis=1)
-                    best = np.where(words % 2 == step % 2, moved, current)
-                yield _batch("word class", pa.array(words, pa.int32()), pa.array(best, pa.int32())).append_column(
-                    "seen", pa.nulls(len(words), pa.binary())
-                )
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([seen.tobytes()], pa.binary())],
-                names=["word", "class", "seen"],
-            )
+    pairs = class_pairs(table, assigned)
+    value, parts, before = likelihood(pairs), 2, math.inf
+    for step in range(steps):
+        moved = moves(table, assigned, pairs, step % parts, parts)
+        found = class_pairs(table, moved)
+        rise = likelihood(found) - value
+        if rise < 0:
+            parts, rise = 2 * parts, 0.0
+        else:
+            assigned, pairs, value = moved, found, value + rise
+        if before + rise < RISE:
+            break
+        before = rise
+    return assigned, pairs
+
+
+def join_classes(numbered: DataFrame, classes: np.ndarray, joining: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """``classes`` by symbol, with the likeliest class for the symbols marked in ``joining``.
+
+    A word sends at most 2 * ALL counts from a task, so no word is hot.
+    """
+    sent = numbered.sparkSession.sparkContext.broadcast((classes, joining, pairs))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, joining, _ = sent.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _grouped(keys // (2 * ALL) % GROUPS, keys, n)
 
-        moved = table.coalesce(64).mapInArrow(move, "word int, class int, seen binary")
-        # A row per head word, and per task (64) one table of class pairs.
-        found = moved.collect()
-        pairs = sum((np.frombuffer(r.seen).reshape(ALL, ALL) for r in found if r.word is None), np.zeros((ALL, ALL)))
-        if step:
-            for r in found:
-                if r.word is not None:
-                    assigned[r.word] = r["class"]
-    return assigned
+        for batch in batches:
+            for ids in _ids(batch):
+                at = np.flatnonzero(joining[ids])  # never the end, so there is always a next
+                if len(at):
+                    of, word = classes[ids], ids[at].astype(np.int64) * (2 * ALL)
+                    held += [word + np.append(LAST, of[:-1])[at], word + ALL + of[at + 1]]
+                    size += 2 * len(at)
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = _merged(batches)
+        words, starts = np.unique(keys // (2 * ALL), return_index=True)
+        ends = np.append(starts[1:], len(keys))
+        for a in range(0, len(words), 4096):
+            part = slice(starts[a], ends[min(a + 4096, len(words)) - 1])
+            some = words[a : a + 4096]
+            sides = np.zeros((len(some), 2 * ALL))
+            sides[np.searchsorted(some, keys[part] // (2 * ALL)), keys[part] % (2 * ALL)] = counts[part]
+            best = likeliest(sides[:, :ALL], sides[:, ALL:], sent.value[2], np.full(len(some), -1))
+            yield _batch("word class", pa.array(some, pa.int32()), pa.array(best, pa.int32()))
+
+    met = numbered.mapInArrow(count, BLOCK).repartition(GROUPS, "part").mapInArrow(choose, "word int, class int")
+    found, out = met.toArrow(), classes.copy()  # a row per word that was sent
+    out[found["word"].to_numpy()] = found["class"].to_numpy()
+    return out
 
 
-def class_trigrams(texts: DataFrame, known: Words, classes: np.ndarray) -> np.ndarray:
+def class_trigrams(numbered: DataFrame, classes: np.ndarray) -> np.ndarray:
     """Counts of three classes in a row; two ends come before each text."""
-    sent = texts.sparkSession.sparkContext.broadcast(pickle.dumps((known, classes)))
+    sent = numbered.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = pickle.loads(sent.value)
-        symbols = symbols_of(words)
         counts = np.zeros(ALL**3, np.int64)
         for batch in batches:
             keys = []
-            for text in batch.column("text").to_pylist():
-                c = np.concatenate([[LAST, LAST], classes[symbols.of(tokens(text))]])
+            for ids in _ids(batch):
+                c = np.concatenate([[LAST, LAST], sent.value[ids]])
                 keys.append((c[:-2] * ALL + c[1:-1]) * ALL + c[2:])
             if keys:
                 counts += np.bincount(np.concatenate(keys), minlength=ALL**3)
         at = np.flatnonzero(counts)
         yield _batch("at n", pa.array(at, pa.int32()), pa.array(counts[at], pa.int64()))
 
-    rows = texts.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = numbered.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(ALL**3)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()  # at most ALL ** 3 rows
     return out.reshape(ALL, ALL, ALL)
@@ -405,8 +495,15 @@ def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, kept: int = KEPT)
     top = short.orderBy(F.desc("c"), "word").limit(kept).toArrow()  # bounded: ``kept`` words of ``LONGEST`` bytes
     known = Words(uuid.uuid4().hex, [w.encode() for w in top["word"].to_pylist()], top["c"].to_numpy().astype(np.int64))
     head = min(head, len(known.words))
-    table = written(neighbours(texts, known, head), "neighbours")
-    classes = _classes(known, exchange(table, head))
+    numbered = written(number(texts, known), "numbered")
+    classes = spellings(known)
+    table = written(neighbours(numbered, classes, head), "neighbours")
+    assigned, pairs = exchange(table, head)
+    end = classes == LAST
+    classes[:head] = assigned
+    classes[end] = LAST
+    joining = np.append((known.counts >= SEEN) & (np.arange(len(known.words)) >= head), np.zeros(SHAPES, bool)) & ~end
+    classes = join_classes(numbered, classes, joining, pairs)
     sent = texts.sparkSession.sparkContext.broadcast(pickle.dumps((known, classes)))
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +521,7 @@ def fit(texts: DataFrame, counts: DataFrame, head: int = HEAD, kept: int = KEPT)
     n, kinds = np.zeros(ALL), np.zeros(ALL)
     for r in rows.agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         n[r["class"]], kinds[r["class"]] = r.n, r.kinds
-    transitions = smoothed(class_trigrams(texts, known, classes))
+    transitions = smoothed(class_trigrams(numbered, classes))
     return Model(known, head, classes, transitions, n, kinds, sums.n or 0, sums.v)
 
 

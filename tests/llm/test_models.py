@@ -53,37 +53,128 @@ def test_brown_scores(corpus):
     fitted, found, known = check_scores(frame, rows, head=500, kept=2000)
     held = [r for r in found if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # The score of each text, by the definition of the model.
-    n_tail, types = Counter(), Counter()
+    # The score of each text, by the definition of the model: words that the model sends have its classes, all others are spelled.
     sent = {w: k for k, w in enumerate(fitted.known.words)}
+    assert all((fitted.classes[k] < brown.CLASSES) == (k < 500 or known[w] >= brown.SEEN) for w, k in sent.items() if w != brown.END)
+
+    def class_of(word):
+        k = sent.get(word)
+        return brown.CLASSES + brown.shape(word) if k is None else int(fitted.classes[k])
+
+    n, types = Counter(), Counter()
     for w, c in known.items():
-        if sent.get(w, 10**9) >= 500 and w != brown.END:
-            n_tail[brown.shape(w)] += c
-            types[brown.shape(w)] += 1
-    members = Counter()
-    for w, k in sent.items():
-        if k < 500 and w != brown.END:
-            members[fitted.classes[k]] += known[w]
+        n[class_of(w)] += c
+        types[class_of(w)] += 1
     texts = dict(rows)
     for r in found[:40]:
         c, total = [brown.LAST, brown.LAST], 0.0
         for w in plain_tokens(texts[r.doc_id]):
-            k = sent.get(w, 10**9)
-            if w == brown.END:
-                of, emit = brown.LAST, 0.0
-            elif k < 500:
-                of = int(fitted.classes[k])
-                emit = math.log10(known[w] / members[of])
+            of = class_of(w)
+            if of == brown.LAST:
+                emit = 0.0
+            elif of < brown.CLASSES:
+                emit = math.log10(known[w] / n[of])
             else:
-                s = brown.shape(w)
-                of = brown.CLASSES + s
-                mass = known[w] - brown.DISCOUNT if known[w] else brown.DISCOUNT * types[s]
-                emit = math.log10(mass / n_tail[s]) if n_tail[s] else 0.0
+                mass = known[w] - brown.DISCOUNT if known[w] else brown.DISCOUNT * types[of]
+                emit = math.log10(mass / n[of]) if n[of] else 0.0
             total += fitted.transitions[c[-2], c[-1], of] + emit
             c.append(of)
         assert abs(total - r.score) < 1e-6 * max(1, abs(total))
 
 
+def plain_likeliest(left, right, pairs, current):
+    """The class of the largest sum of logarithms, by loops."""
+    def gain(c):
+        size = [sum(row) for row in pairs]
+        total = sum(right.values())
+        out = sum(n * math.log((pairs[c][d] + brown.PRIOR) / (size[c] + brown.PRIOR * brown.ALL)) for d, n in right.items())
+        out += sum(n * math.log((pairs[d][c] + brown.PRIOR) / (size[d] + brown.PRIOR * brown.ALL)) for d, n in left.items())
+        return out - total * math.log(max(size[c], 1.0) + (0 if c == current else total))
+
+    gains = [gain(c) for c in range(brown.CLASSES)]
+    return {c for c, g in enumerate(gains) if g > max(gains) - 1e-6}
+
+
+@pytest.fixture(scope="module")
+def numbered(corpus):
+    """Words known, texts as symbols, and the table of neighbours of the 60 most frequent words."""
+    frame, _ = corpus
+    texts = [bytes(r.text).lower().split() + [brown.END] for r in brown.raw(frame).collect()]
+    counts = Counter(w for t in texts for w in t)
+    top = sorted(counts, key=lambda w: (-counts[w], w.decode()))[:300]
+    known = brown.Words("some words", top, np.array([counts[w] for w in top]))
+    ids = brown.written(brown.number(brown.raw(frame), known), "numbered")
+    spelled = brown.spellings(known)
+    return texts, top, ids, spelled, brown.written(brown.neighbours(ids, spelled, 60), "neighbours")
+
+
+def test_brown_neighbours(numbered):
+    texts, top, _, _, table = numbered
+
+    def narrow(word):
+        k = top.index(word) if word in top[:60] else 60 + brown.shape(word)
+        return 60 + brown.SHAPES if word == brown.END else k
+
+    expected = Counter()
+    for t in texts:
+        numbers = [narrow(w) for w in [brown.END, *t]]
+        for a, b in zip(numbers, numbers[1:]):
+            if a < 60:
+                expected[a, 2 * b + 1] += 1
+            if b < 60:
+                expected[b, 2 * a] += 1
+    found = {}
+    for r in table.collect():
+        for other, n in zip(np.frombuffer(r.others, "<i4"), np.frombuffer(r["counts"], "<i8"), strict=True):
+            assert (r.word, int(other)) not in found
+            found[r.word, int(other)] = int(n)
+    assert found == expected
+
+
+def test_brown_exchange(numbered):
+    """Pairs, each step's moves and the choice of words behind the head, by loops; the likelihood never falls."""
+    texts, top, ids, spelled, table = numbered
+
+    def class_of(word, assigned):
+        if word == brown.END:
+            return brown.LAST
+        return int(assigned[top.index(word)]) if word in top[:60] else brown.CLASSES + brown.shape(word)
+
+    def plain(assigned):
+        pairs, left, right = np.zeros((brown.ALL, brown.ALL)), {}, {}
+        for t in texts:
+            words = [brown.END, *t]
+            for a, b in zip(words, words[1:]):
+                of_a, of_b = class_of(a, assigned), class_of(b, assigned)
+                if {a, b} & (set(top[:60]) - {brown.END}):
+                    pairs[of_a, of_b] += 1
+                right.setdefault(a, Counter())[of_b] += 1
+                left.setdefault(b, Counter())[of_a] += 1
+        return pairs, left, right
+
+    assigned = np.arange(60) % brown.CLASSES
+    value = -math.inf
+    for steps in (0, 1, 2, 3):
+        assigned, pairs = brown.exchange(table, 60, steps)
+        expected, left, right = plain(assigned)
+        assert np.array_equal(pairs, expected) and brown.likelihood(pairs) >= value
+        value = brown.likelihood(pairs)
+        moved = brown.moves(table, assigned, pairs, 1, 2)
+        for k, word in enumerate(top[:60]):
+            if k % 2 and word != brown.END:
+                assert moved[k] in plain_likeliest(left[word], right[word], pairs.tolist(), assigned[k])
+            else:
+                assert moved[k] == assigned[k]
+    classes = spelled.copy()
+    classes[:60] = assigned
+    classes[spelled == brown.LAST] = brown.LAST
+    joining = (np.arange(len(classes)) >= 60) & (np.arange(len(classes)) < len(top)) & (spelled != brown.LAST)
+    joined = brown.join_classes(ids, classes, joining, pairs)
+    assert np.array_equal(joined[~joining], classes[~joining])
+    for k in np.flatnonzero(joining)[::10]:
+        assert joined[k] in plain_likeliest(left[top[k]], right[top[k]], pairs.tolist(), -1)
+
+
 def test_brown_transitions_add_up(corpus):
     counts = np.zeros((4, 4, 4))
     counts[0, 1, 2], counts[1, 2, 0] = 5, 1
