@@ -7,8 +7,9 @@ are looked up again. Words of more than ``SHORT`` bytes would make the scans qua
 through a heap of pairs over linked parts, which merges the same pairs in the same order.
 
 Ids of words are kept in a table of bounded size per Python process. A null text is the empty
-text, which has no ids and decodes to itself. Rows are independent: repeated rows and
-extra columns need no care.
+text, which has no ids and decodes to itself. Rows are independent: repeated rows, rows without an id and
+extra columns need no care; an empty table gives no rows. A text is encoded whole, in one task. A file whose settings ask for
+anything else than this (a normaliser, another pattern, a prefix space, special strings that take in spaces) is an error.
 """
 
 from __future__ import annotations
@@ -43,12 +44,31 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + k): byte for k, byte in enumerate(others)}
 
 
+def unsupported(data: dict) -> list[str]:
+    """Settings of a vocabulary file that ask for other ids than this module's."""
+    model, cut = data["model"], data.get("pre_tokenizer") or {}
+    found = [name for name in ("normalizer", "post_processor") if data.get(name)]
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        found.append("pre_tokenizer")
+    if (data.get("decoder") or {}).get("type") != "ByteLevel":
+        found.append("decoder")
+    if model.get("type", "BPE") != "BPE":
+        found.append("type")
+    settings = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    found += [name for name in settings if model.get(name)]
+    for token in data.get("added_tokens", []):
+        found += [name for name in ("single_word", "lstrip", "rstrip") if token.get(name)]
+    return found
+
+
 class BytePairs:
     """Vocabulary and merges of a byte-level BPE file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
+        if other := unsupported(data):
+            raise ValueError(f"{path}: not plain byte-level BPE: {', '.join(other)}")
         letters = byte_letters()
         model = data["model"]
         self.id_of = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items()}

@@ -11,7 +11,8 @@ backslash and a line end are escaped first.
 The output has one row per turn, in the order of the turns inside a conversation; the
 concatenation of its rows is the conversation. So a conversation of any length is never held in
 one cell. A null text or role is empty, a null conversation is a conversation of its own (null), turns
-without a number come first, and rows of the same turn are ordered by role and text. Repeated rows stay.
+without a number come first, and rows of the same turn are ordered by role and text. Repeated rows stay. An empty
+table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

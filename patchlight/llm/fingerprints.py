@@ -3,11 +3,13 @@
 A shingle is the hash of five words in a row (of all words, where there are fewer). A fingerprint keeps every
 distinct shingle below a fixed fraction of the hash range, whatever the length of the text, and
 the smallest shingle, so that only texts without words have an empty one. Sketches of one fraction
-merge by union, and their overlap estimates containment even between very unequal texts.
+merge (``merge``): their union less the smallest hashes that are neither below the limit nor the smallest of both. Their
+overlap estimates containment even between very unequal texts.
 
 Only column expressions run here. Null texts are empty. Documents follow one another by
 descending id, with rows without an id last; where rows share an id, the next document is
 the smallest of their texts. Each row is a document of its own. Two texts without words are alike (1).
+An empty table gives no rows. A text is hashed whole, in one task.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ LOWEST = -(1 << 63)
 NO_ID = LOWEST
 
 
+def limit_of(scale: int) -> int:
+    """The largest hash that is kept."""
+    return LOWEST + (1 << 64) // scale - 1
+
+
 def with_sketch(rows: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
     """``rows`` with the sketch of a text column: ascending distinct hashes."""
-    limit = LOWEST + (1 << 64) // scale
+    limit = limit_of(scale)
     hashed = F.transform(F.array_remove(F.split(text, r"[ \t-\r]+"), ""), lambda word: F.xxhash64(word))
     rows = rows.withColumn("_words", hashed)
     shingles = (
@@ -41,7 +48,7 @@ def with_sketch(rows: DataFrame, text: str, name: str, scale: int = SCALE) -> Da
         .otherwise(F.array().cast("array<bigint>"))
     )
     rows = rows.withColumn("_shingles", shingles).drop("_words")
-    low = F.filter("_shingles", lambda h: h < F.lit(limit))
+    low = F.filter("_shingles", lambda h: h <= F.lit(limit))
     least = F.filter(F.array(F.array_min("_shingles")), lambda h: h.isNotNull())
     return rows.withColumn(name, F.array_sort(F.array_union(low, least))).drop("_shingles")
 
@@ -62,6 +69,13 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
+def merge(a: str, b: str, scale: int = SCALE) -> Column:
+    """The sketch of all shingles of two texts, from their sketches of the same scale."""
+    both = F.array_sort(F.array_union(a, b))
+    least = F.array_min(both)
+    return F.filter(both, lambda h: (h <= F.lit(limit_of(scale))) | (h == least))
+
+
 def followers(texts: DataFrame) -> DataFrame:
     """For each key of ``texts`` (key, text): the key before it in descending order, and how much that one takes.
 

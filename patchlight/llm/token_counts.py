@@ -5,9 +5,10 @@ and of the options used. The cache is a Parquet table (content, n_tokens), one f
 tokenizer. A run finds the distinct contents that the cache lacks, encodes only those, appends
 them, and joins every document with the cache.
 
-Null and empty texts count 0 tokens. Equal texts share one cache row. Extra columns of the input
-are ignored. Runs on the same cache follow one another; an append is one commit, so a run that
-fails leaves the cache as it was.
+Null and empty texts count 0 tokens. Equal texts share one cache row, and rows that two runs appended for the
+same content count once. Rows without an id, repeated rows and rows of one id are counted each by itself; an empty
+table gives no rows. Extra columns of the input are ignored. A text is encoded whole, in one task. An append is one commit, so a run
+that fails leaves the cache as it was.
 """
 
 from __future__ import annotations
@@ -76,7 +77,8 @@ def count_tokens(
     known = _read(spark, folder)
     misses = distinct if known is None else distinct.join(known, "content", "left_anti")
     misses.mapInArrow(encoder(path), CACHE_SCHEMA).write.mode("append").parquet(folder)
-    counts = spark.read.schema(CACHE_SCHEMA).parquet(folder)
+    # Collapsing needs the exchange on the content that the join needs anyway.
+    counts = spark.read.schema(CACHE_SCHEMA).parquet(folder).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     # The cache is a plain table: a join with a hot content can be split.
     return keyed.drop("norm").join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 

@@ -60,6 +60,25 @@ def test_fingerprints_merge_and_contain(spark):
     assert row[0] == 1.0 and abs(row[1] - 0.1) < 0.04
 
 
+def test_merged_sketches_are_the_sketch_of_both(spark):
+    """Also where a text has no hash below the limit, so that its sketch is its smallest hash alone."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in [0, 1, 3, 5, 6, 6, 7, 8, 9, 30, 200]]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    frame = fingerprints.with_sketch(fingerprints.with_sketch(pairs, "a", "sa"), "b", "sb")
+    limit = fingerprints.limit_of(fingerprints.SCALE)
+
+    def plain(*held):
+        hashes = set().union(*held)
+        return sorted({h for h in hashes if h <= limit} | ({min(hashes)} if hashes else set()))
+
+    whole = {r.a: r.s for r in fingerprints.with_sketch(pairs, "a", "s", scale=1).select("a", "s").distinct().collect()}
+    rows = frame.withColumn("merged", fingerprints.merge("sa", "sb")).collect()
+    assert any(r.sa and r.sa[0] > limit for r in rows)
+    for r in rows:
+        assert r.sa == plain(whole[r.a]) and r.merged == plain(whole[r.a], whole[r.b])
+
+
 def test_fingerprints_of_nothing(nothing):
     assert fingerprints.fingerprint(nothing).count() == 0
 

@@ -1,6 +1,7 @@
 """Token counts, encoding, packing and chat formatting against the libraries and plain Python."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchlight.llm import bpe, chat, packing, token_counts
-from patchlight.llm.common import load_tokenizer, shared_folder
+from patchlight.llm.common import load_tokenizer, shared_folder, written
 
 
 def library(file):
@@ -34,6 +35,16 @@ def test_counts_and_cache(spark, edges, edge_rows):
     assert spark.read.parquet(cache).count() == before  # nothing was encoded again
 
 
+def test_counts_with_rows_appended_twice(spark, crowded, edge_rows):
+    """A cache that two runs filled at once gives one row per document, whatever other columns there are."""
+    cache = shared_folder(spark, "cache")
+    first = sorted(token_counts.count_tokens(crowded, cache).collect(), key=str)
+    path = public_tokenizers.path(token_counts.TOKENIZER)
+    folder = f"{cache}/tokenizer={token_counts.tokenizer_version(path)}"
+    written(spark.read.parquet(folder), "copy").write.mode("append").parquet(folder)
+    assert sorted(token_counts.count_tokens(crowded, cache).collect(), key=str) == first and len(first) == len(edge_rows)
+
+
 def test_counts_of_nothing(nothing):
     assert token_counts.over_limit_counts(nothing).count() == 0
 
@@ -56,6 +67,22 @@ def test_both_merges_agree_with_the_library():
         assert pairs.merge_short(word) == pairs.merge_long(word) == ids_of("byte_bpe_50k.json", word.decode())
 
 
+def test_other_settings_are_an_error(tmp_path):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        data = json.load(file)
+    assert bpe.unsupported(data) == []
+    for change, name in (
+        ({"normalizer": {"type": "Lowercase"}}, "normalizer"),
+        ({"pre_tokenizer": {"type": "Whitespace"}}, "pre_tokenizer"),
+        ({"pre_tokenizer": data["pre_tokenizer"] | {"add_prefix_space": True}}, "pre_tokenizer"),
+        ({"model": data["model"] | {"end_of_word_suffix": "</w>"}}, "end_of_word_suffix"),
+        ({"added_tokens": [data["added_tokens"][0] | {"lstrip": True}]}, "lstrip"),
+    ):
+        (tmp_path / "other.json").write_text(json.dumps(data | change), encoding="utf-8")
+        with pytest.raises(ValueError, match=name):
+            bpe.BytePairs(str(tmp_path / "other.json"))
+
+
 def test_word_ids_are_the_library_s(edge_rows):
     words, rng = packing.load(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
     signs = "abcéÉİŉǅ²¼ '\n\t123<|>!ñ_-" + "".join(map(chr, range(0xA1, 0x250)))
