@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlight.llm.common import batches, load_tokenizer, shared_folder, text_of
+from patchlight.llm.common import batches, load_tokenizer, shared_folder, text_of, written
 
 CACHE_SCHEMA = "content binary, n_tokens bigint"
 TOKENIZER = "byte_bpe_50k.json"
@@ -77,9 +77,9 @@ def count_tokens(
     known = _read(spark, folder)
     misses = distinct if known is None else distinct.join(known, "content", "left_anti")
     misses.mapInArrow(encoder(path), CACHE_SCHEMA).write.mode("append").parquet(folder)
-    # Collapsing needs the exchange on the content that the join needs anyway.
     counts = spark.read.schema(CACHE_SCHEMA).parquet(folder).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    # The cache is a plain table: a join with a hot content can be split.
+    # A plain table below the join, so that a hot content can be split.
+    counts = written(counts, "token-counts")
     return keyed.drop("norm").join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
 
 
