@@ -373,13 +373,15 @@ def findings_report(spark, sf):
 
 
 def _stream(spark, sf):
-    """The documents table as a folder in which files land."""
+    """The documents table, a file or a folder of files, as a folder in which files land.
+
+    A pattern that only this name fits stands for both; a stream takes no plain path of a single file.
+    """
     docs = S.landing_folder(
         spark,
-        sf,
+        f"{sf}/documents.parque[t]",
         "parquet",
         "doc_id bigint, text string, lang string, source string, n_chars bigint",
-        pathGlobFilter="documents.parquet",
     )
     return T.files_of(docs)
 

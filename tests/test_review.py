@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from acceptance.catalog import CHECKS
 from patchlight import constants as C
 from patchlight import schemas
 from patchlight.operators import filters, rollups
@@ -314,6 +315,22 @@ def test_continuous_review_equals_the_batch_job(spark, tmp_path):
     check(files)
 
 
+@pytest.mark.parametrize("parts", [0, 3])
+def test_the_documents_may_be_one_file_or_a_folder_of_files(spark, tmp_path, parts):
+    docs = spark.createDataFrame(
+        [(i, "hash\n" * (31 if i < 2 else 1), "en", "web", i) for i in range(6)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    path = tmp_path / "documents.parquet"
+    if parts:
+        docs.repartition(parts).write.parquet(str(path))
+    else:
+        docs.toPandas().to_parquet(path)
+    docs.limit(1).write.parquet(str(tmp_path / "documents.parquet_old"))
+    assert CHECKS["continuous_review_findings"].query(spark, str(tmp_path)).count() == 8
+    assert [tuple(r) for r in CHECKS["continuous_review_counts"].query(spark, str(tmp_path)).collect()] == [("security", 8)]
+
+
 def test_results_are_written_as_json(spark, tmp_path):
     path = str(tmp_path / "results")
     results = rollups.review_results(materialise(rollups.label_files(many_files(spark)), "test"))
