@@ -14,6 +14,7 @@ from patchlight.operators import relabel as R
 from patchlight.plans.training_set import build_training_set, sample_check, write_training_set
 from patchlight.session import work_dir
 from patchlight.sources import run_store
+from patchlight.sources.tables import materialise
 
 TRAINING = "code, label, original_label, repo, pr_number"
 
@@ -299,25 +300,30 @@ def label_run(spark, sf):
     return run.select("key", *LABELLED.split(", "))
 
 
-def _store(spark, sf):
+def _written(spark, sf):
+    """The training table, written once: runs and their store read it many times, and its texts are dealt out when it is made."""
+    return materialise(T.training(spark, sf), "training")
+
+
+def _store(spark, sf, training):
     """The keys that are done, in the finished runs of a store: two of three compacted, one written twice, one left unfinished."""
     path = work_dir(spark, "store")
-    done = T.done(spark, sf).withColumn("judge_confidence", F.lit(C.NO_CONFIDENCE))
+    done = materialise(T.done(spark, sf, training), "done").withColumn("judge_confidence", F.lit(C.NO_CONFIDENCE))
     part = F.pmod(F.xxhash64("key"), F.lit(3))
     run_store.add_run(done.where(part < 2), path, "first", buckets=4)
     run_store.add_run(done.where(part == 0), path, "first")
     run_store.add_run(done.where(part == 1), path, "second")
     run_store.compact(spark, path)
     run_store.add_run(done.where(part == 2), path, "third")
-    R.with_key(T.training(spark, sf)).select("key").write.parquet(f"{path}/runs/folder=unfinished")
+    R.with_key(training).select("key").write.parquet(f"{path}/runs/folder=unfinished")
     return path
 
 
 @check("J2 S7", f"WITH {T.with_done()} SELECT DISTINCT key FROM keyed WHERE key NOT IN (SELECT key FROM done)")
 def open_keys_of_runs(spark, sf):
     """What is left to label after the finished runs of a bucketed store."""
-    path = _store(spark, sf)
-    rows = R.with_key(T.training(spark, sf))
+    training = _written(spark, sf)
+    path, rows = _store(spark, sf, training), R.with_key(training)
     return R.open_keys(rows, run_store.decisions(spark, path), run_store.bucket_count(spark, path))
 
 
@@ -335,9 +341,11 @@ RUN_COUNTS = f"""WITH {T.with_labelled()},
 )
 def label_run_counts(spark, sf):
     """What the pass that writes a run has counted; the run is written twice and counts once."""
-    store, path = _store(spark, sf), work_dir(spark, "labelled")
+    training = _written(spark, sf)
+    replies = materialise(T.replies(spark, sf, training), "replies")
+    store, path = _store(spark, sf, training), work_dir(spark, "labelled")
     for _ in range(2):
-        counts = R.write_label_run(T.training(spark, sf), T.replies(spark, sf), path, store, "fourth")
+        counts = R.write_label_run(training, replies, path, store, "fourth")
     return _counts(spark, counts)
 
 

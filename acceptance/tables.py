@@ -160,22 +160,24 @@ def training(spark: SparkSession, sf: str, patterns=None) -> DataFrame:
     return build_training_set(examples(spark, sf), patterns or TEST_PATTERNS)
 
 
-def done(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of an earlier run: the documents that labels calls toxic."""
+def done(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Keys of an earlier run: the documents that labels calls toxic. ``of`` is the training table where it is written."""
     toxic = labels(spark, sf).where("toxic = 1").select(F.col("doc_id").alias("pr_number"))
-    return with_key(training(spark, sf).join(toxic, "pr_number", "left_semi")).select(
+    rows = training(spark, sf) if of is None else of
+    return with_key(rows.join(toxic, "pr_number", "left_semi")).select(
         "key", F.lit(C.PARSE_FAILED).alias("judge_label")
     )
 
 
-def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Judge replies of six kinds for the documents in labels; none for the others."""
+def replies(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """Judge replies of six kinds for the documents in labels; none for the others. ``of`` is as in ``done``."""
     text = F.array(
         *[F.lit(t) for t in REPLY_TEXTS]
     )
     known = labels(spark, sf).select(F.col("doc_id").alias("pr_number"))
     kind = (F.length("code") % 6).cast("int")
-    return with_key(training(spark, sf).join(known, "pr_number", "left_semi")).select(
+    rows = training(spark, sf) if of is None else of
+    return with_key(rows.join(known, "pr_number", "left_semi")).select(
         "key",
         F.get(text, kind).alias("response_text"),
         F.when(kind == 5, "timeout").alias("error"),

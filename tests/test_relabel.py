@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from acceptance import tables
+from acceptance.catalog import CHECKS
 from patchlight import constants as C
 from patchlight import schemas
 from patchlight.operators import filters, relabel as R
@@ -281,3 +283,22 @@ def test_training_set_is_counted_while_it_is_written(spark, tmp_path):
     assert counts == {"examples": 3, "rejected": 1, "bug": 0, "style": 0, "performance": 1, "security": 0, "ok": 1}
     assert spark.read.parquet(str(tmp_path / "set")).count() == 2
     assert set(write_training_set(examples.limit(0), str(tmp_path / "none")).values()) == {0}
+
+
+def test_the_queries_of_runs_deal_the_documents_out_once(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(
+        [(i, f"hash {i} " + "x" * i, "en", "web", 9 + i) for i in range(24)],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    )
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    known = spark.createDataFrame([(i, i % 2, int(i % 4 == 0)) for i in range(12)], "doc_id bigint, quality int, toxic int")
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    read, whole = [], tables.documents
+    monkeypatch.setattr(tables, "documents", lambda *given: read.append(given) or whole(*given))
+    counts = {r.metric: r.n for r in CHECKS["label_run_counts"].query(spark, str(tmp_path)).collect()}
+    kinds = [len(f"hash {i} " + "x" * i) % 6 for i in range(12)]
+    written = [i for i in range(12) if i % 4 and (kinds[i] < 5 or i % 5 >= 3)]
+    assert counts["written"] == len(written) and counts["written"] + counts["pending"] == 21
+    assert len(read) == 1
+    assert CHECKS["open_keys_of_runs"].query(spark, str(tmp_path)).count() == 21
+    assert len(read) == 2
