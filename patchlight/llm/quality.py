@@ -30,16 +30,11 @@ TRUST = 4.0
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of the words
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 BINS = 200  # of scores, per unit
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _without(text: Column, signs: str) -> Column:
-    return F.translate(text, signs, "")
-
-
 def with_counts(rows: DataFrame) -> DataFrame:
     """``rows`` (row, text) with the counts of the base rules and their verdict."""
     words = F.array_remove(F.split("text", r"[ \t-\r]+"), "")
@@ -56,8 +51,8 @@ def with_counts(rows: DataFrame) -> DataFrame:
         "row",
         "text",
         F.size("words").cast("long").alias("n_words"),
-        F.length(_without(F.col("text"), SPACES)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         windows.alias("windows"),
     )
@@ -88,12 +83,17 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).drop("text")
 
 
+def bucket(*terms: Column) -> Column:
+    """The bucket of an n-gram: the hash modulo ``BUCKETS``, a power of two."""
+    return F.xxhash64(*terms).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def buckets() -> Column:
     """The buckets of the unigrams and bigrams of ``tokens``."""
-    single = F.transform("tokens", lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
+    single = F.transform("tokens", lambda t: bucket(t))
     pairs = F.transform(
         F.sequence(F.lit(0), F.size("tokens") - 2),
-        lambda i: F.pmod(F.xxhash64(F.get("tokens", i), F.get("tokens", i + 1)), F.lit(BUCKETS)).cast("int"),
+        lambda i: bucket(F.get("tokens", i), F.get("tokens", i + 1)),
     )
     return F.when(F.size("tokens") >= 2, F.concat(single, pairs)).otherwise(single)
 

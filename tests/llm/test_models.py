@@ -449,3 +449,14 @@ def test_pipeline_decisions_take_effect(spark, tmp_path):
     assert left[4] == left[3]
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert again.count() == docs.count()
+
+
+def test_signs_are_counted_without_a_map_of_characters(spark):
+    """``translate`` looks every character up as a string of its own, which took a fifth of the judging."""
+    texts = ["", " \t\n\x0b\x0c\r", "a", "#*$%&|<>", "ab\u00a0c <\U0001f600> \x1c\x85 & ^-[]\n\n#\r%x", "\u2003 \x00|\x7f "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row int, text string")
+    counted = quality.with_counts(rows)
+    found = {r.row: (r.word_chars, r.n_symbols) for r in counted.select("row", "word_chars", "n_symbols").collect()}
+    want = [(sum(c not in " \t\n\x0b\x0c\r" for c in t), sum(c in "#*$%&|<>" for c in t)) for t in texts]
+    assert found == dict(enumerate(want))
+    assert "translate(" not in counted._jdf.queryExecution().optimizedPlan().toString()
