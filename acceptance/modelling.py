@@ -221,7 +221,7 @@ def cross_validation_accuracies(spark, sf):
 @check("M7")
 def final_model_scores(spark, sf):
     rows = T.code_rows(spark, sf)
-    _, model = M.cross_validate(rows, "key", parallelism=4)
+    _, model = M.cross_validate(rows, "key", folds=[C.N_FOLDS])
     return M.classify(rows, model).drop("code")
 
 
@@ -320,7 +320,7 @@ def marked_classes_cross_validated(spark, sf):
 @check("M7", f"SELECT doc_id AS key, {SQL_MARKED} AS category FROM documents")
 def marked_classes_by_the_last_fold(spark, sf):
     rows = _marked_rows(spark, sf)
-    _, model = M.cross_validate(rows, "key", parallelism=4)
+    _, model = M.cross_validate(rows, "key", folds=[C.N_FOLDS])
     return M.classify(rows, model).select("key", "category")
 
 

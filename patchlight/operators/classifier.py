@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -190,10 +190,15 @@ def cross_validate(
     seed: int = C.FOLD_SEED,
     size: int = SIZE,
     parallelism: int = 1,
+    folds: Sequence[int] | None = None,
     **fit_options,
 ) -> tuple[DataFrame, PipelineModel]:
     """Train and predict each fold; returns all predictions and the last fold's model.
 
+    ``folds`` names the folds to train and predict, in place of all 1 .. k. No fit depends on another fold's, so who wants the
+    model of one fold, or its predictions, names that fold and gets the same without the fits of the others. All rows are still
+    counted, weighed and dealt out.
+
     The class weights are those of all rows. The term counts need no fitting and are
     shared by the folds; IDF and classifier see the training part of their fold only, the IDF by
     taking the fold's own frequencies off those of all rows (``fold_idf_stages``).
@@ -201,6 +206,10 @@ def cross_validate(
     (weights, texts), so pass a written table. Texts become term counts before the folds are
     dealt, and the folds are folders of a table, so a fit reads its own only.
     """
+    every = range(1, k + 1)
+    chosen = every if folds is None else folds
+    if not chosen or not set(chosen) <= set(every):
+        raise ValueError(f"folds must be some of 1 to {k}")
     named = rows.select(F.col(key).cast("string").alias("key"), text, F.col(label).alias("label"))
     counted = prepare(named, text, "label", size, "key")
     prepared = materialise(assign_folds(counted, "key", "label", k, seed), "folds", "fold")
@@ -216,6 +225,6 @@ def cross_validate(
         return predicted, fitted
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool_of_fits:
-        results = list(pool_of_fits.map(run, range(1, k + 1)))
+        results = list(pool_of_fits.map(run, chosen))
     predictions = pool(*[p for p, _ in results])
     return predictions, scoring_model(results[-1][1], text, size)

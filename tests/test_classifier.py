@@ -62,6 +62,22 @@ def test_cross_validation(rows):
     assert M.classify(rows, last).columns == ["key", "code", "label", "category", "confidence"]
 
 
+def test_the_last_fold_alone_is_the_last_fold_of_all(rows, monkeypatch):
+    """One fit gives the model and the predictions that the fold has among all five."""
+    everything, last = M.cross_validate(rows, "key", size=256, max_iter=15)
+    fits, fit = [], M.fit
+    monkeypatch.setattr(M, "fit", lambda *args, **options: fits.append(1) or fit(*args, **options))
+    alone, model = M.cross_validate(rows, "key", size=256, max_iter=15, folds=[C.N_FOLDS])
+    assert len(fits) == 1
+    of_fold = everything.where(F.col("fold") == C.N_FOLDS).orderBy("key").collect()
+    assert of_fold and alone.orderBy("key").collect() == of_fold
+    assert np.allclose(model.stages[-1].coefficientMatrix.toArray(), last.stages[-1].coefficientMatrix.toArray(), atol=1e-6)
+    assert np.allclose(model.stages[-2].getScalingVec().toArray(), last.stages[-2].getScalingVec().toArray())
+    for wrong in ([], [0], [C.N_FOLDS + 1]):
+        with pytest.raises(ValueError):
+            M.cross_validate(rows, "key", folds=wrong)
+
+
 def test_frequencies_are_fitted_on_the_training_part_only(rows):
     prepared = M.prepare(rows, "code", "label", 256, "key")
     part = prepared.where("label <> 'bug' OR key = 'bug-0'")
