@@ -1,4 +1,5 @@
 import math
+from threading import Lock
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.ml.feature import IDF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from acceptance import modelling
 from patchlight import constants as C
 from patchlight.operators import classifier as M
 from patchlight.operators import metrics
@@ -62,6 +64,29 @@ def test_cross_validation(rows):
     assert M.classify(rows, last).columns == ["key", "code", "label", "category", "confidence"]
 
 
+@pytest.mark.parametrize("source, query", [("T.code_rows", "_cross_validated"), ("_marked_rows", "marked_classes_cross_validated")])
+def test_no_more_than_three_fits_hold_their_rows_at_once(spark, rows, monkeypatch, source, query):
+    """All five folds are fitted, three and two at a time; four at a time found no room for their rows at size."""
+    running, most, fits, lock, fit = set(), [], [], Lock(), M.fit
+
+    def counted(train, **options):
+        with lock:
+            fits.append(len(fits))
+            running.add(own := fits[-1])
+            most.append(len(running))
+        try:
+            return fit(train, **options, max_iter=2)
+        finally:
+            with lock:
+                running.remove(own)
+
+    monkeypatch.setattr(M, "fit", counted)
+    monkeypatch.setattr(f"acceptance.modelling.{source}", lambda *_: rows)
+    made = getattr(modelling, query)(spark, "")
+    predictions = made[0] if isinstance(made, tuple) else made
+    assert predictions.count() == rows.count() and len(fits) == C.N_FOLDS and 1 < max(most) <= 3
+
+
 def test_the_last_fold_alone_is_the_last_fold_of_all(rows, monkeypatch):
     """One fit gives the model and the predictions that the fold has among all five."""
     everything, last = M.cross_validate(rows, "key", size=256, max_iter=15)
