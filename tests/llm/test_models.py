@@ -252,6 +252,28 @@ def test_nearest_is_exact(spark):
         assert [f[0] for f in index.nearest(terms, weights, 5)] == pytest.approx([f[0] for f in expected], abs=1e-8)
 
 
+def test_heads_of_a_group_are_in_no_posting(spark):
+    """Frequent terms of alike examples are multiplied, not added up one posting at a time, and the neighbours stay exact."""
+    rng = np.random.default_rng(5)
+    rows = [(d, " ".join(f"{'ab'[d % 2]}{k}" for k in rng.integers(0, 40, 12))) for d in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(d, 1, int(d % 7 == 0)) for d, _ in rows], LABELS))
+    layout = index.layout
+    assert len(layout.spans) > 1 and sorted(layout.order.tolist()) == list(range(len(index.ids)))
+    assert len(layout.postings) + sum(np.count_nonzero(d) for d in layout.dense) == len(index.row)
+    assert len(layout.postings) < len(index.row) / 10
+    vectors = [index.vector_of(text) for _, text in rows[:300]]
+    leave = [-1] * 299 + [3]
+    dense = np.zeros((len(index.ids), len(index.keys)))
+    for term, (held, weights) in enumerate(zip(index.rows, index.weights, strict=True)):
+        dense[held, term] = weights
+    for (terms, weights), out, near in zip(vectors, leave, index.all_nearest(vectors, 5, leave), strict=True):
+        cosine = dense[:, terms] @ weights
+        cosine[[out] if out >= 0 else []] = 0
+        assert [c for c, _ in near] == pytest.approx(np.sort(cosine)[::-1][:5], abs=1e-8)
+        assert [cosine[i] for _, i in near] == pytest.approx([c for c, _ in near], abs=1e-8)
+
+
 def test_vectors_against_plain_tf_idf(spark):
     """Terms, weights, lengths, neighbours and votes, rebuilt from the texts and labels alone."""
     rows, marks = toxic_rows(300)
