@@ -48,7 +48,7 @@ GROUPED_BY = 512  # most frequent terms
 KEPT_WORDS = 150_000
 KEPT_ANSWERS = 4096
 HEADS = 0.025  # share of a group's examples from which on a term may be a head of the group
-WORTH = 0.0026  # postings a query would add up by a head, as a share of the cells it multiplies instead
+WORTH = 0.005  # postings a query would add up by a head, as a share of the cells it multiplies instead
 CELLS = 1 << 26  # of all heads' matrices; beyond it the least frequent heads are searched as other terms are
 CLOSE = 1e-4  # more than single precision may lose
 NEIGHBOURS = 15
@@ -181,6 +181,11 @@ class Index:
             total += np.bincount(self.row[at], self._raw(at, first, last) ** 2, len(total))
         return np.sqrt(np.where(total > 0, total, 1.0))
 
+    def settle(self) -> None:
+        """Let go what the layout is made from; searches read the layout only."""
+        if len(self.row) and self.layout:
+            self.row, self.count = self.row[:0].copy(), self.count[:0].copy()
+
     def _posting(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(self.starts[term], self.starts[term + 1])
         return self.row[at], self._raw(at, term, term + 1) / self.norms[self.row[at]]
@@ -404,7 +409,8 @@ class Index:
             if len(self.scored) > KEPT_ANSWERS:
                 self.scored.clear()
             new = {name: text for name, text in zip(names, part, strict=True) if name not in self.scored}
-            vectors = self.vectors_of(list(new.values()))
+            asked = list(new.values())
+            vectors = [v for a in range(0, len(asked), BLOCK) for v in self.vectors_of(asked[a : a + BLOCK])]
             found = self.all_nearest(vectors, NEIGHBOURS, [-1] * len(vectors)) if len(self.ids) else ([] for _ in vectors)
             for name, near in zip(new, found, strict=True):
                 self.scored[name] = (self.vote(near), near)
@@ -457,6 +463,7 @@ def _leave_one_out(index: Index, vectors: DataFrame) -> list[tuple[int, float, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = sent.value
+        model.settle()
         for batch in batches:
             given = []
             for block in batch.column("terms").to_pylist():
@@ -572,6 +579,7 @@ def score_rows(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Index = sent.value
+        model.settle()
         model.curve = curve
         kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
